@@ -105,14 +105,19 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], carry: list[
                   .drop("_lag", "_carry", "_chunk", "_kc", *[f"_k{i}" for i in range(len(keys))]))
 
 
+def _tie_break(df: DataFrame, order: list[str]) -> Column:
+    """The order columns, then every other comparable column, so that ties resolve the same way each run."""
+    rest = [f.name for f in df.schema.fields if f.name not in order and "map<" not in f.dataType.simpleString()]
+    return F.struct(*order, *rest)
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of every key. An aggregate, so rows are reduced before the shuffle."""
-    fields = df.columns
-    row = F.max_by(F.struct(*fields), F.struct(*order)).alias("_row")
+    row = F.max_by(F.struct(*df.columns), _tie_break(df, order)).alias("_row")
     return df.groupBy(*keys).agg(row).select("_row.*")
 
 
 def first_row(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of every key, reduced before the shuffle."""
-    row = F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row")
+    row = F.min_by(F.struct(*df.columns), _tie_break(df, order)).alias("_row")
     return df.groupBy(*keys).agg(row).select("_row.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["world"]
+MODULES = ["world", "gaps"]
 
 
 def load_all() -> None:

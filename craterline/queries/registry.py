@@ -38,7 +38,11 @@ class Query:
         if self.rounds:
             part = ", ".join(f"floor({c}*1e{n}+0.5)/1e{n} AS {c}" for c, n in self.rounds.items())
             body = f"SELECT * REPLACE ({part}) FROM ({body}) AS answer"
-        return (f"WITH {', '.join(ctes)} " if ctes else "") + body
+        if not ctes:
+            return body
+        head = f"WITH {', '.join(ctes)}"
+        own = re.match(r"WITH\s+(.*)", body, re.S)
+        return f"{head}, {own.group(1)}" if own else f"{head} {body}"
 
 
 class Tables:

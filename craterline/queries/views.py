@@ -55,6 +55,12 @@ FROM (SELECT o.*, 1737400.0 * 2 * atan2(sqrt(a), sqrt(1 - a)) AS distance_m FROM
   SELECT o.*, pow(sin(radians(obs_lat - e.latitude) / 2), 2)
      + cos(radians(e.latitude)) * cos(radians(obs_lat)) * pow(sin(radians(obs_lon - e.longitude) / 2), 2) AS a
   FROM v_observation o JOIN v_entity e ON e.entity_id = o.entity_id) o)""",
+    # Versioned reports of an observation about an entity; several per pair of keys.
+    "v_report": """
+SELECT 'R' || CAST(l_suppkey AS string) AS entity_id, l_partkey AS observation_id, l_orderkey * 10 + l_linenumber AS version,
+  CASE l_linenumber % 4 WHEN 0 THEN 'OHRC' WHEN 1 THEN 'TMC-2' WHEN 2 THEN 'IIRS' ELSE 'LROC_NAC' END AS sensor, l_shipdate AS acquisition_time,
+  CASE WHEN l_quantity >= 50 AND l_suppkey % 3 = 0 THEN 'CONTRADICTED' WHEN l_quantity > 25 THEN 'SUPPORTED' ELSE 'REJECTED' END AS status,
+  CASE WHEN l_quantity > 45 THEN 'TEMPORAL' ELSE 'DIRECT' END AS association_type FROM lineitem""",
     # Footprints, two metadata gaps included; odd keys have a calibrated grid.
     "v_footprint": """
 SELECT observation_id, sensor, is_synthetic, obs_lat - 0.05 AS lat_min, obs_lat + CAST(observation_id % 7 AS double) / 100 AS lat_max,
@@ -62,9 +68,10 @@ SELECT observation_id, sensor, is_synthetic, obs_lat - 0.05 AS lat_min, obs_lat
   observation_id % 3 <> 0 AS has_grid, observation_id % 2 = 0 AS has_polygon, sun_azimuth_deg, sun_elevation_deg,
   CASE WHEN observation_id % 6 = 0 THEN NULL WHEN sensor = 'OHRC' THEN 0.26 WHEN sensor = 'TMC-2' THEN 6.07
        WHEN sensor = 'IIRS' THEN 80.0 ELSE 1.0 END AS gsd_m, acquisition_time, entity_id FROM v_observation""",
-    # Named observation pairs: each order with the next one and with the part of its first line.
+    # Named observation pairs, some with an unregistered side, some with a measured gap.
     "v_pair": """
-SELECT l_suppkey * 100000 + l_linenumber AS pair_no, l_orderkey AS id_a, l_partkey * 8 + l_linenumber AS id_b, l_linenumber AS ln FROM lineitem""",
+SELECT l_orderkey * 10 + l_linenumber AS pair_no, l_orderkey AS id_a, l_partkey * 8 + l_linenumber AS id_b,
+  CAST(CASE l_linenumber WHEN 1 THEN 100.0 WHEN 2 THEN 300.0 END AS double) AS measured_gap_m FROM lineitem""",
     # Image samples: five products, 64 samples per line.
     "v_pixel": """
 SELECT 'IMG-' || CAST(o_orderkey % 5 AS string) AS product_id, CAST(floor(o_orderkey / 5 / 64) AS bigint) AS line,
