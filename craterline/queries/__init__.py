@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["world", "gaps"]
+MODULES = ["world", "gaps", "geometry"]
 
 
 def load_all() -> None:

@@ -2,7 +2,8 @@
 
 A query takes a ``Tables`` object and returns a DataFrame. Its oracle is SQL text in which
 ``{v_entity}`` and the like stand for a domain view; the views it names are put in front as CTEs.
-``rounds`` lists the double columns to compare at a fixed number of decimals on both sides.
+``rounds`` lists the double columns to compare at a fixed number of decimals on both sides. The
+cut is set a little off the half, since values with few decimals often lie exactly on it.
 """
 
 from __future__ import annotations
@@ -11,13 +12,20 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from craterline.functions.common import round_at
 from craterline.queries import views
 
 
+CUT = 0.4937219
+
+
+def shown(c: Column, digits: int) -> Column:
+    scale = float(10 ** digits)
+    return F.floor(c * F.lit(scale) + F.lit(CUT)).cast("double") / F.lit(scale)
+
+
 @dataclass
 class Query:
     name: str
@@ -27,7 +35,7 @@ class Query:
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = self.build(Tables(spark, sf_dir))
-        return df.withColumns({c: round_at(F.col(c), n) for c, n in self.rounds.items()}) if self.rounds else df
+        return df.withColumns({c: shown(F.col(c), n) for c, n in self.rounds.items()}) if self.rounds else df
 
     def sql(self) -> str | None:
         if self.oracle is None:
@@ -36,7 +44,7 @@ class Query:
         names = views.closure(re.findall(r"\bv_\w+", body))
         ctes = [f"{n} AS ({views.SQL[n]})" for n in names]
         if self.rounds:
-            part = ", ".join(f"floor({c}*1e{n}+0.5)/1e{n} AS {c}" for c, n in self.rounds.items())
+            part = ", ".join(f"floor({c}*1e{n}+{CUT})/1e{n} AS {c}" for c, n in self.rounds.items())
             body = f"SELECT * REPLACE ({part}) FROM ({body}) AS answer"
         if not ctes:
             return body

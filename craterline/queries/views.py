@@ -28,7 +28,7 @@ SELECT 'E' || CAST(user_id AS string) AS entity_id, event_id AS epoch_id, ts, CA
   CAST(event_id * 7 % 60 AS double) AS solar_elevation_deg, 100 + CAST(event_id * 13 % 7 AS double) AS feature_diameter_m,
   value / 500 AS apparent_brightness, CASE WHEN event_id % 97 = 0 THEN 'CONTRADICTED' ELSE event_type END AS notes FROM events""",
     "v_match": """
-SELECT l_suppkey AS pair_id, l_orderkey * 10 + l_linenumber AS match_id, CAST(l_orderkey * 53 % 512 AS double) AS src_x,
+SELECT l_suppkey AS pair_id, l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber || '-' || CAST(round(l_extendedprice * 100) AS bigint) AS match_id, CAST(l_orderkey * 53 % 512 AS double) AS src_x,
   CAST(l_partkey * 29 % 512 AS double) AS src_y, CAST(l_orderkey * 53 % 512 AS double) + 25 + l_discount * 40 AS tgt_x,
   CAST(l_partkey * 29 % 512 AS double) - 18 + l_tax * 40 AS tgt_y, l_quantity * 4 AS distance FROM lineitem""",
     "v_evidence": """
@@ -75,12 +75,12 @@ SELECT l_orderkey * 10 + l_linenumber AS pair_no, l_orderkey AS id_a, l_partkey
     # Image samples: five products, 64 samples per line.
     "v_pixel": """
 SELECT 'IMG-' || CAST(o_orderkey % 5 AS string) AS product_id, CAST(floor(o_orderkey / 5 / 64) AS bigint) AS line,
-  CAST(floor(o_orderkey / 5) AS bigint) % 64 AS sample, CAST(0 AS bigint) AS band, CAST(CAST(o_totalprice AS bigint) % 4096 AS double) AS dn
+  CAST(floor(o_orderkey / 5) AS bigint) % 64 AS sample, CAST(0 AS bigint) AS band, CAST(CAST(floor(o_totalprice) AS bigint) % 4096 AS double) AS dn
 FROM orders""",
     # Elevation cells, 128 per line; some nodata.
     "v_dem": """
 SELECT CAST(floor(o_orderkey / 128) AS bigint) AS line, o_orderkey % 128 AS sample,
-  CASE WHEN o_orderkey % 211 = 0 THEN -32768.0 ELSE CAST(CAST(o_totalprice AS bigint) % 3000 AS double) - 1500 END AS elev FROM orders""",
+  CASE WHEN o_orderkey % 211 = 0 THEN -32768.0 ELSE CAST(CAST(floor(o_totalprice) AS bigint) % 3000 AS double) - 1500 END AS elev FROM orders""",
     # Source lattice: 41 nodes across, 100 samples apart; an oblique affine swath.
     "v_source_node": """
 SELECT 'SRC' AS grid_id, CAST(o_orderkey % 41 * 100 AS bigint) AS pixel, CAST(floor(o_orderkey / 41) * 100 AS bigint) AS scan,
@@ -93,7 +93,7 @@ SELECT 'TGT' AS grid_id, CAST(o_orderkey % 31 * 50 AS bigint) AS pixel, CAST(flo
   0.4 + floor(o_orderkey / 31) * 50 * 0.00003 - CAST(o_orderkey % 31 * 50 AS double) * 0.000004 AS lat FROM orders""",
     # Points on the source image, some of them outside the lattice.
     "v_point": """
-SELECT l_orderkey * 10 + l_linenumber AS point_id, CAST(l_partkey * 37 % 4200 AS double) + l_discount * 5 - 50 AS pixel,
+SELECT l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber || '-' || CAST(round(l_extendedprice * 100) AS bigint) AS point_id, CAST(l_partkey * 37 % 4200 AS double) + l_discount * 5 - 50 AS pixel,
   CAST(l_orderkey * 100 AS double) / 41 + l_tax * 7 - 20 AS scan, l_suppkey AS pair_id FROM lineitem""",
 }
 
