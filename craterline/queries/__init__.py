@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["world", "gaps", "geometry"]
+MODULES = ["world", "gaps", "geometry", "raster"]
 
 
 def load_all() -> None:
