@@ -64,29 +64,41 @@ def condition_number(h: Column, size: Column | float) -> Column:
     transforms as well.
     """
     size = size if isinstance(size, Column) else F.lit(float(size))
-    a, b, c, d, e, f, g, i, j = _entries(h)
-    c, f = c / size, f / size
-    g, i = g * size, i * size
-    m = [a, b, c, d, e, f, g, i, j]
-    p = sum([x * x for x in m[1:]], m[0] * m[0])
-    minors = [a * e - b * d, a * f - c * d, b * f - c * e, a * i - b * g, a * j - c * g,
-              b * j - c * i, d * i - e * g, d * j - f * g, e * j - f * i]
-    q = sum([x * x for x in minors[1:]], minors[0] * minors[0])
-    det = a * (e * j - f * i) - b * (d * j - f * g) + c * (d * i - e * g)
-    r = det * det
-    k = F.struct(p.alias("p"), q.alias("q"), r.alias("r"))
-    # Newton from above converges to the largest root of x^3 - p x^2 + q x - r.
-    top = F.aggregate(
-        F.sequence(F.lit(1), F.lit(30)), k["p"].cast("double"),
-        lambda x, _: x - (((x - k["p"]) * x + k["q"]) * x - k["r"])
-        / F.when(F.abs((x * 3 - k["p"] * 2) * x + k["q"]) > 0, (x * 3 - k["p"] * 2) * x + k["q"]).otherwise(F.lit(1.0)))
-    # Remaining roots: sum s = p - top, product t = r / top.
-    t = r / top
-    s = (q - t) / top
-    big = (s + F.sqrt(F.greatest(s * s - t * 4, F.lit(0.0)))) / 2
-    small = F.when(big > 0, t / big)
-    cond = F.sqrt(top / small)
-    return F.when((small > 0) & (cond < 1e12), cond).otherwise(F.lit(1e12))
+    names = "abcdefgij"
+    scaled = [e / size if n in "cf" else e * size if n in "gi" else e for n, e in zip(names, _entries(h))]
+
+    def let(items: Column, body) -> Column:
+        # One-element transform: the lambda variable is evaluated once and then shared.
+        return F.transform(items, body)
+
+    def coefficients(m: Column) -> Column:
+        a, b, c, d, e, f, g, i, j = (m[n] for n in names)
+        minors = [a * e - b * d, a * f - c * d, b * f - c * e, a * i - b * g, a * j - c * g,
+                  b * j - c * i, d * i - e * g, d * j - f * g, e * j - f * i]
+        det = a * (e * j - f * i) - b * (d * j - f * g) + c * (d * i - e * g)
+        squares = lambda xs: sum([x * x for x in xs[1:]], xs[0] * xs[0])
+        return F.struct(squares([m[n] for n in names]).alias("p"), squares(minors).alias("q"), (det * det).alias("r"))
+
+    def largest(k: Column) -> Column:
+        # Newton from above converges to the largest root of x^3 - p x^2 + q x - r.
+        def step(x: Column, _: Column) -> Column:
+            slope = (x * 3 - k["p"] * 2) * x + k["q"]
+            return x - (((x - k["p"]) * x + k["q"]) * x - k["r"]) / F.when(slope != 0, slope).otherwise(F.lit(1.0))
+
+        top = F.aggregate(F.sequence(F.lit(1), F.lit(40)), k["p"], step)
+        return F.struct(k["p"].alias("p"), k["q"].alias("q"), k["r"].alias("r"), top.alias("top"))
+
+    def rest(k: Column) -> Column:
+        # The other two roots have product r / top and sum (q - product) / top.
+        product = k["r"] / k["top"]
+        total = (k["q"] - product) / k["top"]
+        big = (total + F.sqrt(F.greatest(total * total - product * 4, F.lit(0.0)))) / 2
+        return F.struct(k["top"].alias("top"), (product / F.when(big > 0, big)).alias("small"))
+
+    start = F.array(F.struct(*[e.cast("double").alias(n) for n, e in zip(names, scaled)]))
+    cond = let(let(let(let(start, coefficients), largest), rest), lambda k: F.sqrt(k["top"] / F.when(k["small"] > 0, k["small"])))
+    value = F.element_at(cond, 1)
+    return F.when(h.isNotNull(), F.least(F.coalesce(value, F.lit(1e12)), F.lit(1e12)))
 
 
 def corners_valid(h: Column, width: Column | float, height: Column | float) -> Column:

@@ -15,7 +15,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     A mergeable quantile sketch gives, per key and probability, an interval of values whose
     rank error is bounded by 1/accuracy of the group, so a margin of four times that always
     holds the wanted ranks. Rows outside the interval are only counted (map-side); rows inside
-    it, about 8/accuracy of the group, are counted per distinct value and ranked.
+    it, about 8/accuracy of the group, are counted per distinct value and ranked. Groups of at
+    most ``accuracy`` rows take their whole range as the interval.
     """
     rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).cast("double").alias("_v"))
     margin = 4.0 / accuracy
@@ -34,9 +35,9 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
         .select(
             *keys, "_n", F.col("_b.name").alias("_name"),
             (F.col("_b.p") * (F.col("_n") - 1)).alias("_h"),
-            F.when(F.col("_b.p_lo") <= 0.0, F.col("_min"))
+            F.when((F.col("_b.p_lo") <= 0.0) | (F.col("_n") <= accuracy), F.col("_min"))
              .otherwise(F.element_at("_q", (F.col("_i") * 2 + 1).cast("int"))).alias("_lo"),
-            F.when(F.col("_b.p_hi") >= 1.0, F.col("_max"))
+            F.when((F.col("_b.p_hi") >= 1.0) | (F.col("_n") <= accuracy), F.col("_max"))
              .otherwise(F.element_at("_q", (F.col("_i") * 2 + 2).cast("int"))).alias("_hi"),
         )
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["world", "gaps", "geometry", "raster"]
+MODULES = ["world", "gaps", "geometry", "raster", "matching", "benchmark"]
 
 
 def load_all() -> None:

@@ -66,12 +66,28 @@ SELECT 'R' || CAST(l_suppkey AS string) AS entity_id, l_partkey AS observation_i
 SELECT observation_id, sensor, is_synthetic, obs_lat - 0.05 AS lat_min, obs_lat + CAST(observation_id % 7 AS double) / 100 AS lat_max,
   obs_lon - 0.05 AS lon_min, obs_lon + CAST(observation_id % 11 AS double) / 100 AS lon_max,
   observation_id % 3 <> 0 AS has_grid, observation_id % 2 = 0 AS has_polygon, sun_azimuth_deg, sun_elevation_deg,
-  CASE WHEN observation_id % 6 = 0 THEN NULL WHEN sensor = 'OHRC' THEN 0.26 WHEN sensor = 'TMC-2' THEN 6.07
-       WHEN sensor = 'IIRS' THEN 80.0 ELSE 1.0 END AS gsd_m, acquisition_time, entity_id FROM v_observation""",
+  CAST(CASE WHEN observation_id % 6 = 0 THEN NULL WHEN sensor = 'OHRC' THEN 0.26 WHEN sensor = 'TMC-2' THEN 6.07
+       WHEN sensor = 'IIRS' THEN 80.0 ELSE 1.0 END AS double) AS gsd_m, acquisition_time, entity_id FROM v_observation""",
     # Named observation pairs, some with an unregistered side, some with a measured gap.
     "v_pair": """
 SELECT l_orderkey * 10 + l_linenumber AS pair_no, l_orderkey AS id_a, l_partkey * 8 + l_linenumber AS id_b,
   CAST(CASE l_linenumber WHEN 1 THEN 100.0 WHEN 2 THEN 300.0 END AS double) AS measured_gap_m FROM lineitem""",
+    # Residuals tagged with a sweep, a method and a parameter value.
+    "v_sweep": """
+SELECT CASE l_suppkey % 3 WHEN 0 THEN 'scale' WHEN 1 THEN 'noise' ELSE 'overlap_fraction' END AS sweep,
+  CASE l_partkey % 2 WHEN 0 THEN 'float-descriptor' ELSE 'binary-descriptor' END AS method, CAST(l_linenumber - 1 AS double) / 4 AS value,
+  CASE l_orderkey % 4 WHEN 0 THEN 'scale' WHEN 1 THEN 'illum_30deg' WHEN 2 THEN 'reflection' ELSE 'partial_overlap' END AS condition,
+  l_partkey % 2 = 0 AS physics, sqrt(l_discount * l_discount * 1600 + l_tax * l_tax * 1600) + CASE WHEN l_quantity > 45 THEN 40 ELSE 0 END AS residual FROM lineitem""",
+    # Benchmark runs, one per line item.
+    "v_run": """
+SELECT 'PAIR-' || CAST(l_orderkey AS string) AS pair_id, CASE l_linenumber % 3 WHEN 0 THEN 'SIFT' WHEN 1 THEN 'ORB' ELSE 'RIFT' END AS matcher,
+  l_suppkey AS experiment_id, CAST(l_linenumber - 1 AS integer) AS level_index, CAST(l_partkey % 60 AS bigint) AS keypoints_src, CAST(l_quantity AS bigint) * 3 AS keypoints_tgt,
+  CAST(l_quantity AS bigint) AS candidates, CAST(floor(CAST(l_quantity AS bigint) * (l_linenumber - 1) / 8) AS bigint) AS inliers, CAST(l_linenumber - 1 AS double) / 8 AS inlier_ratio,
+  l_discount * 50 AS mean_error_px, l_extendedprice / 100 AS condition_number, l_tax AS hull_ratio,
+  CASE l_orderkey % 3 WHEN 0 THEN 'OHRC' WHEN 1 THEN 'TMC-2' ELSE 'IIRS' END AS source_sensor, CASE l_partkey % 3 WHEN 0 THEN 'OHRC' WHEN 1 THEN 'TMC-2' ELSE 'IIRS' END AS target_sensor,
+  CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE CAST(0.26 AS double) END AS src_gsd_m, CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE CAST(6.07 AS double) END AS tgt_gsd_m,
+  CAST(l_orderkey % 360 AS double) AS src_azimuth, CAST(l_partkey % 360 AS double) AS tgt_azimuth, l_tax < 0.05 AND l_discount < 0.05 AS is_stable,
+  l_suppkey % 7 <> 0 AS is_real_data, CASE WHEN l_orderkey % 97 = 0 THEN 'Product Ingestion Failure: unreadable' END AS error FROM lineitem""",
     # Image samples: five products, 64 samples per line.
     "v_pixel": """
 SELECT 'IMG-' || CAST(o_orderkey % 5 AS string) AS product_id, CAST(floor(o_orderkey / 5 / 64) AS bigint) AS line,
