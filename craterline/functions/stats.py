@@ -106,11 +106,6 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], carry: list[
                   .drop("_lag", "_carry", "_chunk", "_kc", *[f"_k{i}" for i in range(len(keys))]))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
-    """Broadcast a table only after counting that it is short; otherwise leave the join to Spark."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def _tie_break(df: DataFrame, order: list[str]) -> Column:
     """The order columns, then every other comparable column, so that ties resolve the same way each run."""
     rest = [f.name for f in df.schema.fields if f.name not in order and "map<" not in f.dataType.simpleString()]

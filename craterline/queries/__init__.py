@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["world", "gaps", "geometry", "raster", "matching", "benchmark"]
+MODULES = ["world", "gaps", "geometry", "raster", "matching", "benchmark", "graph", "sources", "plans"]
 
 
 def load_all() -> None:

@@ -169,9 +169,27 @@ def d27_ablate_parallax(t: Tables):
     return B.ablate(full, flat, ["o_orderkey"], ["displacement_m"], "Physical Parallax Modeling")
 
 
-@query("SELECT row_number() OVER (ORDER BY matcher, pair_id, candidates, inliers) AS pos, pair_id, matcher, candidates FROM v_run WHERE matcher = 'ORB' AND pair_id = (SELECT min(pair_id) FROM v_run)")
+@query("SELECT pair_id, matcher, candidates FROM v_run WHERE matcher = 'ORB' AND pair_id = (SELECT min(pair_id) FROM v_run)")
 def p07_filter_results(t: Tables):
     first = t.run.agg(F.min("pair_id")).first()[0]
-    from pyspark.sql import Window
-    pos = F.row_number().over(Window.orderBy("matcher", "pair_id", "candidates", "inliers")).cast("long")
-    return B.filter_results(t.run, first, "ORB").withColumn("pos", pos).select("pos", "pair_id", "matcher", "candidates")
+    return B.filter_results(t.run, first, "ORB").select("pair_id", "matcher", "candidates")
+
+
+def tiered(t: Tables):
+    n = F.col("o_orderkey") % 4 + 1
+    return t.orders.select(F.concat(F.lit("P-"), F.col("o_orderkey").cast("string")).alias("pair_id"), n.cast("int").alias("priority_tier"), (F.col("o_custkey") % 3 != 0).alias("is_real_data"))
+
+
+@query("SELECT 'P-' || o_orderkey AS pair_id, CAST(o_orderkey % 4 + 1 AS integer) AS priority_tier FROM orders WHERE o_orderkey % 4 + 1 = 2 AND o_custkey % 3 <> 0 ORDER BY priority_tier, pair_id")
+def p06_list_pairs(t: Tables):
+    return B.list_pairs(tiered(t), 2, real_only=True).select("pair_id", "priority_tier")
+
+
+@query("SELECT 'P-' || o_orderkey AS pair_id, CAST(o_orderkey % 4 + 1 AS integer) AS priority_tier FROM orders ORDER BY priority_tier, pair_id LIMIT 10")
+def o04_first_ten(t: Tables):
+    return B.list_pairs(tiered(t)).limit(10).select("pair_id", "priority_tier")
+
+
+@query("SELECT pair_id, matcher, is_real_data FROM v_run WHERE is_real_data")
+def p14_real_only(t: Tables):
+    return B.real_results(t.run).select("pair_id", "matcher", "is_real_data")

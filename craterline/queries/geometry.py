@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from craterline import constants as C
 from craterline.functions import geo
-from craterline.functions.stats import broadcast_if_small
+from craterline.functions.stage import stage
 from craterline.operators import geometry as G
 from craterline.queries.registry import Tables, query
 
@@ -21,10 +21,10 @@ class Prepared:
     """Cell tables of one Tables object, built once."""
 
     def __init__(self, t: Tables):
-        self.source = G.grid_cells(t.source_node).persist()
-        self.target = G.grid_cells(t.target_node).persist()
-        self.source_meta = broadcast_if_small(G.grid_meta(self.source))
-        self.target_meta = broadcast_if_small(G.grid_meta(self.target))
+        self.source = stage(G.grid_cells(t.source_node))
+        self.target = stage(G.grid_cells(t.target_node))
+        self.source_meta = stage(G.grid_meta(self.source))
+        self.target_meta = stage(G.grid_meta(self.target))
         lines = t.dem.agg(F.max("line")).first()[0] + 1
         self.frame = G.DemFrame(0.3, 0.3 + lines / PPD, 20.0, 21.6, PPD, lines, 128)
         self.dem = G.dem_cells(t.dem, self.frame)
@@ -87,7 +87,7 @@ def j09_project_between(t: Tables):
        {"mean_residual_m": 4, "median_residual_m": 4, "max_residual_m": 4})
 def a02_round_trip_residual(t: Tables):
     p = Prepared(t)
-    trips = G.round_trip(points(t), KEY, p.source, p.source_meta, p.target, p.target_meta).persist()
+    trips = stage(G.round_trip(points(t), KEY, p.source, p.source_meta, p.target, p.target_meta))
     return G.round_trip_statistics(trips).select("total_points", "valid_count", "invalid_count", "mean_residual_m", "median_residual_m", "max_residual_m")
 
 
@@ -124,7 +124,7 @@ STATS = {c: 3 for c in ("valid_percentage", "min_elevation_m", "max_elevation_m"
   avg(elevation_m) AS mean_elevation_m, quantile_cont(elevation_m, 0.5) AS median_elevation_m, stddev_pop(elevation_m) AS std_elevation_m FROM el""", STATS)
 def a01_elevation_statistics(t: Tables):
     p = Prepared(t)
-    heights = G.pixel_to_terrain(points(t), p.source, p.source_meta, p.dem, p.frame).select("elevation_m").persist()
+    heights = stage(G.pixel_to_terrain(points(t), p.source, p.source_meta, p.dem, p.frame).select("elevation_m"))
     return G.elevation_statistics(heights).select(
         "total_points", "valid_count", "nodata_count", *STATS)
 

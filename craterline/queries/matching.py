@@ -190,8 +190,7 @@ def d08_pair_uncertainty(t: Tables):
 
 
 @query(f"""WITH {UNC} SELECT correspondence_id, CASE WHEN total < 0.3 THEN 'LOW' WHEN total < 0.6 THEN 'MODERATE' WHEN total < 0.85 THEN 'HIGH' ELSE 'SATURATED' END AS qualitative,
-  floor(greatest(0, total - 0.15) * 10000 + 0.5) / 10000 AS interval_low, floor(least(1, total + 0.15) * 10000 + 0.5) / 10000 AS interval_high, total * 0.6 AS cov11, d * 0.2 AS cov12 FROM v""",
-       {c: 3 for c in ("cov11", "cov12")})
+  floor(greatest(0, total - 0.15) * 10000 + 0.5) / 10000 AS interval_low, floor(least(1, total + 0.15) * 10000 + 0.5) / 10000 AS interval_high, floor(total * 0.6 * 10000 + 0.5) / 10000 AS cov11, floor(d * 0.2 * 10000 + 0.5) / 10000 AS cov12 FROM v""")
 def m17_uncertainty_view(t: Tables):
     v = V.uncertainty_view(V.pair_uncertainty(t.profile))
     return v.select("correspondence_id", "qualitative", "interval_low", "interval_high", F.col("covariance")[0][0].alias("cov11"), F.col("covariance")[0][1].alias("cov12"))
