@@ -114,58 +114,69 @@ def pixel_to_ground(points: DataFrame, cells: DataFrame, meta: DataFrame, grid:
     return j.select(*points.columns, blend("lon").alias(lon), blend("lat").alias(lat))
 
 
-EDGE = 1e-9
+RIM = 1e-9
 
 
-def ground_to_pixel(points: DataFrame, key: list[str], cells: DataFrame, meta: DataFrame, grid: str = "grid_id",
+def ground_to_pixel(points: DataFrame, cells: DataFrame, meta: DataFrame, grid: str = "grid_id",
                     lon: str = "lon", lat: str = "lat", pixel: str = "pixel", scan: str = "scan") -> DataFrame:
     """Pixel and scan of ground points, linear on two triangles per cell; null outside the swath.
 
-    ``key`` identifies a point. A point on a shared edge meets several cells; the one with the
-    lowest corner is kept.
+    Neighbouring cells test the edge they share with the same numbers, and only one of them owns
+    it, so a point meets one cell at most: the left join keeps the rows as they are and nothing
+    has to be grouped afterwards. The rim of the lattice counts as inside within ``RIM``.
     """
-    c = _with_meta(cells, meta, ["lon_step", "lat_step"])
-    spread = lambda cols, step: F.sequence(_bucket(F.least(*cols) - step * EDGE, step), _bucket(F.greatest(*cols) + step * EDGE, step))
+    c = _with_meta(cells, meta, ["lon_step", "lat_step", "pixel_min", "pixel_max", "scan_min", "scan_max"])
+    spread = lambda cols, step: F.sequence(_bucket(F.least(*cols) - step * RIM, step), _bucket(F.greatest(*cols) + step * RIM, step))
+    area = ((F.col("lon10") - F.col("lon00")) * (F.col("lat01") - F.col("lat00")) - (F.col("lat10") - F.col("lat00")) * (F.col("lon01") - F.col("lon00")))
+    slack = lambda at_rim: F.when(at_rim, F.abs(area) * RIM).otherwise(F.lit(0.0))
+    c = c.withColumns({
+        "_turn": F.signum(area), "_low_s": slack(F.col("s0") == F.col("_scan_min")), "_low_p": slack(F.col("p0") == F.col("_pixel_min")),
+        "_top_s": slack(F.col("s1") == F.col("_scan_max")), "_top_p": slack(F.col("p1") == F.col("_pixel_max"))})
     c = (c.withColumn("_xb", F.explode(spread([F.col(n) for n in LONS], F.col("_lon_step"))))
           .withColumn("_yb", F.explode(spread([F.col(n) for n in LATS], F.col("_lat_step")))))
-    c = c.select(F.col("grid_id").alias("_cg"), "_xb", "_yb", "p0", "p1", "s0", "s1", *LONS, *LATS)
+    c = c.select(F.col("grid_id").alias("_cg"), "_xb", "_yb", "_turn", "_low_s", "_low_p", "_top_s", "_top_p", "p0", "p1", "s0", "s1", *LONS, *LATS)
     q = _with_meta(points, meta, ["lon_step", "lat_step"], grid)
     q = q.withColumn("_qx", _bucket(F.col(lon), F.col("_lon_step"))).withColumn("_qy", _bucket(F.col(lat), F.col("_lat_step")))
-
-    def weights(a: str, b: str, d: str) -> tuple[Column, Column, Column]:
-        ax, ay, bx, by, dx, dy = (F.col(f"{n}{k}") for k in (a, b, d) for n in ("lon", "lat"))
-        x, y = F.col(lon), F.col(lat)
-        den = (by - dy) * (ax - dx) + (dx - bx) * (ay - dy)
-        den = F.when(den != 0, den)
-        w1 = ((by - dy) * (x - dx) + (dx - bx) * (y - dy)) / den
-        w2 = ((dy - ay) * (x - dx) + (ax - dx) * (y - dy)) / den
-        return w1, w2, F.lit(1.0) - w1 - w2
-
-    low, high = weights("00", "10", "01"), weights("11", "01", "10")
-    covers = lambda w: F.coalesce(F.least(*w) >= -EDGE, F.lit(False))
-    j = q.join(c, (q[grid] == c["_cg"]) & (q["_qx"] == c["_xb"]) & (q["_qy"] == c["_yb"]) & (covers(low) | covers(high)), "left")
-    p0, p1, s0, s1 = (F.col(n) for n in ("p0", "p1", "s0", "s1"))
-    in_low = covers(low)
-    px = F.when(in_low, low[0] * p0 + low[1] * p1 + low[2] * p0).otherwise(high[0] * p1 + high[1] * p0 + high[2] * p1)
-    sc = F.when(in_low, low[0] * s0 + low[1] * s0 + low[2] * s1).otherwise(high[0] * s1 + high[1] * s1 + high[2] * s0)
-    hit = F.when(p0.isNotNull(), F.struct(p0, s0, px.alias("px"), sc.alias("sc")))
-    rest = [n for n in points.columns if n not in key]
-    carried = [F.first(n).alias(n) for n in rest]
-    g = j.select(*points.columns, hit.alias("_hit")).groupBy(*key).agg(*carried, F.min("_hit").alias("_hit"))
-    return g.select(*points.columns, F.col("_hit.px").alias(pixel), F.col("_hit.sc").alias(scan))
-
-
-def project_between(points: DataFrame, key: list[str], source_cells: DataFrame, source_meta: DataFrame,
+    x, y = F.col(lon), F.col(lat)
+
+    def side(a: str, b: str) -> Column:
+        """Positive where the point lies to the left of the edge a to b, seen in lattice orientation."""
+        ax, ay, bx, by = F.col(f"lon{a}"), F.col(f"lat{a}"), F.col(f"lon{b}"), F.col(f"lat{b}")
+        return ((bx - ax) * (y - ay) - (by - ay) * (x - ax)) * F.col("_turn")
+
+    top, right = side("01", "11"), side("10", "11")
+    inside = ((side("00", "10") >= -F.col("_low_s")) & (side("00", "01") <= F.col("_low_p"))
+              & ((top < 0) | ((F.col("_top_s") > 0) & (top <= F.col("_top_s"))))
+              & ((right > 0) | ((F.col("_top_p") > 0) & (right >= -F.col("_top_p")))))
+    j = q.join(c, (q[grid] == c["_cg"]) & (q["_qx"] == c["_xb"]) & (q["_qy"] == c["_yb"]) & inside, "left")
+
+    def share(corner: str, along: str, across: str) -> tuple[Column, Column]:
+        """Steps from a corner towards its two neighbours that reach the point."""
+        ax, ay = F.col(f"lon{corner}"), F.col(f"lat{corner}")
+        ux, uy, vx, vy = F.col(f"lon{along}") - ax, F.col(f"lat{along}") - ay, F.col(f"lon{across}") - ax, F.col(f"lat{across}") - ay
+        den = ux * vy - uy * vx
+        return ((x - ax) * vy - (y - ay) * vx) / den, (ux * (y - ay) - uy * (x - ax)) / den
+
+    low = side("10", "01") >= 0
+    (u0, v0), (u1, v1) = share("00", "10", "01"), share("11", "01", "10")
+    wide, tall = F.col("p1") - F.col("p0"), F.col("s1") - F.col("s0")
+    px = F.when(low, F.col("p0") + u0 * wide).otherwise(F.col("p1") - u1 * wide)
+    sc = F.when(low, F.col("s0") + v0 * tall).otherwise(F.col("s1") - v1 * tall)
+    found = F.col("p0").isNotNull()
+    return j.select(*points.columns, F.when(found, px).alias(pixel), F.when(found, sc).alias(scan))
+
+
+def project_between(points: DataFrame, source_cells: DataFrame, source_meta: DataFrame,
                     target_cells: DataFrame, target_meta: DataFrame) -> DataFrame:
     """Source (grid_id, pixel, scan) to target (target_grid_id, target_pixel, target_scan) on the datum."""
     ground = pixel_to_ground(points, source_cells, source_meta)
-    return ground_to_pixel(ground, key, target_cells, target_meta, grid="target_grid_id", pixel="target_pixel", scan="target_scan")
+    return ground_to_pixel(ground, target_cells, target_meta, grid="target_grid_id", pixel="target_pixel", scan="target_scan")
 
 
-def round_trip(points: DataFrame, key: list[str], source_cells: DataFrame, source_meta: DataFrame,
+def round_trip(points: DataFrame, source_cells: DataFrame, source_meta: DataFrame,
                target_cells: DataFrame, target_meta: DataFrame) -> DataFrame:
     """Each point with the ground residual after source, target and back to ground."""
-    there = project_between(points, key, source_cells, source_meta, target_cells, target_meta)
+    there = project_between(points, source_cells, source_meta, target_cells, target_meta)
     back = pixel_to_ground(there, target_cells, target_meta, grid="target_grid_id", pixel="target_pixel", scan="target_scan",
                            lon="back_lon", lat="back_lat")
     d_lon, d_lat = F.col("back_lon") - F.col("lon"), F.col("back_lat") - F.col("lat")
@@ -306,13 +317,13 @@ class GridPair:
     view: PushBroom
 
 
-def target_corridors(points: DataFrame, key: list[str], grids: GridPair, margin_m: float = 150.0, scan_margin: float = 2.0) -> DataFrame:
+def target_corridors(points: DataFrame, grids: GridPair, margin_m: float = 150.0, scan_margin: float = 2.0) -> DataFrame:
     """Elevation-bounded search corridor of each point (grid_id, target_grid_id, pixel, scan).
 
     Three joins: source cell, elevation cell, target cell. Rejection reasons are kept as rows.
     """
     terrain = pixel_to_terrain(points, grids.source_cells, grids.source_meta, grids.elevation_cells, grids.frame)
-    df = ground_to_pixel(terrain, key, grids.target_cells, grids.target_meta, grid="target_grid_id",
+    df = ground_to_pixel(terrain, grids.target_cells, grids.target_meta, grid="target_grid_id",
                          pixel="target_pixel", scan="target_scan")
     df = _with_meta(df, grids.target_meta, ["pixel_min", "pixel_max", "scan_min", "scan_max"], "target_grid_id")
     known = F.col("elevation_m").isNotNull() & F.col("lon").isNotNull()
@@ -346,9 +357,9 @@ def target_corridors(points: DataFrame, key: list[str], grids: GridPair, margin_
               .drop("_a", "_b", "_pixel_min", "_pixel_max", "_scan_min", "_scan_max"))
 
 
-def physical_gates(points: DataFrame, key: list[str], grids: GridPair, margin_m: float = 150.0) -> DataFrame:
+def physical_gates(points: DataFrame, grids: GridPair, margin_m: float = 150.0) -> DataFrame:
     """Six ordered gates per point; the first failing one is the reason. One row per input point."""
-    df = target_corridors(points, key, grids, margin_m)
+    df = target_corridors(points, grids, margin_m)
     shift = grids.view.shift(F.col("elevation_m"), F.col("target_pixel"))
     reasons = C.GATE_REASONS
     reason = first_of([
@@ -372,7 +383,7 @@ def point_id(pixel: Column, scan: Column, ordinal: Column | None = None) -> Colu
     return F.concat(F.lit("PT_"), F.rint(pixel).cast("long").cast("string"), F.lit("_"), F.rint(scan).cast("long").cast("string"))
 
 
-def gate_matches(matches: DataFrame, key: list[str], grids: GridPair, view_width: int | None = None, view_height: int | None = None) -> DataFrame:
+def gate_matches(matches: DataFrame, grids: GridPair, view_width: int | None = None, view_height: int | None = None) -> DataFrame:
     """Gate the source points of matches given in view coordinates (src_x, src_y).
 
     A view below full height is scaled to the full frame of the high-resolution camera.
@@ -382,7 +393,7 @@ def gate_matches(matches: DataFrame, key: list[str], grids: GridPair, view_width
         sx = (C.OHRC_SAMPLES - 1.0) / max(view_width - 1, 1)
         sy = (C.OHRC_LINES - 1.0) / max(view_height - 1, 1)
     points = matches.withColumn("pixel", F.col("src_x") * sx).withColumn("scan", F.col("src_y") * sy)
-    return physical_gates(points, key, grids)
+    return physical_gates(points, grids)
 
 
 def gate_tally(gated: DataFrame, pair: str = "pair_id") -> DataFrame:

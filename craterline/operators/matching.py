@@ -181,43 +181,61 @@ def _area(xy: np.ndarray) -> float:
     return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2.0)
 
 
-def hull_areas(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
+OCTANTS = [(1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1)]
+
+
+def _outer_points(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct points of each key that do not lie strictly inside the octagon of its extremes."""
+    xy = F.struct("x", "y")
+    far = rows.groupBy(*keys).agg(*[F.max_by(xy, F.col("x") * dx + F.col("y") * dy).alias(f"_o{i}") for i, (dx, dy) in enumerate(OCTANTS)])
+    far = far.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[f"_o{i}" for i in range(8)])
+    j = rows.join(far, [rows[k] == far[f"_k{i}"] for i, k in enumerate(keys)])
+    x, y = F.col("x"), F.col("y")
+    left = []
+    for i in range(8):
+        ax, ay, bx, by = F.col(f"_o{i}.x"), F.col(f"_o{i}.y"), F.col(f"_o{(i + 1) % 8}.x"), F.col(f"_o{(i + 1) % 8}.y")
+        left.append(((ax == bx) & (ay == by)) | ((bx - ax) * (y - ay) - (by - ay) * (x - ax) > 0))
+    inside = left[0]
+    for c in left[1:]:
+        inside = inside & c
+    return j.filter(~(inside & (F.col("_o0.x") > F.col("_o4.x")))).select(*keys, "x", "y").distinct()
+
+
+def hull_areas(points: DataFrame, keys: list[str], x: str, y: str, block: int = 50_000) -> DataFrame:
     """Convex hull area per key.
 
-    The hull of a union is the hull of the partial hulls, so every task first reduces its own rows
-    to hull corners without any shuffle; the corners are reduced once more in salted groups, and
-    only what is left of a key meets in one place.
+    Points strictly inside the octagon of a key's extremes are dropped by built-in expressions,
+    which leaves few. The rest is cut in blocks of bounded size; as the hull of a union is the
+    hull of the partial hulls, only block hulls of a key meet in one place.
     """
-    rows = points.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
-    kind = rows.schema["k"].dataType.simpleString()
+    rows = points.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna(subset=["x", "y"])
+    packs = _packed(_outer_points(rows, keys), keys, ["x", "y"], F.array("x", "y"), block)
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
     def corners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for k, g in pdf.groupby("k", sort=False):
-                h = _hull(g[["x", "y"]].to_numpy())
-                yield pd.DataFrame({"k": [k] * len(h), "x": h[:, 0], "y": h[:, 1]})
+            pdf["flat"] = [_hull(np.asarray(f).reshape(-1, 2)).ravel() for f in pdf["flat"]]
+            yield pdf
 
-    part = rows.mapInPandas(corners, f"k {kind}, x double, y double")
-    salted = part.repartition("k", F.pmod(F.xxhash64("x", "y"), F.lit(16))).mapInPandas(corners, f"k {kind}, x double, y double")
-
-    def area(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "hull_area": [_area(_hull(pdf[["x", "y"]].to_numpy()))]})
+    def area(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf["hull_area"] = [_area(_hull(np.asarray(f).reshape(-1, 2))) for f in pdf["flat"]]
+            yield pdf[[*keys, "hull_area"]]
 
-    return salted.groupBy("k").applyInPandas(area, f"k {kind}, hull_area double").withColumnRenamed("k", key)
+    part = packs.select(*keys, F.flatten("items").alias("flat")).mapInPandas(corners, f"{kinds}, flat array<double>")
+    whole = part.groupBy(*keys).agg(F.flatten(F.collect_list("flat")).alias("flat"))
+    return whole.mapInPandas(area, f"{kinds}, hull_area double")
 
 
 def hull_ratio(points: DataFrame, width: float, height: float) -> DataFrame:
     """Hull share of the frame per pair, averaged over the source and the target points."""
-    ratio = lambda c: clip(F.col(c) / F.lit(float(width * height)), 0.0, 1.0)
     sides = points.select("pair_id", F.explode(F.array(
-        F.struct(F.lit("s").alias("side"), F.col("src_x").alias("x"), F.col("src_y").alias("y")),
-        F.struct(F.lit("t").alias("side"), F.col("tgt_x").alias("x"), F.col("tgt_y").alias("y")))).alias("p"))
-    keyed = sides.select(F.concat_ws("|", F.col("p.side"), F.col("pair_id").cast("string")).alias("k"), "pair_id", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
-    areas = hull_areas(keyed, "k", "x", "y")
-    split = areas.select(F.substring("k", 1, 1).alias("side"), F.expr("substring(k, 3)").cast(points.schema["pair_id"].dataType).alias("pair_id"), "hull_area")
-    return split.groupBy("pair_id").agg(
-        F.max(F.when(F.col("side") == "s", ratio("hull_area"))).alias("src_hull_ratio"),
-        F.max(F.when(F.col("side") == "t", ratio("hull_area"))).alias("tgt_hull_ratio")).withColumn(
+        F.struct(F.lit(0).alias("side"), F.col("src_x").alias("x"), F.col("src_y").alias("y")),
+        F.struct(F.lit(1).alias("side"), F.col("tgt_x").alias("x"), F.col("tgt_y").alias("y")))).alias("p")).select("pair_id", "p.*")
+    areas = hull_areas(sides, ["pair_id", "side"], "x", "y").withColumn("r", clip(F.col("hull_area") / F.lit(float(width * height)), 0.0, 1.0))
+    return areas.groupBy("pair_id").agg(
+        F.max(F.when(F.col("side") == 0, F.col("r"))).alias("src_hull_ratio"),
+        F.max(F.when(F.col("side") == 1, F.col("r"))).alias("tgt_hull_ratio")).withColumn(
         "hull_ratio", (F.col("src_hull_ratio") + F.col("tgt_hull_ratio")) / 2.0)
 
 

@@ -6,6 +6,8 @@ or direct look-ups by index.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from craterline import constants as C
@@ -18,24 +20,45 @@ PPD = 80.0
 
 
 class Prepared:
-    """Cell tables of one Tables object, built once."""
+    """Cell tables of one Tables object, each built once and only when asked for."""
 
     def __init__(self, t: Tables):
-        self.source = stage(G.grid_cells(t.source_node))
-        self.target = stage(G.grid_cells(t.target_node))
-        self.source_meta = stage(G.grid_meta(self.source))
-        self.target_meta = stage(G.grid_meta(self.target))
-        lines = t.dem.agg(F.max("line")).first()[0] + 1
-        self.frame = G.DemFrame(0.3, 0.3 + lines / PPD, 20.0, 21.6, PPD, lines, 128)
-        self.dem = G.dem_cells(t.dem, self.frame)
-        self.grids = G.GridPair(self.source, self.source_meta, self.target, self.target_meta, self.dem, self.frame, G.PushBroom.named("TMC-2"))
+        self._t = t
+
+    @cached_property
+    def source(self):
+        return stage(G.grid_cells(self._t.source_node))
+
+    @cached_property
+    def target(self):
+        return stage(G.grid_cells(self._t.target_node))
+
+    @cached_property
+    def source_meta(self):
+        return stage(G.grid_meta(self.source))
+
+    @cached_property
+    def target_meta(self):
+        return stage(G.grid_meta(self.target))
+
+    @cached_property
+    def frame(self):
+        lines = self._t.dem.agg(F.max("line")).first()[0] + 1
+        return G.DemFrame(0.3, 0.3 + lines / PPD, 20.0, 21.6, PPD, lines, 128)
+
+    @cached_property
+    def dem(self):
+        return G.dem_cells(self._t.dem, self.frame)
+
+    @cached_property
+    def grids(self):
+        return G.GridPair(self.source, self.source_meta, self.target, self.target_meta, self.dem, self.frame, G.PushBroom.named("TMC-2"))
 
 
 def points(t: Tables):
     return t.point.withColumn("grid_id", F.lit("SRC")).withColumn("target_grid_id", F.lit("TGT"))
 
 
-KEY = ["point_id"]
 # Source ground, then elevation, then target pixel, each by index or closed form.
 FORWARD = """n AS (SELECT count(*) AS k FROM orders),
   fw AS (SELECT p.*, CASE WHEN ok THEN 20 + pixel * 0.00025 + scan * 0.00001 END AS lon, CASE WHEN ok THEN 0.5 + scan * 0.00002 - pixel * 0.000003 END AS lat FROM (
@@ -71,14 +94,14 @@ GROUND = """gp AS (SELECT l_orderkey || '-' || l_partkey || '-' || l_suppkey ||
 def j08_ground_to_pixel(t: Tables):
     p = Prepared(t)
     g = t.spark.sql(f"WITH {GROUND.replace('lineitem', '{lineitem}')} SELECT *, 'TGT' AS grid_id FROM gp", lineitem=t.lineitem)
-    return G.ground_to_pixel(g, KEY, p.target, p.target_meta).select("point_id", "pixel", "scan")
+    return G.ground_to_pixel(g, p.target, p.target_meta).select("point_id", "pixel", "scan")
 
 
 @query(f"WITH {FORWARD}, {INVERSE.format(src='fw')} SELECT point_id, lon, lat, target_pixel, target_scan FROM tg",
        {"lon": 6, "lat": 6, "target_pixel": 4, "target_scan": 4})
 def j09_project_between(t: Tables):
     p = Prepared(t)
-    return G.project_between(points(t), KEY, p.source, p.source_meta, p.target, p.target_meta).select(
+    return G.project_between(points(t), p.source, p.source_meta, p.target, p.target_meta).select(
         "point_id", "lon", "lat", "target_pixel", "target_scan")
 
 
@@ -87,7 +110,7 @@ def j09_project_between(t: Tables):
        {"mean_residual_m": 4, "median_residual_m": 4, "max_residual_m": 4})
 def a02_round_trip_residual(t: Tables):
     p = Prepared(t)
-    trips = stage(G.round_trip(points(t), KEY, p.source, p.source_meta, p.target, p.target_meta))
+    trips = stage(G.round_trip(points(t), p.source, p.source_meta, p.target, p.target_meta))
     return G.round_trip_statistics(trips).select("total_points", "valid_count", "invalid_count", "mean_residual_m", "median_residual_m", "max_residual_m")
 
 
@@ -166,7 +189,7 @@ GATES = f"""{FORWARD}, {ELEVATION}, {INVERSE.format(src='el')},
        {c: 3 for c in ("target_pixel", "target_scan", "corridor_pixel_min", "corridor_pixel_max", "corridor_width_m")})
 def d03_target_corridors(t: Tables):
     p = Prepared(t)
-    return G.target_corridors(points(t), KEY, p.grids).select(
+    return G.target_corridors(points(t), p.grids).select(
         "point_id", "target_pixel", "target_scan", "corridor_pixel_min", "corridor_pixel_max", "corridor_width_m", "corridor_reason")
 
 
@@ -179,13 +202,13 @@ GATED = f"""{GATES}, gt AS (SELECT *, CASE WHEN lon IS NULL THEN '{C.GATE_REASON
        {"predicted_pixel": 3, "parallax_shift_px": 4})
 def d04_physical_gates(t: Tables):
     p = Prepared(t)
-    return G.physical_gates(points(t), KEY, p.grids).select("point_id", "predicted_pixel", "parallax_shift_px", "rejection_reason", "is_accepted")
+    return G.physical_gates(points(t), p.grids).select("point_id", "predicted_pixel", "parallax_shift_px", "rejection_reason", "is_accepted")
 
 
 def gated(t: Tables):
     p = Prepared(t)
     m = points(t).withColumnsRenamed({"pixel": "src_x", "scan": "src_y"})
-    return G.gate_matches(m, KEY, p.grids)
+    return G.gate_matches(m, p.grids)
 
 
 @query(f"""WITH {GATED}, c AS (SELECT pair_id, rejection_reason, count(*) AS k FROM gt GROUP BY pair_id, rejection_reason)
@@ -248,7 +271,7 @@ def p09_corridor_contains(t: Tables):
 def p08_domain_predicates(t: Tables):
     p = Prepared(t)
     frame = G.DemFrame(0.3, 1.3, 20.0, 21.6, PPD, 80, 128)
-    df = G.project_between(points(t), KEY, p.source, p.source_meta, p.target, p.target_meta)
+    df = G.project_between(points(t), p.source, p.source_meta, p.target, p.target_meta)
     return df.select("point_id", F.col("lon").isNotNull().alias("in_source"), F.coalesce(G.dem_contains(frame, F.col("lon"), F.col("lat")), F.lit(False)).alias("in_dem"),
                      F.col("target_pixel").isNotNull().alias("ground_in_target"))
 

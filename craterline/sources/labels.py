@@ -51,6 +51,12 @@ def _clean(content: Column) -> Column:
 LEAF = r"<([A-Za-z_][\w.\-]*)(?:\s[^<>]*)?>([^<]*)</\1>"
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later columns read many times; the generator keeps them from being computed again for each."""
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.withColumn("_row", F.explode(F.array(row))).select(*df.columns, "_row.*")
+
+
 def _leaves(xml: Column) -> tuple[Column, Column]:
     names = F.regexp_extract_all(xml, F.lit(LEAF), F.lit(1))
     values = F.regexp_extract_all(xml, F.lit(LEAF), F.lit(2))
@@ -89,15 +95,16 @@ def parse_labels(files: DataFrame, corners: str = "system", override: Column | N
     by default the first corners of the document count.
     """
     df = with_name(files) if "file_name" not in files.columns else files
-    df = df.withColumn("_xml", _clean(F.col("content").cast("string")))
+    df = df.withColumn("adapter", adapter_of(F.col("file_name"), override))
+    df = _once(df, _xml=_clean(F.col("content").cast("string")))
     names, values = _leaves(F.col("_xml"))
-    df = df.withColumn("adapter", adapter_of(F.col("file_name"), override)).withColumn("_names", names).withColumn("_values", values)
+    df = _once(df, _names=names, _values=values, _parts=_blocks(F.col("_xml"), "Observing_System_Component"))
     num = {k: _number(C.LABEL_TAGS[k]) for k in (
         "sun_azimuth_deg", "sun_elevation_deg", "incidence_angle_deg", "emission_angle_deg", "phase_angle_deg", "spacecraft_altitude_km",
         "bound_lat_min", "bound_lat_max", "bound_lon_min", "bound_lon_max")}
     a = F.col("adapter")
     issdc, lroc = a == "ISSDC", a == "LROC"
-    comp = _blocks(F.col("_xml"), "Observing_System_Component")
+    comp = F.col("_parts")
     kinds = lambda word: F.filter(comp, lambda b: F.upper(_inside(b, "type")).contains(word) & _inside(b, "name").isNotNull())
     declared = _inside(F.try_element_at(kinds("INSTRUMENT"), F.lit(-1)), "name")
     mission = _inside(F.try_element_at(F.filter(comp, lambda b: F.upper(_inside(b, "type")).rlike("MISSION|INVESTIGATION") & _inside(b, "name").isNotNull()), F.lit(-1)), "name")
@@ -115,14 +122,15 @@ def parse_labels(files: DataFrame, corners: str = "system", override: Column | N
         lats, lons = (F.when(F.size(pick(x)) > 0, pick(x)).otherwise(d) for x, d in (("latitude", lats), ("longitude", lons)))
     have = (F.size("_lats") > 0) & (F.size("_lons") > 0)
     array_block = F.coalesce(*[F.get(_blocks(F.col("_xml"), t), 0) for t in ("Array_2D_Image", "Array_3D_Image", "Array_2D")])
-    axes = _blocks(F.col("_array"), "Axis_Array")
+    axes = F.col("_axes")
 
     def axis(word: str) -> Column:
         hit = F.filter(axes, lambda b: F.lower(_inside(b, "axis_name")).contains(word))
         return _inside(F.try_element_at(hit, F.lit(-1)), "elements").try_cast("int")
 
     bins = _blocks(F.col("_xml"), "Band_Bin")
-    df = df.withColumns({"_lats": lats, "_lons": lons, "_array": array_block, "_bins": bins})
+    df = _once(df, _lats=lats, _lons=lons, _array=array_block, _bins=bins, _instrument=instrument)
+    df = _once(df, _axes=_blocks(F.col("_array"), "Axis_Array"))
     gsd = first_of([(issdc, _number(C.LABEL_TAGS["gsd_m"])), (lroc, _number(["pixel_resolution", "resolution"])), (a == "SELENE", _number(["resolution", "pixel_resolution"]))])
     known = lambda c: F.when(c, "KNOWN").otherwise("UNKNOWN")
     solar = {k: first_of([(issdc, num[k]), (lroc, _number([{"sun_azimuth_deg": "sun_azimuth_angle", "sun_elevation_deg": "sun_elevation_angle", "incidence_angle_deg": "incidence_angle"}.get(k, "-")]))])
@@ -133,7 +141,7 @@ def parse_labels(files: DataFrame, corners: str = "system", override: Column | N
     out = df.select(
         "path", "file_name", "extension", "adapter", F.coalesce(F.when(a != "GENERIC", F.when(a != "SELENE", _first(C.LABEL_TAGS["product_lid"]))), F.regexp_replace("file_name", r"\.[^.]+$", "")).alias("product_id"),
         first_of([(issdc, F.coalesce(mission, F.lit("Chandrayaan-2"))), (lroc, F.lit("Lunar Reconnaissance Orbiter")), (a == "SELENE", F.lit("SELENE / Kaguya"))]).alias("mission"),
-        instrument.alias("instrument"), F.when(issdc, _first(C.LABEL_TAGS["processing_level"])).alias("processing_level"),
+        F.col("_instrument").alias("instrument"), F.when(issdc, _first(C.LABEL_TAGS["processing_level"])).alias("processing_level"),
         F.when(issdc, T.iso_timestamp(_first(C.LABEL_TAGS["start_time"]))).alias("acquisition_time"),
         *[v.alias(k) for k, v in solar.items()], F.when(issdc, num["spacecraft_altitude_km"]).alias("spacecraft_altitude_km"), *[v.alias(k) for k, v in bounds.items()],
         F.when(issdc, _first(C.LABEL_TAGS["crs"])).alias("crs"), gsd.alias("gsd_m"), F.when(issdc, axis("line")).alias("lines"), F.when(issdc, axis("sample")).alias("samples"),
