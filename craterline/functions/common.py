@@ -18,7 +18,8 @@ def num(c: Column | float | int) -> Column:
 
 
 def clip(c: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(c, F.lit(low)), F.lit(high))
+    """Bounded value; null stays null, which least and greatest alone would hide."""
+    return F.when(c < low, F.lit(low)).when(c > high, F.lit(high)).otherwise(c)
 
 
 def round_at(c: Column, digits: int) -> Column:

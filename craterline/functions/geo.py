@@ -103,9 +103,10 @@ def corridor_contains(valid: Column, p_min: Column, p_max: Column, s_min: Column
 
 
 def boxes_overlap(lat_lo_a, lat_hi_a, lon_lo_a, lon_hi_a, lat_lo_b, lat_hi_b, lon_lo_b, lon_hi_b, strict: bool) -> Column:
-    """Interval overlap on both axes; ``strict`` leaves out boxes that only touch."""
-    lat_low, lat_high = F.greatest(lat_lo_a, lat_lo_b), F.least(lat_hi_a, lat_hi_b)
-    lon_low, lon_high = F.greatest(lon_lo_a, lon_lo_b), F.least(lon_hi_a, lon_hi_b)
-    if strict:
-        return (lat_low < lat_high) & (lon_low < lon_high)
-    return (lat_low <= lat_high) & (lon_low <= lon_high)
+    """Interval overlap on both axes; ``strict`` leaves out boxes that only touch. Null when a bound is null."""
+    def meet(lo_a, hi_a, lo_b, hi_b) -> Column:
+        if strict:
+            return (lo_a < hi_b) & (lo_b < hi_a) & (lo_a < hi_a) & (lo_b < hi_b)
+        return (lo_a <= hi_b) & (lo_b <= hi_a)
+
+    return meet(lat_lo_a, lat_hi_a, lat_lo_b, lat_hi_b) & meet(lon_lo_a, lon_hi_a, lon_lo_b, lon_hi_b)

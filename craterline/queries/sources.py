@@ -36,7 +36,8 @@ def label_files(t: Tables):
         F.when(k % 5 != 4, corners).otherwise(""), _tag("pixel_resolution", c("gsd_m")),
         F.lit("<Array_2D_Image><Axis_Array><axis_name>Line</axis_name><elements>"), (k % 900 + 1).cast("string"), F.lit("</elements></Axis_Array><Axis_Array><axis_name>Sample</axis_name><elements>1200</elements></Axis_Array>"
               "<Element_Array><data_type>UnsignedLSB2</data_type></Element_Array></Array_2D_Image>"), bands, F.lit("<pds:note/></pds:Product_Observational>"))
-    return t.footprint.select(F.concat(F.lit("file:/data/real/"), stem, F.lit(".xml")).alias("path"), body.alias("content"), F.length(body).cast("bigint").alias("length"))
+    # Writing and parsing texts is CPU work: spread the slim rows first.
+    return t.footprint.repartition("observation_id").select(F.concat(F.lit("file:/data/real/"), stem, F.lit(".xml")).alias("path"), body.alias("content"), F.length(body).cast("bigint").alias("length"))
 
 
 LABEL = """lb AS (SELECT observation_id AS k, sensor, CASE sensor WHEN 'LROC_NAC' THEN 'LROC_' WHEN 'SELENE_TC' THEN CASE WHEN observation_id % 2 = 0 THEN 'SELENE_TC_' ELSE 'SELENE_MI_' END ELSE 'ch2_prod_' END || observation_id AS stem,
