@@ -57,7 +57,7 @@ FROM (SELECT o.*, 1737400.0 * 2 * atan2(sqrt(a), sqrt(1 - a)) AS distance_m FROM
   FROM v_observation o JOIN v_entity e ON e.entity_id = o.entity_id) o)""",
     # Versioned reports of an observation about an entity; several per pair of keys.
     "v_report": """
-SELECT 'R' || CAST(l_suppkey AS string) AS entity_id, l_partkey AS observation_id, l_orderkey * 10 + l_linenumber AS version,
+SELECT 'R' || CAST(l_suppkey AS string) AS entity_id, l_partkey AS observation_id, (l_orderkey * 10 + l_linenumber) * 100 + CAST(l_quantity AS bigint) AS version,
   CASE l_linenumber % 4 WHEN 0 THEN 'OHRC' WHEN 1 THEN 'TMC-2' WHEN 2 THEN 'IIRS' ELSE 'LROC_NAC' END AS sensor, l_shipdate AS acquisition_time,
   CASE WHEN l_quantity >= 50 AND l_suppkey % 3 = 0 THEN 'CONTRADICTED' WHEN l_quantity > 25 THEN 'SUPPORTED' ELSE 'REJECTED' END AS status,
   CASE WHEN l_quantity > 45 THEN 'TEMPORAL' ELSE 'DIRECT' END AS association_type FROM lineitem""",

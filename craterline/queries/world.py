@@ -247,7 +247,7 @@ def d17_compatibility_matrix(t: Tables):
   SELECT observation_id, entity_id, CASE WHEN gsd_m IS NULL THEN 'UNKNOWN' ELSE 'INTERVAL' END AS geometry_type, lo AS geometry_low, hi AS geometry_high,
     CASE WHEN gsd_m IS NULL THEN 'UNKNOWN' WHEN distance_m > 200 THEN 'QUALITATIVE' ELSE 'INTERVAL' END AS association_type,
     CASE WHEN gsd_m IS NOT NULL AND distance_m > 200 THEN 'REJECTED_OUT_OF_BOUNDS' END AS association_label,
-    CASE WHEN distance_m <= 200 THEN hi + distance_m END AS association_high FROM g""", {"association_high": 2})
+    CASE WHEN distance_m <= 200 THEN floor((hi + distance_m) * 100 + 0.5) / 100 END AS association_high FROM g""")
 def d31_uncertainty_propagation(t: Tables):
     a = associations(t).join(t.footprint.select("observation_id", "gsd_m"), "observation_id")
     c = F.col("chain")
