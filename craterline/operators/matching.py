@@ -275,20 +275,24 @@ def _to_image(h: np.ndarray, fs: np.ndarray, ft: np.ndarray) -> np.ndarray:
 def fit_transforms(matches: DataFrame, threshold: float = 3.5, hypotheses: int = 500, seed: int = 7, block: int = BLOCK) -> DataFrame:
     """Best planar transform of each pair with at least four matches: pair_id, h, best_h, matches, inliers.
 
+    Equal matches are counted once with their number, so copies never pile up in one block.
+
     1. A pool of matches per pair is drawn by hash order; minimal samples of four come from it.
     2. Every hypothesis is scored on *all* matches of the pair, block by block, and the votes are
        summed map-side. The best has most inliers, then least error, then lowest number.
     3. The inliers of the best hypothesis give the least-squares transform, from sums of moments.
     """
-    m = matches.select("pair_id", "match_id", *[F.col(c).cast("double").alias(c) for c in ("src_x", "src_y", "tgt_x", "tgt_y")])
+    m = (matches.groupBy("pair_id", *[F.col(c).cast("double").alias(c) for c in ("src_x", "src_y", "tgt_x", "tgt_y")])
+         .agg(F.min("match_id").alias("match_id"), F.count("*").alias("copies")))
     kind = m.schema["pair_id"].dataType.simpleString()
-    counts = m.groupBy("pair_id").agg(F.count("*").alias("matches")).filter("matches >= 4")
-    sized = counts.select(F.col("pair_id").alias("_p"), "matches")
+    counts = m.groupBy("pair_id").agg(F.sum("copies").alias("matches"), F.count("*").alias("_places")).filter("matches >= 4")
+    sized = counts.select(F.col("pair_id").alias("_p"), "_places")
+    counts = counts.drop("_places")
     pool_size = 4 * hypotheses
     order = F.xxhash64(F.lit(seed), F.col("match_id"))
     # Uniform share in [0, 1): keeps about twice the pool, so that no pair is gathered whole.
     share = F.pmod(order, F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = m.join(sized, m["pair_id"] == sized["_p"]).filter(share < F.lit(2.0 * pool_size) / F.col("matches"))
+    drawn = m.join(sized, m["pair_id"] == sized["_p"]).filter(share < F.lit(2.0 * pool_size) / F.col("_places"))
     pool = drawn.groupBy("pair_id").agg(F.slice(F.array_sort(F.collect_list(F.struct(
         order.alias("o"), "src_x", "src_y", "tgt_x", "tgt_y"))), 1, pool_size).alias("pool"))
     flat = F.flatten(F.transform("pool", lambda p: F.array(p["src_x"], p["src_y"], p["tgt_x"], p["tgt_y"])))
@@ -311,18 +315,18 @@ def fit_transforms(matches: DataFrame, threshold: float = 3.5, hypotheses: int =
             yield pd.DataFrame(out, columns=["pair_id", "hyps", "frame"])
 
     proposals = pool.mapInPandas(propose, f"pair_id {kind}, hyps array<double>, frame array<double>")
-    packs = _packed(m, ["pair_id"], ["match_id"], F.array("src_x", "src_y", "tgt_x", "tgt_y"), block)
+    packs = _packed(m, ["pair_id"], ["match_id"], F.array("src_x", "src_y", "tgt_x", "tgt_y", F.col("copies").cast("double")), block)
     jobs = packs.select("pair_id", F.flatten("items").alias("flat")).join(proposals.select("pair_id", "hyps"), "pair_id")
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                p, h = np.asarray(row.flat).reshape(-1, 4), np.asarray(row.hyps).reshape(-1, 3, 3)
+                p, h = np.asarray(row.flat).reshape(-1, 5), np.asarray(row.hyps).reshape(-1, 3, 3)
                 q = h @ np.vstack([p[:, 0], p[:, 1], np.ones(len(p))])
                 w = np.where(np.abs(q[:, 2]) > 1e-12, q[:, 2], 1e-12)
                 e = np.hypot(q[:, 0] / w - p[:, 2], q[:, 1] / w - p[:, 3])
-                hit = e <= threshold
-                yield pd.DataFrame({"pair_id": [row.pair_id], "votes": [hit.sum(1).tolist()], "errors": [np.where(hit, e, 0.0).sum(1).tolist()]})
+                hit = np.where(e <= threshold, p[:, 4], 0.0)
+                yield pd.DataFrame({"pair_id": [row.pair_id], "votes": [hit.sum(1).astype("int64").tolist()], "errors": [(hit * e).sum(1).tolist()]})
 
     votes = jobs.mapInPandas(vote, f"pair_id {kind}, votes array<long>, errors array<double>")
     per_h = (votes.select("pair_id", F.posexplode(F.arrays_zip("votes", "errors")).alias("k", "v"))
@@ -354,10 +358,10 @@ def _moments(m: DataFrame, chosen: DataFrame, threshold: float) -> DataFrame:
     f = [F.element_at("frame", i + 1) for i in range(6)]
     x, y = (F.col("src_x") - f[0]) / f[2], (F.col("src_y") - f[1]) / f[2]
     u, v = (F.col("tgt_x") - f[3]) / f[5], (F.col("tgt_y") - f[4]) / f[5]
-    j = j.select("pair_id", x.alias("x"), y.alias("y"), u.alias("u"), v.alias("v"), "best_h", "frame")
+    j = j.select("pair_id", x.alias("x"), y.alias("y"), u.alias("u"), v.alias("v"), "copies", "best_h", "frame")
     x, y, u, v = (F.col(n) for n in "xyuv")
     base = [x * x, x * y, x, y * y, y, F.lit(1.0)]
-    sums = [F.sum(b * w) for w in (F.lit(1.0), u, v, u * u + v * v) for b in base]
+    sums = [F.sum(b * w * F.col("copies")) for w in (F.lit(1.0), u, v, u * u + v * v) for b in base]
     return j.groupBy("pair_id").agg(F.array(*sums).alias("sums"), F.first("best_h").alias("best_h"), F.first("frame").alias("frame"))
 
 

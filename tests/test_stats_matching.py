@@ -91,6 +91,9 @@ def test_fit_recovers_transform_with_outliers(spark):
         a, b = c @ h.T, c @ got.T
         assert np.abs(a[:, :2] / a[:, 2:] - b[:, :2] / b[:, 2:]).max() < 0.5
         assert fits[pair]["inliers"] >= 0.95 * n * (1 - bad)
+    # A third of all rows as copies of one match: counted, not piled up.
+    copies = m.unionByName(m.filter("match_id = '1-899'").crossJoin(spark.range(500)).drop("id"))
+    assert {r["pair_id"]: (r["matches"], r["inliers"]) for r in M.fit_transforms(copies, block=100).collect()}[1] == (1400, fits[1]["inliers"] + 500)
     again = {r["pair_id"]: r["inliers"] for r in M.fit_transforms(m.repartition(2), block=4096).collect()}
     assert again == {k: v["inliers"] for k, v in fits.items()}
 
