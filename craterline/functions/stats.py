@@ -47,9 +47,9 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
             packed.alias("s"), all_of([F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]))
         joined = joined.select(*[F.col(f"r.{k}").alias(k) for k in keys], F.col("r._v").alias("_v"), "_w")
     else:
-        # One row per probability: the broadcast side has a fixed size.
+        # One value for the whole table: a scalar subquery.
         packed = sketch.agg(F.collect_list(F.struct("_name", "_h", "_lo", "_hi")).alias("_w"))
-        joined = rows.join(F.broadcast(packed))
+        joined = rows.withColumn("_w", packed.scalar())
     w = F.col("_w1")
     counted = (
         joined.select(*keys, "_v", F.explode("_w").alias("_w1"))

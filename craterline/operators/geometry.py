@@ -194,7 +194,7 @@ def round_trip_statistics(trips: DataFrame) -> DataFrame:
         F.avg(F.abs("delta_lat")).alias("mean_delta_lat"), F.max(F.abs("delta_lat")).alias("max_delta_lat"),
         F.avg(r).alias("mean_residual_m"), F.max(r).alias("max_residual_m"), F.min(r).alias("min_residual_m"),
         F.stddev_pop(r).alias("std_residual_m"))
-    return one.join(exact_percentiles(trips, [], r, {"median_residual_m": 0.5}), how="left")
+    return one.withColumn("median_residual_m", exact_percentiles(trips, [], r, {"median_residual_m": 0.5}).scalar())
 
 
 # --- Elevation ----------------------------------------------------------------
@@ -268,7 +268,7 @@ def elevation_statistics(samples: DataFrame, value: str = "elevation_m") -> Data
         (F.count(v) / n * 100.0).alias("valid_percentage"), ((n - F.count(v)) / n * 100.0).alias("nodata_percentage"),
         F.min(v).alias("min_elevation_m"), F.max(v).alias("max_elevation_m"), F.avg(v).alias("mean_elevation_m"),
         F.stddev_pop(v).alias("std_elevation_m"))
-    return one.join(exact_percentiles(samples, [], value, {"median_elevation_m": 0.5}), how="left")
+    return one.withColumn("median_elevation_m", exact_percentiles(samples, [], value, {"median_elevation_m": 0.5}).scalar())
 
 
 # --- Terrain and corridors ----------------------------------------------------

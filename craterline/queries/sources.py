@@ -149,8 +149,7 @@ def a26_table_counts(t: Tables):
     o = t.observation.agg(F.count("*").alias("observations"), F.count_if("is_synthetic").alias("synthetic"))
     e = t.entity.agg(F.count("*").alias("entities"))
     p = t.profile.agg(F.count_if(F.col("status").isin("VERIFIED", "ACCEPTED")).alias("verified"))
-    # Three one-row tables.
-    return o.join(F.broadcast(e)).join(F.broadcast(p)).select("observations", "entities", "verified", "synthetic")
+    return o.withColumns({"entities": e.scalar(), "verified": p.scalar()}).select("observations", "entities", "verified", "synthetic")
 
 
 @query("SELECT pair_id, matcher, status, dominant_failure FROM (SELECT pair_id, matcher, CASE WHEN is_stable THEN 'ACCEPTED' ELSE 'REJECTED' END AS status, CAST(NULL AS varchar) AS dominant_failure FROM v_run)")
