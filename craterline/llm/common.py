@@ -34,11 +34,11 @@ def word_runs(data: bytes, size: int = RUN) -> Iterator[list[bytes]]:
         start = end
 
 
-def text_runs(texts: Iterable[bytes | None], size: int = RUN) -> Iterator[list[tuple[int, list[bytes]]]]:
-    """Lists of (row, words) of about ``size`` bytes. A long text comes in several pieces, in order."""
+def text_runs(texts: Iterable, size: int = RUN, parts: Callable = word_runs) -> Iterator[list[tuple[int, list]]]:
+    """Lists of (row, words) of about ``size`` bytes. A long text comes in several parts, in order; null and empty ones have no words."""
     held, weight = [], 0
     for row, text in enumerate(texts):
-        for words in word_runs(text, size) if text else ([],):
+        for words in parts(text, size) if text else ([],):
             held.append((row, words))
             weight += 1 + min(len(text or b""), size)
             if weight >= size:

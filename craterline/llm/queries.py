@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from craterline.llm import language, packing, simhash, toxicity
+from craterline.llm import chat, language, packing, sentencepiece_codec, simhash, token_count, topk, toxicity, vectors
 from craterline.llm.common import is_rest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,80 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tools that the turns of a conversation are taken to call.
+SCHEMAS = {"ask": {"query": ("string", True), "turn": ("integer", True), "limit": ("integer", False)},
+           "say": {"query": ("string", True), "turn": ("string", True)}}
+
+
+@query("""WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+asked AS (SELECT *, 'call_' || turn AS call_id, CASE WHEN turn % 4 < 2 THEN 'ask' WHEN turn % 4 = 2 THEN 'say' ELSE 'tell' END AS tool,
+                 CASE turn % 10 WHEN 0 THEN turn + 2 WHEN 1 THEN turn + 2 WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE turn - 2 END AS needs
+          FROM turns WHERE role = 'user'),
+said AS (SELECT *, 'call_' || (turn - 1) AS call_id FROM turns WHERE role = 'assistant'),
+placed AS (SELECT a.*, s.turn IS NOT NULL AS linked, coalesce(s.turn, a.turn) AS own_done, s.turn AS result_turn,
+                  CASE WHEN a.needs > a.turn AND n.turn IS NOT NULL THEN coalesce(ns.turn, n.turn) ELSE a.turn END AS place,
+                  CASE WHEN a.needs > a.turn AND n.turn IS NOT NULL THEN 1 ELSE 0 END AS step
+           FROM asked a LEFT JOIN said s ON s.conv_id = a.conv_id AND s.call_id = a.call_id
+           LEFT JOIN asked n ON n.conv_id = a.conv_id AND n.turn = a.needs
+           LEFT JOIN said ns ON ns.conv_id = a.conv_id AND ns.call_id = n.call_id),
+rows AS (
+  SELECT conv_id, turn, 'message' AS kind, NULL AS call_id, turn AS place, 0 AS step, NULL AS linked, NULL AS errors,
+         '{' || CASE WHEN text IS NULL THEN '' ELSE '"content":' || to_json(text) || ',' END || '"role":"system"}' AS json
+  FROM turns WHERE role NOT IN ('user', 'assistant')
+  UNION ALL
+  SELECT conv_id, turn, 'call', call_id, place, step, linked,
+         CASE tool WHEN 'ask' THEN CASE WHEN turn % 8 = 5 THEN 'limit is no integer' END WHEN 'say' THEN 'turn is no string' ELSE 'unknown tool tell' END,
+         '{"role":"assistant","tool_calls":[{"function":{"arguments":{' || CASE WHEN turn % 4 < 2 THEN '"limit":' || CASE WHEN turn % 8 = 5 THEN '"few"' ELSE '5' END || ',' ELSE '' END
+         || '"query":' || to_json(text) || ',"turn":' || turn || '},"name":"' || tool || '"},"id":"' || call_id || '","type":"function"}]}'
+  FROM placed
+  UNION ALL
+  SELECT s.conv_id, s.turn, 'result', s.call_id, CASE WHEN p.place >= s.turn THEN p.place ELSE s.turn END, CASE WHEN p.place >= s.turn THEN p.step + 1 ELSE 0 END, p.turn IS NOT NULL, NULL,
+         '{' || CASE WHEN s.text IS NULL THEN '' ELSE '"content":' || to_json(s.text) || ',' END || '"role":"tool","tool_call_id":"' || s.call_id || '"}'
+  FROM said s LEFT JOIN placed p ON p.conv_id = s.conv_id AND p.call_id = s.call_id)
+SELECT conv_id AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY place, step, kind, turn, call_id, json) AS position, turn, kind, call_id, linked, errors, json
+FROM rows""")
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns as a log of tool calls: a user's turn calls a tool, the assistant's next turn is its result.
+
+    A call uses the result of the call two turns before it, some of the call two turns after it.
+    """
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conv"), "turn", "role", "text")
+    turn, last = F.col("turn"), F.col("turn") % 10
+    asked, said = rows.where("role = 'user'"), rows.where("role = 'assistant'")
+    limit = F.when(turn % 8 == 5, F.lit('"few"')).otherwise(F.lit("5"))
+    # Keys are out of order on purpose; the operator puts them in order.
+    arguments = F.concat(F.lit('{ "turn": '), turn.cast("string"), F.lit(', "query": '), F.coalesce(F.regexp_extract(F.to_json(F.struct("text")), r'(?s)^\{"text":(.*)\}$', 1), F.lit("null")),
+                         F.when(turn % 4 < 2, F.concat(F.lit(', "limit":'), limit)).otherwise(F.lit("")), F.lit(" }"))
+    needs = F.when(last < 2, turn + 2).when(last > 3, turn - 2)
+    calls = asked.select("conv", "turn", F.concat(F.lit("call_"), turn).alias("call_id"),
+                         F.when(turn % 4 < 2, "ask").when(turn % 4 == 2, "say").otherwise("tell").alias("tool"), arguments.alias("arguments"),
+                         F.when(needs.isNull(), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("call_"), needs))).alias("after"))
+    results = said.select("conv", "turn", F.concat(F.lit("call_"), turn - 1).alias("call_id"), F.col("text").alias("content"))
+    messages = rows.where("role not in ('user', 'assistant')").select("conv", "turn", "role", F.col("text").alias("content"))
+    return chat.format_chats(messages, calls, results, SCHEMAS)
+
+
+@query()
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, sf_dir, "documents"))
+
+
+#: Components as floor(256 x), without vectors that are null or hold a null or a non-finite component.
+_INTEGER = """
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+
+@query(f"""WITH vectors AS ({_INTEGER}),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+           FROM vectors q JOIN vectors c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= 5""")
+def op3_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows, rows.where("vec_id % 50 = 0"), k=5, scale=256.0)
+
+
 @query()
 def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, max_bits=4)
@@ -46,6 +120,25 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query()
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+@query("""WITH RECURSIVE vectors AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v,
+           embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+           AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.usable AND b.usable AND a.vec_id <> b.vec_id
+          AND list_cosine_similarity(a.v, b.v) >= 0.95),
+reach(a, b) AS (SELECT vec_id, vec_id FROM vectors UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+named AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT n.vec_id, CAST((SELECT count(*) FROM links l WHERE l.a = n.vec_id) AS BIGINT) AS n_links, n.component_id, n.vec_id = n.component_id AS kept
+FROM named n""")
+def op9_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 @query()
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")

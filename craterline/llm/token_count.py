@@ -2,10 +2,10 @@
 
 Aho-Corasick enumerates every piece of the vocabulary in a word; dynamic programming over the places
 where pieces end keeps the best score and the number of pieces that gives it. The rules are those of
-the public tokenizer: pieces are normal or user-defined; a letter that is no piece scores ten less
-than the worst piece and, with byte fallback, counts one token for each of its UTF-8 bytes; without
-it, neighbouring unknown letters are one token. Of equally good ways to reach a place the one whose
-last piece starts first is kept; an unknown letter never displaces a piece.
+the tokenizers library: every entry of the vocabulary is a piece with its score; a letter that is no
+piece scores ten less than the worst and, with byte fallback, counts one token for each of its UTF-8
+bytes; without it, neighbouring unknown letters are one token. Of equally good ways to reach a place
+the one whose last piece starts first is kept; an unknown letter never displaces a piece.
 
 Words are cut at blanks where no piece crosses one. The scores of the given vocabulary are whole
 numbers, so sums are exact in any order. A word's count is worked out once and kept.
@@ -16,6 +16,7 @@ A null text has a null count, an empty text 0. Repeated rows keep their rows.
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -23,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from craterline.llm.common import RUN, Memo
-from craterline.llm.model_file import BLANK, MODEL, NORMAL, USER_DEFINED, Model, read_model
+from craterline.llm.common import RUN, Memo, text_runs
+from craterline.llm.model_file import BLANK, MODEL, Model, read_model
 
 #: How far an unknown letter stays behind the worst piece (fixed value).
 UNKNOWN_PENALTY = 10.0
@@ -39,17 +40,14 @@ class Counter:
         if model.charsmap:
             raise ValueError("a character map is not supported; the given vocabulary has none")
         self.model = model
-        scores = [score for _, score, kind in model.pieces if kind == NORMAL]
-        worst, best = min(scores), max(scores)
-        self.unknown = worst - UNKNOWN_PENALTY
+        self.unknown = min(score for _, score, _ in model.pieces) - UNKNOWN_PENALTY
         self.automaton = ahocorasick.Automaton()
-        for text, score, kind in model.pieces:
-            if kind in (NORMAL, USER_DEFINED):
-                value = score if kind == NORMAL else len(text) * best - 0.1
-                self.automaton.add_word(text, (len(text), value))
+        for text, score, _ in model.pieces:
+            self.automaton.add_word(text, (len(text), score))
         self.automaton.make_automaton()
         # A word is a run of blank markers and the letters up to the next run.
-        self.words = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+") if not model.crosses_words() else re.compile("(?s:.+)")
+        self.whole = model.crosses_words()
+        self.words = re.compile("(?s:.+)" if self.whole else f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
         self.memo = Memo(lambda words: [self.viterbi(w) for w in words], words=500_000)
 
     def normal(self, text: str) -> str:
@@ -86,22 +84,24 @@ class Counter:
             unknown[i] = not known
         return count[n]
 
+    def parts(self, text: str, size: int = RUN):
+        """The words of a text in order, in lists of about ``size`` letters."""
+        normal, at = self.normal(text), 0
+        while at < len(normal):
+            stop = -1 if self.whole else normal.find(BLANK, at + size)
+            while stop > 0 and normal[stop - 1] == BLANK:
+                stop = normal.find(BLANK, stop + 1)
+            stop = len(normal) if stop < 0 else stop
+            yield self.words.findall(normal[at:stop])
+            at = stop
+
     def counts(self, texts) -> list[int | None]:
-        found = []
-        for text in texts:
-            if text is None:
-                found.append(None)
-                continue
-            normal, total, at = self.normal(text), 0, 0
-            while at < len(normal):
-                # Long texts are cut in front of a blank marker.
-                cut = normal.find(BLANK, at + RUN)
-                while cut > 0 and normal[cut - 1] == BLANK:
-                    cut = normal.find(BLANK, cut + 1)
-                stop = len(normal) if cut < 0 or self.model.crosses_words() else cut
-                total += sum(self.memo.look_up(self.words.findall(normal[at:stop])))
-                at = stop
-            found.append(total)
+        found = [None if text is None else 0 for text in texts]
+        for run in text_runs(texts, parts=self.parts):
+            counts = self.memo.look_up([w for _, words in run for w in words])
+            for row, words in run:
+                if words:
+                    found[row] += sum(islice(counts, len(words)))
         return found
 
 
