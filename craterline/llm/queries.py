@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from craterline.llm import chat, language, packing, sentencepiece_codec, simhash, token_count, topk, toxicity, vectors
+from craterline.llm import chat, language, packing, pitman_yor, sentencepiece_codec, simhash, token_count, topk, toxicity, vectors
 from craterline.llm.common import is_rest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,6 +120,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query()
+def op7_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = pitman_yor.score(table(spark, sf_dir, "documents"), ~is_rest("doc_id", 7, 2))
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query()
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), with_ids=False)
