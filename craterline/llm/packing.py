@@ -79,12 +79,10 @@ class WordEncoder:
             text = word.decode("utf-8", "replace")
             if "<|" in text or not PLAIN.fullmatch(text):
                 odd.append((i, text))
-            elif text.isalpha():
-                plain.append(i)
-                cut.append([text.lower()])
             else:
                 plain.append(i)
-                cut.append(WORD.findall(text.lower()))
+                text = text.lower()
+                cut.append([text] if text.isalpha() else WORD.findall(text))
         ids = self.known_parts.look_up([part for parts in cut for part in parts])
         for i, parts in zip(plain, cut, strict=True):
             found[i] = next(ids) if len(parts) == 1 else b"".join(islice(ids, len(parts)))

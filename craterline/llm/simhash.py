@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from craterline.functions.stage import stage
-from craterline.llm.common import SPACE
 from craterline.llm.components import Forest, components
 
 SEED = 42
