@@ -8,6 +8,11 @@ fewer, two of the three segments differ in two bits or fewer, so a pair of segme
 pair of keys. Fingerprints with a common pair of keys meet and are compared bit by bit; of the links
 found, each task keeps a spanning forest, which loses no component.
 
+``near_duplicates`` links 64-bit fingerprints at five bits or fewer, where nothing is missed.
+``similar_documents`` links texts by the similarity of their sets of shingles, estimated from 128
+bits: the share of differing bits is the angle between the sets. There the keys find most, not all,
+of the links near the threshold and nearly all above it; the tests measure it.
+
 Equal fingerprints are one node, however many documents have them. A pair of keys under which very
 many fingerprints meet is cut into blocks that are compared two by two, so no task holds it whole.
 
@@ -17,6 +22,7 @@ row; it never names a component. Repeated rows keep their rows. An empty table g
 
 from __future__ import annotations
 
+import math
 from itertools import islice
 
 import numpy as np
@@ -83,106 +89,175 @@ def shared_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def fingerprint(text: bytes | None, words: int, run: int = 1 << 16) -> int:
-    """SimHash of the shingles, repeats included; zero without words."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Another 64-bit hash of each hash."""
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xD1B54A32D192ED03)
+    return h ^ h >> np.uint64(32)
+
+
+def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
+    """XXH64 of every shingle of a text, repeats included; none without words."""
     found = (text or b"").lower().split()
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(found) < words:
-        return xxhash.xxh64_intdigest(b" ".join(found), SEED)
-    total, n = np.zeros(64, dtype=np.int64), len(found) - words + 1
-    for at in range(0, n, run):
-        part = found[at:at + run + words - 1]
-        shingles = map(b" ".join, zip(*(islice(part, k, None) for k in range(words))))
-        h = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], dtype=">u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(total * 2 > n).tobytes(), "big")
+        return np.array([xxhash.xxh64_intdigest(b" ".join(found), SEED)], dtype=np.uint64)
+    shingles = map(b" ".join, zip(*(islice(found, k, None) for k in range(words))))
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(found) - words + 1)
+
 
+def simhash(hashes: np.ndarray, run: int = 1 << 16) -> int:
+    """The bits set in over half of the hashes; zero of none."""
+    total = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), run):
+        total += np.unpackbits(hashes[at:at + run].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(total * 2 > len(hashes)).tobytes(), "big")
 
-def fingerprints(documents: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id and fingerprint (a long with the same bits) of every row."""
-    kind = documents.schema[id_col].dataType.simpleString()
+
+def fingerprints(documents: DataFrame, words: int = 4, parts: int = 1, repeats: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Id and fingerprint of every row, as ``parts`` longs f0, f1, ...; without ``repeats`` of the set of shingles."""
+    kind, names = documents.schema[id_col].dataType.simpleString(), _names(parts)
 
     def digest(batches):
         for batch in batches:
-            bits = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], names=[id_col, "bits"])
+            bits = np.zeros((parts, len(batch)), dtype=np.uint64)
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                h = shingle_hashes(text, words)
+                h = h if repeats else np.unique(h)
+                for part in range(parts):
+                    bits[part, row] = simhash(h)
+                    h = _mixed(h)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(b.view(np.int64)) for b in bits)], names=[id_col, *names])
+
+    return documents.select(F.col(id_col), F.col(text_col).cast("binary").alias("text")).mapInArrow(digest, f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names))
+
 
-    return documents.select(F.col(id_col), F.col(text_col).cast("binary").alias("text")).mapInArrow(digest, f"`{id_col}` {kind}, bits long")
+def _names(parts: int) -> list[str]:
+    return [f"f{i}" for i in range(parts)]
 
 
-def _keyed(nodes: DataFrame) -> DataFrame:
+def _keyed(nodes: DataFrame, parts: int) -> DataFrame:
+    """A row for each key of each node, with the node's number and fingerprint."""
+    names = _names(parts)
+
     def spread(batches):
         for batch in batches:
-            bits = batch.column(0).to_numpy()
-            for at in range(0, len(bits), 2000):
-                own = bits[at:at + 2000]
-                rows, keys = shared_keys(own.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own[rows])], names=["k", "bits"])
+            for at in range(0, len(batch), 2000):
+                own = [batch.column(i).slice(at, 2000).to_numpy() for i in range(parts)]
+                for part in range(parts):
+                    rows, keys = shared_keys(own[part].view(np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys | part << 26), *(pa.array(f[rows]) for f in own)], names=["k", *names])
 
-    return nodes.select("bits").mapInArrow(spread, "k long, bits long")
+    return nodes.select(*names).mapInArrow(spread, "k long, " + ", ".join(f"{n} long" for n in names))
 
 
-def _compared(max_bits: int):
-    """Compare the fingerprints that stand under one key; rows come sorted by key."""
-    def compare(batches):
-        forest, keys, bits = Forest(), np.zeros(0, np.int64), np.zeros(0, np.int64)
+def node_number(fingerprint: list[np.ndarray]) -> np.ndarray:
+    """A number for each fingerprint: itself, or 64 bits of a hash of several parts."""
+    number = fingerprint[0]
+    for more in fingerprint[1:]:
+        number = (_mixed(number.view(np.uint64)) ^ more.view(np.uint64)).view(np.int64)
+    return number
 
-        def settle(k, f):
-            at, lag = np.arange(len(k) - 1), 1
-            while (at := at[at + lag < len(k)]).size and (at := at[k[at + lag] == k[at]]).size:
-                a, b = f[at], f[at + lag]
-                close = (np.bitwise_count((a ^ b).view(np.uint64)) <= max_bits) & (a != b)
-                for x, y in zip(a[close].tolist(), b[close].tolist(), strict=True):
-                    forest.link(x, y)
-                lag += 1
 
+def _compared(max_bits: int, parts: int):
+    """Compare the fingerprints that stand under one key; rows come sorted by key."""
+    def settle(k, f, forest):
+        number = node_number(f)
+        distinct, own = np.unique(number, return_inverse=True)
+        top = np.arange(len(distinct))  # the set each distinct fingerprint is in so far
+        at, lag = np.arange(len(k) - 1), 1
+        while (at := at[at + lag < len(k)]).size and (at := at[k[at + lag] == k[at]]).size:
+            new = at[top[own[at]] != top[own[at + lag]]]
+            differing = sum(np.bitwise_count((x[new] ^ x[new + lag]).view(np.uint64)).astype(np.int64) for x in f)
+            new = new[differing <= max_bits]
+            for x, y in zip(own[new].tolist(), own[new + lag].tolist(), strict=True):
+                while top[x] != x:
+                    x = top[x]
+                while top[y] != y:
+                    y = top[y]
+                top[max(x, y)] = min(x, y)
+            while new.size and (flat := top[top]).tobytes() != top.tobytes():
+                top = flat
+            lag += 1
+        moved = np.flatnonzero(top != np.arange(len(top)))
+        for x, y in zip(distinct[moved].tolist(), distinct[top[moved]].tolist(), strict=True):
+            forest.link(x, y)
+
+    def compare(batches):
+        forest, held = Forest(), [np.zeros(0, np.int64)] * (parts + 1)
         for batch in batches:
-            keys = np.concatenate([keys, batch.column(0).to_numpy()])
-            bits = np.concatenate([bits, batch.column(1).to_numpy()])
-            done = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last key may go on
+            held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+            done = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last key may go on
             if done:
-                settle(keys[:done], bits[:done])
-                keys, bits = keys[done:], bits[done:]
-        settle(keys, bits)
+                settle(held[0][:done], [h[:done] for h in held[1:]], forest)
+                held = [h[done:] for h in held]
+        settle(held[0], held[1:], forest)
         yield from forest.batches()
 
     return compare
 
 
-def close_links(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``bits`` with the components of all links of ``max_bits`` or fewer."""
-    if max_bits > REACH:
-        raise ValueError(f"these keys find fingerprints that differ in {REACH} bits or fewer")
-    counted = _keyed(nodes.where(F.pmod(F.xxhash64("bits"), F.lit(SAMPLED)) == 0)).groupBy("k").count()
+def close_links(nodes: DataFrame, max_bits: int, parts: int = 1) -> DataFrame:
+    """Links (a, b) between node numbers, with the components of all links of ``max_bits`` or fewer that meet under a key."""
+    names = _names(parts)
+    counted = _keyed(nodes.where(F.pmod(F.xxhash64(*names), F.lit(SAMPLED)) == 0), parts).groupBy("k").count()
     crowded = stage(counted.where(F.col("count") * SAMPLED > BLOCK)
                     .select("k", F.least(F.ceil(F.col("count") * SAMPLED / BLOCK), F.lit(4095)).cast("long").alias("parts")))
-    own = F.pmod(F.xxhash64("bits"), F.col("parts"))
+    own = F.pmod(F.xxhash64(*names), F.col("parts"))
     other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
-    blocks = (_keyed(nodes).join(crowded, "k", "left").select("k", "bits", own.alias("own"), other.alias("other"))
-              .select((F.shiftleft("k", 24) + F.coalesce(F.shiftleft(F.least("own", "other"), 12) + F.greatest("own", "other"), F.lit(0))).alias("k"), "bits"))
-    return blocks.repartition("k").sortWithinPartitions("k").mapInArrow(_compared(max_bits), "a long, b long")
+    blocks = (_keyed(nodes, parts).join(crowded, "k", "left").select("k", *names, own.alias("own"), other.alias("other"))
+              .select((F.shiftleft("k", 24) + F.coalesce(F.shiftleft(F.least("own", "other"), 12) + F.greatest("own", "other"), F.lit(0))).alias("k"), *names))
+    return blocks.repartition("k").sortWithinPartitions("k").mapInArrow(_compared(max_bits, parts), "a long, b long")
+
+
+def _grouped(rows: DataFrame, id_col: str, max_bits: int, parts: int) -> DataFrame:
+    """Rows of fingerprints with ``component_id``, the smallest id reachable over links."""
+    names = _names(parts)
+    rows = stage(rows)
+    nodes = stage(_numbered(rows.groupBy(*names).agg(F.min(id_col).alias("first")), parts))
+    linked = components(close_links(nodes, max_bits, parts))
+    named = nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    return rows.join(named.join(least, "component").select(*names, "component_id"), names)
+
+
+def _numbered(nodes: DataFrame, parts: int) -> DataFrame:
+    if parts == 1:
+        return nodes.withColumn("node", F.col("f0"))
+
+    def number(batches):
+        for batch in batches:
+            yield batch.append_column("node", pa.array(node_number([batch.column(i).to_numpy() for i in range(parts)])))
+
+    return nodes.mapInArrow(number, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema) + ", node long")
 
 
 def near_duplicates(documents: DataFrame, words: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, ``fingerprint`` (16 hexadecimal digits) and ``component_id``, the smallest id reachable over links, of every row."""
-    rows = stage(fingerprints(documents, words, id_col, text_col))
-    nodes = stage(rows.groupBy("bits").agg(F.min(id_col).alias("first")))
-    linked = components(close_links(nodes, max_bits))
-    named = (nodes.join(linked.withColumnRenamed("node", "bits"), "bits", "left")
-             .withColumn("component", F.coalesce("component", "bits")))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_bits = named.join(least, "component").select("bits", "component_id")
-    return (rows.join(of_bits, "bits")
-            .select(id_col, F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id"))
+    if max_bits > REACH:
+        raise ValueError(f"these keys find fingerprints that differ in {REACH} bits or fewer")
+    found = _grouped(fingerprints(documents, words, id_col=id_col, text_col=text_col), id_col, max_bits, 1)
+    return found.select(id_col, F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def differing_bits(similarity: float, parts: int) -> int:
+    """How many of the bits differ on average between sets of equal size with this Jaccard similarity."""
+    return math.floor(64 * parts * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def similar_documents(documents: DataFrame, words: int = 5, least: float = 0.8, parts: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Id and ``component_id`` of every row, where texts whose sets of shingles are estimated to be ``least`` alike are linked."""
+    rows = fingerprints(documents, words, parts, False, id_col, text_col)
+    return _grouped(rows, id_col, differing_bits(least, parts), parts).select(id_col, "component_id")
 
 
-def representatives(documents: DataFrame, words: int = 5, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row, with all its columns, of each group: the one that names it.
+def representatives(documents: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, with all its columns, of each group of similar documents: the one whose id names it.
 
     Of repeated rows with that id one stays. Rows without id stay, since nothing names them apart.
     """
-    found = near_duplicates(documents.where(F.col(id_col).isNotNull()), words, max_bits, id_col, text_col)
-    first = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = documents.where(F.col(id_col).isNotNull()).join(first, id_col, "left_semi").dropDuplicates([id_col])
+    known = documents.where(F.col(id_col).isNotNull())
+    first = similar_documents(known, words, least, id_col=id_col, text_col=text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    named = known.join(first, id_col, "left_semi").dropDuplicates([id_col])
     return named.select(documents.columns).union(documents.where(F.col(id_col).isNull()))

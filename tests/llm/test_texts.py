@@ -190,12 +190,47 @@ def test_near_duplicates_equal_brute_force(odd_documents, monkeypatch):
 
 def test_long_chain_of_close_fingerprints_is_one_component(spark):
     chain = [(1 << i) - 1 for i in range(0, 63, 3)]
-    nodes = spark.createDataFrame([(x,) for x in chain], "bits long")
+    nodes = spark.createDataFrame([(x,) for x in chain], "f0 long")
     from craterline.llm.components import components
     found = components(simhash.close_links(nodes, 3)).collect()
     assert len(found) == len(chain) and {r.component for r in found} == {0}
 
 
+def test_similar_documents_find_copies_and_leave_others(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    rows, edited = [], {}
+    for i in range(300):
+        text = [rng.choice(words) for _ in range(rng.randint(80, 600))]
+        rows.append((i, " ".join(text)))
+        for j, share in enumerate((0.0, 0.005, 0.01, 0.2)):  # words replaced
+            copy = [rng.choice(words) if rng.random() < share else w for w in text]
+            a, b = ({tuple(t[k:k + 5]) for k in range(len(t) - 4)} for t in (text, copy))
+            rows.append((1000 * (j + 1) + i, " ".join(copy)))
+            edited[1000 * (j + 1) + i] = len(a & b) / len(a | b)
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    merged = {i: found[i] == found[i % 1000] for i in edited}
+    assert all(merged[i] for i, j in edited.items() if j == 1)
+    assert np.mean([merged[i] for i, j in edited.items() if 0.9 <= j < 1]) > 0.95
+    assert not any(merged[i] for i, j in edited.items() if j < 0.5)
+    assert all(found[i] % 1000 == i % 1000 for i in found)
+
+
+def test_recall_of_keys_against_brute_force():
+    rng = np.random.default_rng(12)
+    reach, met, total = simhash.differing_bits(0.8, 2), 0, 0
+    for _ in range(1500):  # sets 0.8 to 0.95 alike
+        alike = rng.uniform(0.8, 0.95)
+        flips = rng.random(128) < math.acos(2 * alike / (1 + alike)) / math.pi
+        if flips.sum() > reach:
+            continue
+        a = rng.integers(0, 2, 128)
+        pair = np.packbits(np.stack([a, a ^ flips]), axis=1).view(">u8").astype(np.uint64)
+        total += 1
+        met += any(set(k[r == 0].tolist()) & set(k[r == 1].tolist()) for r, k in (simhash.shared_keys(pair[:, part].copy()) for part in range(2)))
+    assert met / total >= 0.9
+
+
 def test_representatives(odd_documents, no_documents):
     kept = simhash.representatives(odd_documents)
     assert kept.columns == odd_documents.columns

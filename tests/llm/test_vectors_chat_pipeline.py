@@ -175,7 +175,7 @@ def test_pipeline_stages(spark, odd_documents, no_documents):
         kept = after.cache()
     ids = {r.doc_id for r in kept.collect()}
     assert 0.5 * docs.count() < len(ids)
-    first = {r.doc_id for r in simhash.near_duplicates(docs, 5, 5).where("doc_id = component_id").collect()}
+    first = {r.doc_id for r in simhash.similar_documents(docs).where("doc_id = component_id").collect()}
     clean = {i for i in first if labels.get(i) == 0}
     assert len(clean - ids) <= 0.02 * len(clean)
     packed = corpus_pipeline.run(spark, SF)
