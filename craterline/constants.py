@@ -16,6 +16,8 @@ PARALLAX_SENSORS = {
 # Full-resolution OHRC frame, used to scale view coordinates.
 OHRC_SAMPLES = 12000
 OHRC_LINES = 78175
+# views below this height are reduced ones
+OHRC_VIEW_LINES = 75000
 
 MATRIX_SENSORS = ["OHRC", "TMC-2", "IIRS", "LROC_NAC", "SELENE_TC"]
 INTAKE_SENSORS = [

@@ -80,7 +80,7 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], carry: list[
 
     A key with many rows is cut into time chunks of about ``rows_per_chunk`` rows, each its own
     window partition; the last row of every chunk is carried to the first row of the next one.
-    Small keys have one chunk.
+    Small keys have one chunk. Rows without a time come first, as the order has it.
     """
     seconds = F.unix_micros(F.col(time).cast("timestamp"))
     span = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(seconds).alias("_t0"), F.max(seconds).alias("_t1"))
@@ -88,9 +88,8 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], carry: list[
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_t0",
         F.ceil(F.col("_n") / F.lit(rows_per_chunk)).alias("_chunks"),
         F.greatest(F.col("_t1") - F.col("_t0"), F.lit(1)).alias("_span"))
-    chunk = F.least(
-        F.col("_chunks") - 1,
-        F.floor((seconds - F.col("_t0")).cast("double") / F.col("_span") * F.col("_chunks"))).cast("long")
+    place = F.floor((seconds - F.col("_t0")).cast("double") / F.col("_span") * F.col("_chunks"))
+    chunk = F.when(seconds.isNull(), F.lit(0)).otherwise(F.least(F.col("_chunks") - 1, place)).cast("long")
     parts = (df.join(span, all_of([df[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]))
                .withColumn("_chunk", chunk)
                .drop("_t0", "_chunks", "_span", *[f"_k{i}" for i in range(len(keys))]))

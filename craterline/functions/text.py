@@ -23,9 +23,9 @@ def correspondence_id(source: Column, target: Column) -> Column:
 
 
 def stable_id(prefix: str, *parts: Column) -> Column:
-    """Deterministic short id from the key columns."""
+    """Deterministic id from the key columns; the whole digest, since it is a join key."""
     digest = F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)
-    return F.concat(F.lit(prefix), F.upper(F.substring(digest, 1, 12)))
+    return F.concat(F.lit(prefix), F.upper(digest))
 
 
 def iso_timestamp(c: Column) -> Column:

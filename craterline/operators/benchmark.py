@@ -15,14 +15,30 @@ from craterline.operators.matching import inlier_statistics, score_against_truth
 
 
 # --- Pairs --------------------------------------------------------------------
+def tier_sensor(sensor: Column) -> Column:
+    """The name under which the tiers know a sensor; labels and tables spell one camera in several ways."""
+    return F.when(F.upper(F.regexp_replace(sensor, "[ _-]", "")).isin("LROCNAC", "LRONAC"), "LRO_NAC").otherwise(sensor)
+
+
+def unpaired_products(products: DataFrame) -> DataFrame:
+    """Products of a tier that can't be paired, one row for each tier and side, with the reason."""
+    rules = catalog.small(catalog.pair_tiers(products.sparkSession))
+    unknown = products.filter(any_of([F.col(c).isNull() for c in ("lat_min", "lat_max", "lon_min", "lon_max")])).withColumn("sensor", tier_sensor(F.col("sensor")))
+    sides = [rules.select("priority_tier", F.lit(side).alias("side"), F.col(f"{side}_sensor").alias("sensor")).distinct() for side in ("source", "target")]
+    return unknown.join(sides[0].unionByName(sides[1]), "sensor").select(
+        "priority_tier", "side", "product_id", "sensor", F.lit("BOUNDS_UNKNOWN").alias("reason"))
+
+
 def tier_pairs(products: DataFrame, cell_deg: float | None = 1.0) -> DataFrame:
     """Pairs of products by sensor class with tier and difficulty.
 
     Products whose boxes are known are paired where their footprints meet (an equi-join on grid
-    cells); a pair without common ground has nothing to match and would only multiply rows.
+    cells); a pair without common ground has nothing to match and would only multiply rows. Products
+    without a box are the rows of ``unpaired_products``.
     Columns: product_id, sensor, lat_min, lat_max, lon_min, lon_max.
     """
     rules = catalog.small(catalog.pair_tiers(products.sparkSession))
+    products = products.withColumn("sensor", tier_sensor(F.col("sensor")))
     left = products.join(rules.select(F.col("source_sensor").alias("sensor")).distinct(), "sensor", "left_semi")
     right = products.join(rules.select(F.col("target_sensor").alias("sensor")).distinct(), "sensor", "left_semi")
     a = left.withColumnRenamed("product_id", "source_product_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from craterline import constants as C
 from craterline.functions.common import any_of, compact, fixed, round_at
 from craterline.functions.score import information_gain
-from craterline.functions.text import gap_id, stable_id, suffix
+from craterline.functions.text import gap_id, stable_id
 from craterline.operators import catalog
 
 
@@ -160,7 +160,7 @@ def top_recommendation(ranked: DataFrame, question: str = "spectral analysis") -
     text = F.when(text.contains("POTENTIALLY_REDUCES_UNCERTAINTY"), text).otherwise(
         F.concat(F.lit("POTENTIALLY_REDUCES_UNCERTAINTY: "), text))
     return ranked.filter("rank = 1").select(
-        F.concat(F.lit("REC-"), suffix(F.col("entity_id"), 5), F.lit("-"), F.col("sensor")).alias("recommendation_id"),
+        F.concat(F.lit("REC-"), F.col("entity_id"), F.lit("-"), F.col("sensor")).alias("recommendation_id"),
         "entity_id", F.lit(question).alias("scientific_question"), F.col("sensor").alias("recommended_sensor"),
         "expected_information_gain", "uncertainty_reduction", "feasibility", F.lit("AVAILABLE").alias("payload_status"),
         text.alias("explanation"))
@@ -171,7 +171,7 @@ def unavailable_recommendation(requests: DataFrame) -> DataFrame:
     q = F.lower("scientific_question")
     refused = any_of([q.contains(w) for w in ("unavailable", "offline", "unsupported")])
     return requests.filter(refused).select(
-        F.concat(F.lit("REC-"), suffix(F.col("entity_id"), 5), F.lit("-UNAVAILABLE")).alias("recommendation_id"),
+        F.concat(F.lit("REC-"), F.col("entity_id"), F.lit("-UNAVAILABLE")).alias("recommendation_id"),
         "entity_id", "scientific_question", F.lit("NONE").alias("recommended_sensor"),
         F.lit(0.0).alias("expected_information_gain"), F.lit(0.0).alias("uncertainty_reduction"),
         F.lit(0.0).alias("feasibility"), F.lit("PAYLOAD_UNAVAILABLE").alias("payload_status"),

@@ -383,15 +383,18 @@ def point_id(pixel: Column, scan: Column, ordinal: Column | None = None) -> Colu
     return F.concat(F.lit("PT_"), F.rint(pixel).cast("long").cast("string"), F.lit("_"), F.rint(scan).cast("long").cast("string"))
 
 
-def gate_matches(matches: DataFrame, grids: GridPair, view_width: int | None = None, view_height: int | None = None) -> DataFrame:
+def gate_matches(matches: DataFrame, grids: GridPair, view_width: Column | int | None = None, view_height: Column | int | None = None,
+                 sensor: Column | str = "OHRC") -> DataFrame:
     """Gate the source points of matches given in view coordinates (src_x, src_y).
 
-    A view below full height is scaled to the full frame of the high-resolution camera.
+    A reduced view of the high-resolution camera is scaled to its full frame; other sensors and full
+    views are not. View size and sensor may be columns of the match's pair.
     """
-    sx = sy = 1.0
-    if view_width and view_height and view_height < 75000:
-        sx = (C.OHRC_SAMPLES - 1.0) / max(view_width - 1, 1)
-        sy = (C.OHRC_LINES - 1.0) / max(view_height - 1, 1)
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    width, height = as_column(view_width), as_column(view_height)
+    scaled = (as_column(sensor) == "OHRC") & (width > 0) & (height > 0) & (height < C.OHRC_VIEW_LINES)
+    sx = F.when(scaled, (C.OHRC_SAMPLES - 1.0) / F.greatest(width - 1, F.lit(1))).otherwise(1.0)
+    sy = F.when(scaled, (C.OHRC_LINES - 1.0) / F.greatest(height - 1, F.lit(1))).otherwise(1.0)
     points = matches.withColumn("pixel", F.col("src_x") * sx).withColumn("scan", F.col("src_y") * sy)
     return physical_gates(points, grids)
 

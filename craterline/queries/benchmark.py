@@ -24,19 +24,42 @@ _TIERS = ", ".join(f"('{s}', '{t}', {n}, '{d}', '{p}')" for s, t, n, d, p, _ in
   SELECT prefix || '_P' || a.observation_id || '_P' || b.observation_id AS pair_id, r.source_sensor, r.target_sensor, priority_tier, expected_difficulty
   FROM p a JOIN r ON r.source_sensor = a.sensor JOIN p b ON b.sensor = r.target_sensor AND {OVERLAP.format(op='<=')}""")
 def j01_tier_pairs(t: Tables):
-    sensor = F.when(F.col("sensor") == "LROC_NAC", "LRO_NAC").otherwise(F.col("sensor"))
-    p = t.footprint.select(F.concat(F.lit("P"), F.col("observation_id").cast("string")).alias("product_id"), sensor.alias("sensor"), *BOX)
+    p = t.footprint.select(F.concat(F.lit("P"), F.col("observation_id").cast("string")).alias("product_id"), "sensor", *BOX)
     return B.tier_pairs(p, 0.5).select("pair_id", "source_sensor", "target_sensor", "priority_tier", "expected_difficulty")
 
 
+@query("""WITH r(source_sensor, target_sensor, tier) AS (VALUES ('OHRC', 'LRO_NAC', 1), ('OHRC', 'TMC-2', 2), ('TMC-2', 'LRO_NAC', 3), ('IIRS', 'OHRC', 4), ('IIRS', 'TMC-2', 4)),
+  s AS (SELECT DISTINCT tier, 'source' AS side, source_sensor AS sensor FROM r UNION ALL SELECT DISTINCT tier, 'target', target_sensor FROM r),
+  p AS (SELECT observation_id, CASE WHEN sensor = 'LROC_NAC' THEN 'LRO_NAC' ELSE sensor END AS sensor FROM v_footprint WHERE observation_id % 3 = 0)
+  SELECT CAST(tier AS integer) AS priority_tier, side, 'P' || observation_id AS product_id, p.sensor, 'BOUNDS_UNKNOWN' AS reason FROM p JOIN s ON s.sensor = p.sensor""")
+def j01_products_without_bounds(t: Tables):
+    """Every third product has lost a bound and the camera is spelled as in its labels."""
+    sensor = F.when(F.col("sensor") == "LROC_NAC", "LROC NAC").otherwise(F.col("sensor"))
+    p = t.footprint.select(F.concat(F.lit("P"), F.col("observation_id").cast("string")).alias("product_id"), sensor.alias("sensor"), *BOX)
+    p = p.withColumn("lon_max", F.when(F.substring("product_id", 2, 20).cast("long") % 3 != 0, F.col("lon_max")))
+    return B.unpaired_products(p)
+
+
 @query("""SELECT pair_no, a.sensor AS src_sensor, b.sensor AS tgt_sensor, a.is_synthetic OR b.is_synthetic AS is_synthetic FROM v_pair p
   JOIN v_observation a ON a.observation_id = id_a JOIN v_observation b ON b.observation_id = id_b""")
 def j02_pair_observations(t: Tables):
     p = t.pair.withColumnsRenamed({"id_a": "source_observation_id", "id_b": "target_observation_id"})
-    df = J.pair_observations(p, t.observation)
+    df = J.pair_observations(p, t.observation).filter("unknown_side is null")
     return df.select("pair_no", "src_sensor", "tgt_sensor", (F.col("src_is_synthetic") | F.col("tgt_is_synthetic")).alias("is_synthetic"))
 
 
+@query("""SELECT pair_no, a.sensor AS src_sensor, b.sensor AS tgt_sensor, a.is_synthetic OR b.is_synthetic AS is_synthetic,
+    CASE WHEN b.observation_id IS NULL AND a.observation_id IS NULL THEN 'source,target' WHEN a.observation_id IS NULL THEN 'source' WHEN b.observation_id IS NULL THEN 'target' END AS unknown_side
+  FROM (SELECT pair_no, id_a, CASE WHEN pair_no % 7 = 0 THEN -id_b ELSE id_b END AS id_b FROM v_pair) p
+  LEFT JOIN v_observation a ON a.observation_id = id_a LEFT JOIN v_observation b ON b.observation_id = id_b""")
+def j02_pairs_with_unknown_side(t: Tables):
+    """Every seventh pair names a target that is in no table; all pairs stay."""
+    p = t.pair.withColumn("id_b", F.when(F.col("pair_no") % 7 == 0, -F.col("id_b")).otherwise(F.col("id_b")))
+    p = p.withColumnsRenamed({"id_a": "source_observation_id", "id_b": "target_observation_id"})
+    df = J.pair_observations(p, t.observation)
+    return df.select("pair_no", "src_sensor", "tgt_sensor", (F.col("src_is_synthetic") | F.col("tgt_is_synthetic")).alias("is_synthetic"), "unknown_side")
+
+
 @query("""SELECT e.ekey AS point, CASE WHEN d.entity_id IS NULL THEN NULL ELSE d.entity_id END AS entity_id FROM (SELECT ekey, latitude + (ekey % 3) * 0.003 AS lat, longitude + (ekey % 5) * 0.0021 AS lon FROM v_entity) e
   LEFT JOIN v_entity d ON d.latitude BETWEEN e.lat - 0.005 AND e.lat + 0.005 AND d.longitude BETWEEN e.lon - 0.005 AND e.lon + 0.005
   QUALIFY row_number() OVER (PARTITION BY e.ekey ORDER BY pow(d.latitude - e.lat, 2) + pow((d.longitude - e.lon) * cos(radians(e.lat)), 2), d.entity_id) = 1""")
@@ -74,7 +97,7 @@ def j18_overlapping_footprints(t: Tables):
   FROM v_pair p JOIN v_footprint a ON a.observation_id = id_a JOIN v_footprint b ON b.observation_id = id_b""")
 def m21_ground_truth_level(t: Tables):
     p = t.pair.withColumnsRenamed({"id_a": "source_observation_id", "id_b": "target_observation_id"})
-    df = J.pair_observations(p, t.footprint)
+    df = J.pair_observations(p, t.footprint).filter("unknown_side is null")
     box = lambda s: tuple(F.col(f"{s}_{c}") for c in BOX)
     return df.select("pair_no", S.ground_truth_level(F.col("src_is_synthetic"), F.col("tgt_is_synthetic"), box("src"), box("tgt")).alias("ground_truth_level"))
 

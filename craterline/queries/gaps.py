@@ -113,7 +113,7 @@ def d16_rank_next_observation(t: Tables):
         "entity_id", "rank", "sensor", "expected_information_gain", "uncertainty_reduction", "is_new_modality", "explanation")
 
 
-@query(f"""WITH {_ranked('albedo survey')} SELECT 'REC-' || right(entity_id, 5) || '-' || sensor AS recommendation_id, entity_id, sensor AS recommended_sensor,
+@query(f"""WITH {_ranked('albedo survey')} SELECT 'REC-' || entity_id || '-' || sensor AS recommendation_id, entity_id, sensor AS recommended_sensor,
   gain AS expected_information_gain, feasibility, 'AVAILABLE' AS payload_status FROM k WHERE rank = 1""")
 def o03_top_recommendation(t: Tables):
     q = "albedo survey"
@@ -121,7 +121,7 @@ def o03_top_recommendation(t: Tables):
         "recommendation_id", "entity_id", "recommended_sensor", "expected_information_gain", "feasibility", "payload_status")
 
 
-@query("""SELECT 'REC-' || right(entity_id, 5) || '-UNAVAILABLE' AS recommendation_id, entity_id, 'NONE' AS recommended_sensor, 'PAYLOAD_UNAVAILABLE' AS payload_status
+@query("""SELECT 'REC-' || entity_id || '-UNAVAILABLE' AS recommendation_id, entity_id, 'NONE' AS recommended_sensor, 'PAYLOAD_UNAVAILABLE' AS payload_status
   FROM v_entity WHERE entity_type = 'ridge'""")
 def d16_unavailable_payload(t: Tables):
     asks = t.entity.select("entity_id", F.when(F.col("entity_type") == "ridge", "Spectrometer OFFLINE sounding").otherwise("boulder hazard").alias("scientific_question"))

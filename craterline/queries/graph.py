@@ -34,7 +34,7 @@ def stored_graph(t: Tables):
 
 
 _TPL = ", ".join(f"('{n}', '{p}')" for n, p, *_ in C.HYPOTHESIS_TEMPLATES)
-GRAPH = f"""c AS ({CORR}), hy AS (SELECT right(entity_id, 5) || '-' || n AS hypothesis_id, entity_id, p FROM v_entity, (VALUES {_TPL}) q(n, p)),
+GRAPH = f"""c AS ({CORR}), hy AS (SELECT entity_id || '-' || n AS hypothesis_id, entity_id, p FROM v_entity, (VALUES {_TPL}) q(n, p)),
   nd AS (SELECT entity_id AS id, 'LunarEntity' AS node_type FROM v_entity UNION ALL SELECT CAST(observation_id AS string), 'Observation' FROM v_observation
     UNION ALL SELECT DISTINCT 'SENSOR-' || sensor, 'Sensor' FROM v_observation UNION ALL SELECT 'EV-' || correspondence_id, 'PhysicsEvidence' FROM c WHERE id_a % 2 = 0
     UNION ALL SELECT DISTINCT 'HYP-' || hypothesis_id, 'Hypothesis' FROM hy),
@@ -118,7 +118,7 @@ def d22_resolve_entities(t: Tables):
     return E.resolve_entities(arrivals(t), known, "point", "point").select("point", "entity_id", "is_new")
 
 
-@query(f"SELECT right(entity_id, 5) || '-' || n AS hypothesis_id, entity_id, p AS property_name FROM v_entity, (VALUES {_TPL}) q(n, p)")
+@query(f"SELECT entity_id || '-' || n AS hypothesis_id, entity_id, p AS property_name FROM v_entity, (VALUES {_TPL}) q(n, p)")
 def d22_initial_hypotheses(t: Tables):
     return E.initial_hypotheses(t.entity).select("hypothesis_id", "entity_id", "property_name")
 

@@ -55,6 +55,21 @@ def a07_hull_ratio(t: Tables):
     return M.hull_ratio(t.match, 512.0, 512.0).select("pair_id", "hull_ratio")
 
 
+@query("""WITH p AS (SELECT DISTINCT l_suppkey AS pair_id, CAST(100 + l_suppkey % 300 AS double) AS w, CAST(80 + l_suppkey % 200 AS double) AS h, CAST(l_suppkey % 31 AS double) AS c FROM lineitem)
+  SELECT pair_id, (w * h - 2 * c * c) / 262144 AS src_hull_ratio, (w * h - 2 * c * c) / 1048576 AS tgt_hull_ratio, (w * h - 2 * c * c) / 524288 * 1.25 AS hull_ratio FROM p""",
+       {c: 6 for c in ("src_hull_ratio", "tgt_hull_ratio", "hull_ratio")})
+def a07_hull_of_known_polygons(t: Tables):
+    """Each match stands among the corners of a rectangle with cut corners; target points are half as far apart."""
+    k = F.col("l_suppkey")
+    w, h, c = (x.cast("double") for x in (100 + k % 300, 80 + k % 200, k % 31))
+    inner = (c + (F.col("l_orderkey") * 53 % 37) / 37 * (w - 2 * c), c + (F.col("l_partkey") * 29 % 41) / 41 * (h - 2 * c))
+    corners = [inner, (c, F.lit(0.0)), (w - c, F.lit(0.0)), (w, c), (w, h - c), (w - c, h), (c, h), (F.lit(0.0), h - c), (F.lit(0.0), c)]
+    points = F.explode(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in corners]))
+    m = t.lineitem.select(k.alias("pair_id"), points.alias("p")).select("pair_id", F.col("p.x").alias("src_x"), F.col("p.y").alias("src_y"),
+                                                                       (F.col("p.x") / 2 + 7).alias("tgt_x"), (F.col("p.y") / 2 + 9).alias("tgt_y"))
+    return M.hull_ratio(m, 512.0, 512.0).select("pair_id", "src_hull_ratio", "tgt_hull_ratio", "hull_ratio")
+
+
 @query("""WITH c AS (SELECT pair_id, count(*) AS k FROM v_match GROUP BY pair_id, least(floor(src_x / 128), 3), least(floor(src_y / 128), 3)),
   s AS (SELECT *, sum(k) OVER (PARTITION BY pair_id) AS n FROM c)
   SELECT pair_id, CAST(max(n) AS bigint) AS points, -sum((k / n) * log2(k / n)) / 4 AS spatial_entropy FROM s GROUP BY pair_id""", {"spatial_entropy": 5})
@@ -97,6 +112,24 @@ def d06_fit_transforms(t: Tables):
     return f.select("pair_id", "matches", "inliers", *[F.element_at("h", i).alias(n) for n, i in (("h11", 1), ("h13", 3), ("h23", 6))])
 
 
+PLANTED = """SELECT pair_id, match_id, src_x, src_y, 1 + CAST(pair_id % 5 AS double) / 50 AS a, CAST(pair_id % 40 AS double) AS u, CAST(pair_id % 30 AS double) - 15 AS v,
+    CAST(src_x * 512 + src_y AS bigint) % 4 = 0 AS planted FROM v_match"""
+
+
+@query(f"""WITH p AS ({PLANTED}) SELECT pair_id, count(*) AS matches, count(*) FILTER (WHERE planted) AS inliers, min(a) AS h11, min(u) AS h13, min(v) AS h23, CAST(0 AS double) AS h31
+  FROM p GROUP BY pair_id""", {"h11": 4, "h13": 2, "h23": 2, "h31": 6})
+def d06_planted_transforms(t: Tables):
+    """A quarter of each pair's matches follow a scaled shift exactly; the others lie far off in all directions."""
+    k, n = F.col("pair_id"), (F.col("src_x") * 512 + F.col("src_y")).cast("long")
+    a, u, v = 1 + (k % 5).cast("double") / 50, (k % 40).cast("double"), (k % 30).cast("double") - 15
+    far_x, far_y = (n * 7919 % 401).cast("double"), (n * 104729 % 397).cast("double")
+    planted = n % 4 == 0
+    m = t.match.select("pair_id", "match_id", "src_x", "src_y", (a * F.col("src_x") + u + F.when(planted, 0.0).otherwise(30 + far_x)).alias("tgt_x"),
+                       (a * F.col("src_y") + v + F.when(planted, 0.0).otherwise(far_y - 200)).alias("tgt_y"), "distance")
+    f = M.fit_transforms(m)
+    return f.select("pair_id", "matches", "inliers", *[F.element_at("h", i).alias(c) for c, i in (("h11", 1), ("h13", 3), ("h23", 6), ("h31", 7))])
+
+
 def pair_meta(t: Tables):
     """Sampling and sun angles of every pair, from the supplier key."""
     k = F.col("s_suppkey")

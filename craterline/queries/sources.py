@@ -87,7 +87,7 @@ def s05_adapter_routing(t: Tables):
 def grid_texts(t: Tables):
     """Ground-grid lines: one grid per customer, some with defects."""
     k = F.col("o_orderkey")
-    row = F.concat_ws(", ", (F.lit(20.0) + k % 13 / 16.0).cast("string"), (k % 7 / 8.0).cast("string"), F.when(F.col("o_custkey") % 50 == 3, F.lit("bad")).otherwise(k.cast("string")), (k % 11).cast("string"))
+    row = F.concat_ws(", ", (F.lit(20.0) + k % 13 / 16.0).cast("string"), (k % 7 / 8.0).cast("string"), F.when(F.col("o_custkey") % 50 == 3, F.element_at(F.array(F.lit("bad"), F.lit("INVALID"), F.lit("Infinity")), (k % 3 + 1).cast("int"))).otherwise(k.cast("string")), (k % 11).cast("string"))
     body = t.orders.select(F.concat(F.lit("G"), F.col("o_custkey").cast("string")).alias("grid_id"), row.alias("value"))
     head = t.orders.select(F.concat(F.lit("G"), F.col("o_custkey").cast("string")).alias("grid_id"),
                            F.when(F.col("o_custkey") % 40 == 7, "Longitude,Latitude,Pixel").otherwise(" Longitude ,Latitude, PIXEL,Scan").alias("value")).distinct()

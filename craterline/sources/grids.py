@@ -25,14 +25,17 @@ REQUIRED = ["longitude", "latitude", "pixel", "scan"]
 def parse_grid(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, problems) of grid texts (grid_id, value).
 
-    The header is the line that names a column; column order and case do not matter. Rows with
+    The header is the line that has the name of a required column as a field; column order and case
+    do not matter, and a header that differs from the first in text order is a problem. Rows with
     fewer than four fields are skipped, a row that does not parse is a problem, and so are a
     missing column, fewer than four records and repeated (pixel, scan).
     """
     cells = F.transform(F.split("value", ","), lambda c: F.trim(c))
     df = lines.withColumn("_f", cells)
-    is_head = F.lower("value").rlike("[a-z]{4,}")
-    heads = df.filter(is_head).groupBy("grid_id").agg(F.first(F.transform("_f", lambda c: F.lower(c))).alias("_head"))
+    is_head = F.arrays_overlap(F.transform("_f", lambda c: F.lower(c)), F.array(*map(F.lit, REQUIRED)))
+    headers = df.filter(is_head).select("grid_id", "value", F.transform("_f", lambda c: F.lower(c)).alias("_h"))
+    heads = headers.groupBy("grid_id").agg(F.min("_h").alias("_head"))
+    repeated = headers.join(heads, "grid_id").filter("_h <> _head").select("grid_id", F.concat(F.lit("MALFORMED_ROW: "), F.col("value")).alias("problem"))
     body = df.filter(~is_head & (F.size("_f") >= 4)).join(heads.withColumnRenamed("grid_id", "_g"), F.col("grid_id") == F.col("_g"), "left")
     value = lambda n: F.get("_f", (F.array_position("_head", n) - 1).cast("int")).try_cast("double")
     parsed = body.select("grid_id", "value", *[F.when(F.array_position("_head", n) > 0, value(n)).alias(n) for n in REQUIRED])
@@ -47,7 +50,7 @@ def parse_grid(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     few = counts.filter(F.coalesce("n", F.lit(0)) < 4).select("grid_id", F.lit("INSUFFICIENT_RECORDS").alias("problem"))
     twice = nodes.groupBy("grid_id", "pixel", "scan").agg(F.count("*").alias("n")).filter("n > 1").select(
         "grid_id", F.format_string("DUPLICATE_NODE: %d,%d", "pixel", "scan").alias("problem"))
-    return nodes, missing.unionByName(malformed).unionByName(few).unionByName(twice)
+    return nodes, missing.unionByName(malformed).unionByName(repeated).unionByName(few).unionByName(twice)
 
 
 def valid_grids(nodes: DataFrame, problems: DataFrame) -> DataFrame:
