@@ -48,13 +48,19 @@ def text_runs(texts: Iterable, size: int = RUN, parts: Callable = word_runs) ->
         yield held
 
 
+def slices(column, rows: int = 512) -> Iterator[list]:
+    """The values of an Arrow column, a few at a time, so that a batch is never held twice."""
+    for at in range(0, len(column), rows):
+        yield column.slice(at, rows).to_pylist()
+
+
 class Memo:
     """Results of a function of words, worked out for many new words at a time.
 
     It is emptied when it holds too many words or bytes, so its memory is bounded.
     """
 
-    def __init__(self, fill: Callable[[list[bytes]], Iterable], words: int = 700_000, size: int = 40_000_000):
+    def __init__(self, fill: Callable[[list[bytes]], Iterable], words: int = 300_000, size: int = 20_000_000):
         self.fill, self.words, self.size = fill, words, size
         self.known: dict = {}
         self.held = 0

@@ -367,7 +367,7 @@ def test_probabilities_of_a_context_add_up_to_one():
         sums.history.append(bucket.tables(last))
     asked = np.append(bucket.words, np.uint64(12345))  # and one unknown word
     for fine in (0, 17, 100, pitman_yor.START):
-        p, _ = pitman_yor.predictive(bucket, 0, sums, asked, np.ones(len(asked), np.uint16), np.full(len(asked), fine, np.uint16))
+        p, _ = pitman_yor.Predictive(bucket, 0, sums).of(asked, np.ones(len(asked), np.uint16), np.full(len(asked), fine, np.uint16))
         assert math.isclose(p.sum(), 1, rel_tol=1e-9)
 
 
