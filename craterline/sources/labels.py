@@ -44,6 +44,7 @@ def adapter_of(name: Column, override: Column | None = None) -> Column:
 def _clean(content: Column) -> Column:
     """Label text without declarations, comments and namespace prefixes; empty tags written out."""
     x = F.regexp_replace(content, r"(?s)<\?.*?\?>|<!--.*?-->", "")
+    x = F.regexp_replace(x, r"(?s)<!\[CDATA\[([^<]*?)\]\]>", "$1")
     x = F.regexp_replace(x, r"<(/?)[A-Za-z_][\w.\-]*:", "<$1")
     return F.regexp_replace(x, r"<([A-Za-z_][\w.\-]*)([^<>]*)/>", "<$1></$1>")
 
@@ -63,8 +64,17 @@ def _leaves(xml: Column) -> tuple[Column, Column]:
     return names, values
 
 
+def _decoded(c: Column) -> Column:
+    """Text with the five named entities written out."""
+    plain = c
+    for entity, letter in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(entity), F.lit(letter))
+    return F.when(c.contains("&"), plain).otherwise(c)
+
+
 def _blank(c: Column) -> Column:
-    return F.when(F.length(F.trim(c)) > 0, F.trim(c))
+    text = _decoded(F.trim(c))
+    return F.when(F.length(text) > 0, text)
 
 
 def _first(tags: list[str]) -> Column:

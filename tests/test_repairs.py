@@ -95,3 +95,12 @@ def test_only_reduced_views_of_one_camera_are_scaled(spark):
     for r in rows:
         seen[r.sensor, r.height] = r.scan
     assert seen["OHRC", 78175] == 1.0 and seen["TMC-2", 100] == 1.0 and abs(seen["OHRC", 100] - 78174 / 99) < 1e-9
+
+
+def test_label_entities_and_cdata(spark):
+    from craterline.sources import labels
+    text = ("<Product><instrument_name>OHRC</instrument_name><logical_identifier>urn:a&amp;b &lt;c&gt;</logical_identifier>"
+            "<processing_level><![CDATA[Calibrated]]></processing_level></Product>")
+    files = spark.createDataFrame([("/x/ch2_ohr_1.xml", text)], "path string, content string")
+    row = labels.parse_labels(files).first()
+    assert row.product_id == "urn:a&b <c>" and row.processing_level == "Calibrated"
