@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,20 +54,37 @@ def slices(column, rows: int = 512) -> Iterator[list]:
     """The values of an Arrow column, a few at a time, so that a batch is never held twice."""
     for at in range(0, len(column), rows):
         yield column.slice(at, rows).to_pylist()
+    pa.default_memory_pool().release_unused()  # what earlier batches have left
 
 
 class Memo:
     """Results of a function of words, worked out for many new words at a time.
 
-    It is emptied when it holds too many words or bytes, so its memory is bounded.
+    It is emptied when it holds too many words or bytes, so its memory is bounded. A worker serves many
+    operators one after the other; only the memos of the one at work, its ``owner``, are kept.
     """
 
-    def __init__(self, fill: Callable[[list[bytes]], Iterable], words: int = 300_000, size: int = 20_000_000):
-        self.fill, self.words, self.size = fill, words, size
+    _all: weakref.WeakSet = weakref.WeakSet()
+    _owner: str | None = None
+
+    def __init__(self, owner: str, fill: Callable[[list[bytes]], Iterable], words: int = 300_000, size: int = 20_000_000):
+        self.owner, self.fill, self.words, self.size = owner, fill, words, size
         self.known: dict = {}
         self.held = 0
+        Memo._all.add(self)
+
+    @classmethod
+    def serve(cls, owner: str) -> None:
+        """Empty the memos of other owners."""
+        if cls._owner != owner:
+            for memo in cls._all:
+                if memo.owner != owner:
+                    memo.known.clear()
+                    memo.held = 0
+            cls._owner = owner
 
     def look_up(self, words: list) -> Iterator:
+        Memo.serve(self.owner)
         new = set(words).difference(self.known)
         if new:
             if len(self.known) + len(new) > self.words or self.held > self.size:

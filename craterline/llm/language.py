@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from craterline.llm.common import Memo, text_runs
+from craterline.llm.common import Memo, slices, text_runs
 from craterline.llm.model_file import BLANK, MODEL, NORMAL, read_model
 
 PER_LANGUAGE = 4_000
@@ -149,6 +149,13 @@ class LanguageModel:
     def __getstate__(self):
         return {**self.__dict__, "_memo": None}
 
+    def column_sums(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """The same of an Arrow column of texts, as strings or bytes."""
+        found = [self.sums([t.encode() if isinstance(t, str) else t for t in texts]) for texts in slices(column)]
+        if not found:
+            return self.sums([])
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
     def sums(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """For each text the log probability in each language, and how many letter runs it has."""
         if self._memo is None:
@@ -171,7 +178,7 @@ class _WordTable(Memo):
     """Row numbers of words in a table of log probabilities and letter runs."""
 
     def __init__(self, model: LanguageModel):
-        super().__init__(self.rows, words=400_000)
+        super().__init__("language", self.rows, words=150_000)
         self.model = model
         self.table = np.zeros((0, len(model.languages) + 1))
         self.used = 0
@@ -245,12 +252,12 @@ def _expected(rows: DataFrame, model: LanguageModel, number: dict[str, int]) ->
                 total[:] += own.expected_counts(part, np.array([counts[r] for r in part]), model.probability)
 
         for batch in batches:
-            languages = batch.column(1).to_pylist()
-            for run in text_runs(batch.column(0).to_pylist()):
-                for row, words in run:
-                    held[languages[row]].update(words)
-                if sum(map(len, held.values())) > 300_000:
-                    settle()
+            for texts, languages in zip(slices(batch.column(0)), slices(batch.column(1)), strict=True):
+                for run in text_runs(texts):
+                    for row, words in run:
+                        held[languages[row]].update(words)
+                    if sum(map(len, held.values())) > 150_000:
+                        settle()
         settle()
         piece, k = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(total[piece, k])],
@@ -273,14 +280,13 @@ def identify(documents: DataFrame, model: LanguageModel, id_col: str = "doc_id",
 
     def predict(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            total, letters = model.sums(texts)
-            if model.languages and len(texts):
+            total, letters = model.column_sums(batch.column(1))
+            if model.languages and len(batch):
                 best = total.argmax(axis=1)
-                score = np.where(letters > 0, 1 / np.exp(total - total[np.arange(len(texts)), best][:, None]).sum(axis=1), 0.0)
+                score = np.where(letters > 0, 1 / np.exp(total - total[np.arange(len(batch)), best][:, None]).sum(axis=1), 0.0)
                 names = [model.languages[b] if n else UNDETERMINED for b, n in zip(best, letters, strict=True)]
             else:
-                names, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+                names, score = [UNDETERMINED] * len(batch), np.zeros(len(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score)], names=[id_col, "lang_pred", "score"])
 
     return documents.select(F.col(id_col), F.col(text_col).cast("binary").alias("text")).mapInArrow(predict, f"`{id_col}` {kind}, lang_pred string, score double")
@@ -292,11 +298,12 @@ def kept(documents: DataFrame, model: LanguageModel, least: float = 0.5, text_co
 
     def keep(batches):
         for batch in batches:
-            texts = [t.encode() if isinstance(t, str) else t for t in batch.column(at).to_pylist()]
-            total, letters = model.sums(texts)
-            sure = letters > 0
-            if model.languages and len(texts):
-                sure &= 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1) >= least
-            yield batch.filter(pa.array(sure))
+            for first in range(0, len(batch), 1000):
+                part = batch.slice(first, 1000)
+                total, letters = model.column_sums(part.column(at))
+                sure = letters > 0
+                if model.languages:
+                    sure &= 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1) >= least
+                yield part.filter(pa.array(sure))
 
     return documents.mapInArrow(keep, documents.schema)

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from craterline.functions.stage import stage
-from craterline.llm.common import Memo, text_runs
+from craterline.llm.common import Memo, slices, text_runs
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CAPACITY = 2048
@@ -58,8 +58,8 @@ class WordEncoder:
         vocabulary = self.full.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known_parts = Memo(self.encode_parts, words=200_000)
-        self.words = Memo(self.encode_words)
+        self.known_parts = Memo("packing", self.encode_parts, words=100_000)
+        self.words = Memo("packing", self.encode_words, words=400_000)
 
     def encode_parts(self, parts: list[str]) -> list[bytes]:
         ids = np.asarray(self.parts.encode(" ".join(parts), add_special_tokens=False).ids, dtype="<u4")
@@ -121,7 +121,7 @@ def token_pieces(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str
     def cut(batches):
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            data = encoder(tokenizer).texts(batch.column(1).to_pylist())
+            data = chain.from_iterable(encoder(tokenizer).texts(texts) for texts in slices(batch.column(1)))
             rows, piece, start, length, crc, nth, ids = [], [], [], [], [], [], []
             for row, one in enumerate(data):
                 for k, at in enumerate(range(0, len(one) // 4, capacity)):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Tokenizer, decoders, models, normalizers
 
-from craterline.llm.common import RUN, Memo, text_runs
+from craterline.llm.common import RUN, Memo, slices, text_runs
 from craterline.llm.model_file import BLANK, BYTE, CONTROL, MODEL, UNIGRAM, UNKNOWN, USER_DEFINED, Model, read_model
 
 _codecs: dict[str, "Codec"] = {}
@@ -70,7 +70,7 @@ class Codec:
         self.tokenizer = build_tokenizer(self.model)
         self.peer = sentencepiece.SentencePieceProcessor(model_file=path)
         self.words = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+") if not self.model.crosses_words() else None
-        self.memo = Memo(self.encode_words, words=300_000)
+        self.memo = Memo("sentencepiece", self.encode_words)
 
     def normal(self, text: str) -> str:
         """The text with its blanks marked, before the character map."""
@@ -139,7 +139,7 @@ def encode(documents: DataFrame, path: str = MODEL, id_col: str = "doc_id", text
     def run(batches):
         own = codec(path)
         for batch in batches:
-            rows = own.encode(batch.column(1).to_pylist())
+            rows = [row for texts in slices(batch.column(1)) for row in own.encode(texts)]
             columns = [pa.array([r and r[1] for r in rows], pa.int64()), pa.array([r and zlib.crc32(r[0]) for r in rows], pa.int64()),
                        pa.array([r and r[2] for r in rows], pa.bool_()), pa.array([r and r[3] for r in rows], pa.bool_())]
             if with_ids:

@@ -23,7 +23,7 @@ row; it never names a component. Repeated rows keep their rows. An empty table g
 from __future__ import annotations
 
 import math
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from craterline.functions.stage import stage
+from craterline.llm.common import Memo, slices
 from craterline.llm.components import Forest, components
 
 SEED = 42
@@ -120,9 +121,10 @@ def fingerprints(documents: DataFrame, words: int = 4, parts: int = 1, repeats:
     kind, names = documents.schema[id_col].dataType.simpleString(), _names(parts)
 
     def digest(batches):
+        Memo.serve("simhash")
         for batch in batches:
             bits = np.zeros((parts, len(batch)), dtype=np.uint64)
-            for row, text in enumerate(batch.column(1).to_pylist()):
+            for row, text in enumerate(chain.from_iterable(slices(batch.column(1)))):
                 h = shingle_hashes(text, words)
                 h = h if repeats else np.unique(h)
                 for part in range(parts):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from craterline.llm.common import RUN, Memo, text_runs
+from craterline.llm.common import RUN, Memo, slices, text_runs
 from craterline.llm.model_file import BLANK, MODEL, Model, read_model
 
 #: How far an unknown letter stays behind the worst piece (fixed value).
@@ -48,7 +48,7 @@ class Counter:
         # A word is a run of blank markers and the letters up to the next run.
         self.whole = model.crosses_words()
         self.words = re.compile("(?s:.+)" if self.whole else f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
-        self.memo = Memo(lambda words: [self.viterbi(w) for w in words], words=500_000)
+        self.memo = Memo("token_count", lambda words: [self.viterbi(w) for w in words], words=400_000)
 
     def normal(self, text: str) -> str:
         if self.model.remove_extra_whitespaces:
@@ -59,29 +59,36 @@ class Counter:
         return text.replace(" ", BLANK) if self.model.escape_whitespaces else text
 
     def viterbi(self, word: str) -> int:
-        """Number of pieces on the best path."""
-        n = len(word)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, piece in self.automaton.iter(word):
-            ends[end].append(piece)
-        score, count, unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        for i in range(1, n + 1):
-            best, start, known = -np.inf, -1, True
-            alone = False
-            for size, value in sorted(ends[i - 1], reverse=True):  # the piece that starts first, first
-                alone |= size == 1
-                if score[i - size] + value > best:
-                    best, start = score[i - size] + value, i - size
-            if not alone and score[i - 1] + self.unknown > best:
-                best, start, known = score[i - 1] + self.unknown, i - 1, False
-            score[i] = best
-            if known:
-                count[i] = count[start] + 1
-            elif self.model.byte_fallback:
-                count[i] = count[start] + len(word[i - 1].encode("utf-8", "replace"))
-            else:
-                count[i] = count[start] + (not unknown[start])
-            unknown[i] = not known
+        """Number of pieces on the best path.
+
+        The automaton reports the pieces that end at a place longest first, which is the order of their starts.
+        """
+        n, at, alone = len(word), 1, False
+        score, count, unknown = [-np.inf] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        score[0] = 0.0
+
+        def settle(place: int) -> None:
+            """A letter that is no piece may be the better way to a place."""
+            if score[place - 1] + self.unknown > score[place]:
+                score[place], unknown[place] = score[place - 1] + self.unknown, True
+                if self.model.byte_fallback:
+                    count[place] = count[place - 1] + len(word[place - 1].encode("utf-8", "replace"))
+                else:
+                    count[place] = count[place - 1] + (not unknown[place - 1])
+
+        for end, (size, value) in self.automaton.iter(word):
+            while at <= end:  # no further piece ends there
+                if not alone:
+                    settle(at)
+                at, alone = at + 1, False
+            reached = score[at - size] + value
+            if reached > score[at]:
+                score[at], count[at] = reached, count[at - size] + 1
+            alone |= size == 1
+        while at <= n:
+            if not alone:
+                settle(at)
+            at, alone = at + 1, False
         return count[n]
 
     def parts(self, text: str, size: int = RUN):
@@ -118,7 +125,7 @@ def count_tokens(documents: DataFrame, path: str = MODEL, id_col: str = "doc_id"
 
     def count(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counter(path).counts(batch.column(1).to_pylist()), pa.int64())],
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for texts in slices(batch.column(1)) for n in counter(path).counts(texts)], pa.int64())],
                                              names=[id_col, "n_tokens"])
 
     return documents.select(F.col(id_col), F.col(text_col)).mapInArrow(count, f"`{id_col}` {kind}, n_tokens long")

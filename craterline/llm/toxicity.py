@@ -3,8 +3,10 @@
 Folding lower-cases, applies compatibility normalisation, replaces letters of other scripts that look
 like Latin ones, reads digits and signs inside words as the letters they stand for, and leaves words
 with single blanks between them. Lexicon terms are words whose share of toxic documents is, even at
-the lower end of its error, above one half; the weight is the smoothed log ratio of the class
-frequencies. A phrase of a term and a neighbour that is surely clean is an exception: matches inside
+the lower end of its error, above one half, and that are the surest such word of a toxic
+document; else rare words of a few long or copied toxic documents would get in. The weight is the
+smoothed log ratio of the class frequencies. A phrase of a term and a neighbour that is surely clean is
+an exception: matches inside
 it do not count. The weights found in a text, over the logarithm of its length, give the score
 through a logistic curve fitted on the same labelled rows.
 
@@ -21,6 +23,7 @@ import re
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -29,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from craterline.functions.stage import stage
+from craterline.llm.common import Memo, slices
 
 PER_CLASS = 25_000
 #: Standard errors by which a term or an exception must be sure.
@@ -113,6 +117,7 @@ def labelled_sample(labels: DataFrame, per_class: int = PER_CLASS, id_col: str =
 def _counted(documents: DataFrame, terms_of) -> DataFrame:
     """Toxic and clean documents for each term that ``terms_of`` gives for a folded text; "" counts the documents."""
     def count(batches):
+        Memo.serve("toxicity")
         classes = (Counter(), Counter())
 
         def flush():
@@ -125,10 +130,10 @@ def _counted(documents: DataFrame, terms_of) -> DataFrame:
             classes[1].clear()
 
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, label in zip(chain.from_iterable(slices(batch.column(0))), batch.column(1).to_pylist(), strict=True):
                 classes[label].update(terms_of(fold(text or "")))
                 classes[label][""] += 1
-                if len(classes[0]) + len(classes[1]) > 500_000:
+                if len(classes[0]) + len(classes[1]) > 100_000:
                     yield from flush()
         yield from flush()
 
@@ -157,19 +162,25 @@ def learn(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, i
     n = counts.where("term = ''").first()
     if n is None or not n.toxic or not n.clean:
         return Lexicon({})
-    sure = _weigh(counts.where("toxic > 1"), n.toxic, n.clean).where(F.col("weight") - SURE * F.col("error") + prior > 0)
-    weights = {r.term: r.weight for r in sure.collect()}  # from a bounded sample
+    sure = _weigh(counts.where("toxic > 1"), n.toxic, n.clean).where(F.col("weight") - SURE * F.col("error") + prior > 0).collect()  # from a bounded sample
+    weights, least = {r.term: r.weight for r in sure}, {r.term: r.weight - SURE * r.error for r in sure}
 
     def phrases(folded):
+        """Terms with a neighbour, and the surest term alone."""
         words = folded.split()
-        return {p for i, w in enumerate(words) if w in weights for p in (" ".join(words[max(0, i - 1):i + 1]), " ".join(words[i:i + 2])) if " " in p}
+        at = [i for i, w in enumerate(words) if w in weights]
+        found = {p for i in at for p in (" ".join(words[max(0, i - 1):i + 1]), " ".join(words[i:i + 2])) if " " in p}
+        return found | {max((words[i] for i in at), key=lambda w: (least[w], w))} if at else found
 
-    clean = _weigh(_counted(texts, phrases), n.toxic, n.clean).where(F.col("weight") + SURE * F.col("error") + prior < 0)
-    lexicon = Lexicon(weights, sorted(r.term for r in clean.collect()))
+    counted = stage(_counted(texts, phrases))
+    pair = F.col("term").contains(" ")
+    surest = {r.term for r in counted.where(~pair & (F.col("term") != "") & (F.col("toxic") > 0)).collect()}
+    clean = _weigh(counted.where(pair), n.toxic, n.clean).where(F.col("weight") + SURE * F.col("error") + prior < 0)
+    lexicon = Lexicon({t: w for t, w in weights.items() if t in surest}, sorted(r.term for r in clean.collect()))
 
     def strengths(batches):
         for batch in batches:
-            folded = [fold(t or "") for t in batch.column(0).to_pylist()]
+            folded = (fold(t or "") for t in chain.from_iterable(slices(batch.column(0))))
             yield pa.RecordBatch.from_arrays([pa.array([lexicon.strength(lexicon.hits(f), f) for f in folded], pa.float64()), batch.column(1)],
                                              names=["strength", "label"])
 
@@ -200,7 +211,7 @@ def score(documents: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_c
     def judge(batches):
         for batch in batches:
             scores, matches = [], []
-            for text in batch.column(1).to_pylist():
+            for text in chain.from_iterable(slices(batch.column(1))):
                 folded = fold(text or "")
                 hits = lexicon.hits(folded)
                 scores.append(lexicon.score(lexicon.strength(hits, folded)))
@@ -217,8 +228,11 @@ def kept(documents: DataFrame, lexicon: Lexicon, text_col: str = "text") -> Data
     at = documents.columns.index(text_col)
 
     def keep(batches):
+        Memo.serve("toxicity")
         for batch in batches:
-            folded = (fold(t or "") for t in batch.column(at).to_pylist())
-            yield batch.filter(pa.array([lexicon.score(lexicon.strength(lexicon.hits(f), f)) < 0.5 for f in folded], pa.bool_()))
+            for first in range(0, len(batch), 1000):
+                part = batch.slice(first, 1000)
+                folded = (fold(t or "") for t in chain.from_iterable(slices(part.column(at))))
+                yield part.filter(pa.array([lexicon.score(lexicon.strength(lexicon.hits(f), f)) < 0.5 for f in folded], pa.bool_()))
 
     return documents.mapInArrow(keep, documents.schema)
