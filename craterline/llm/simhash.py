@@ -9,9 +9,7 @@ pair of keys. Fingerprints with a common pair of keys meet and are compared bit
 found, each task keeps a spanning forest, which loses no component.
 
 ``near_duplicates`` links 64-bit fingerprints at five bits or fewer, where nothing is missed.
-``similar_documents`` links texts by the similarity of their sets of shingles, estimated from 128
-bits: the share of differing bits is the angle between the sets. There the keys find most, not all,
-of the links near the threshold and nearly all above it; the tests measure it.
+``similar_documents`` links texts by the exact similarity of their sets of shingles (``similar.py``).
 
 Equal fingerprints are one node, however many documents have them. A pair of keys under which very
 many fingerprints meet is cut into blocks that are compared two by two, so no task holds it whole.
@@ -34,6 +32,7 @@ from pyspark.sql import functions as F
 from craterline.functions.stage import stage
 from craterline.llm.common import Memo, slices
 from craterline.llm.components import Forest, components
+from craterline.llm.similar import grouped
 
 SEED = 42
 #: The Golay code's generator x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 (fixed value).
@@ -248,10 +247,11 @@ def differing_bits(similarity: float, parts: int) -> int:
     return math.floor(64 * parts * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def similar_documents(documents: DataFrame, words: int = 5, least: float = 0.8, parts: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id and ``component_id`` of every row, where texts whose sets of shingles are estimated to be ``least`` alike are linked."""
-    rows = fingerprints(documents, words, parts, False, id_col, text_col)
-    return _grouped(rows, id_col, differing_bits(least, parts), parts).select(id_col, "component_id")
+def similar_documents(documents: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Id and ``component_id`` of every row, where texts whose sets of shingles are ``least`` alike are linked."""
+    rows = stage(grouped(documents, words, least, id_col, text_col))
+    named = rows.groupBy("component").agg(F.min("id").alias("component_id"))
+    return rows.join(named, "component").select(F.col("id").alias(id_col), "component_id")
 
 
 def representatives(documents: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
