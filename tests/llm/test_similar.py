@@ -34,6 +34,12 @@ def test_pairs_over_the_threshold_are_found(spark):
     assert np.mean([found[i + SHIFT] == i for i in alike]) >= 0.995
 
 
+def test_pairs_under_the_threshold_both_stay(spark):
+    documents, alike = planted(spark, 0.5, 0.8)
+    kept = {r.doc_id for r in simhash.representatives(documents).collect()}
+    assert kept == {x for i in alike for x in (i, i + SHIFT)}
+
+
 def test_sets_that_only_share_keys_in_blocks(spark, monkeypatch):
     """A chain of texts, each alike its neighbours only, and strangers that share a third of their text."""
     monkeypatch.setattr(similar, "BLOCK", 2)
