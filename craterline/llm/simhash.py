@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from craterline.functions.stage import stage
 from craterline.llm.common import Memo, slices
 from craterline.llm.components import Forest, components
-from craterline.llm.similar import grouped
+from craterline.llm.similar import grouped, text_digest
 
 SEED = 42
 #: The Golay code's generator x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 (fixed value).
@@ -255,11 +255,12 @@ def similar_documents(documents: DataFrame, words: int = 5, least: float = 0.8,
 
 
 def representatives(documents: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row, with all its columns, of each group of similar documents: the one whose id names it.
+    """One row, with all its columns, of each group of similar documents: of the smallest id, then of the smallest digest of the text.
 
-    Of repeated rows with that id one stays. Rows without id stay, since nothing names them apart.
+    Of repeated rows with that id and text one stays. Rows without id stay, since nothing names them apart.
     """
     known = documents.where(F.col(id_col).isNotNull())
-    first = similar_documents(known, words, least, id_col=id_col, text_col=text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = known.join(first, id_col, "left_semi").dropDuplicates([id_col])
+    first = grouped(known, words, least, id_col, text_col).groupBy("component").agg(F.min(F.struct("id", "digest")).alias("first"))
+    first = first.select(F.col("first.id").alias("__id"), F.col("first.digest").alias("__digest"))
+    named = known.join(first, (F.col(id_col) == F.col("__id")) & (text_digest(text_col) == F.col("__digest")), "left_semi").dropDuplicates([id_col, text_col])
     return named.select(documents.columns).union(documents.where(F.col(id_col).isNull()))

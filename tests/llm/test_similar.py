@@ -62,3 +62,11 @@ def test_keys_and_marks_at_the_threshold():
         m = [similar.marks(x) for x in least]
         met += bool(keys[0] & keys[1]) and sum(int(x).bit_count() for x in (m[0] ^ m[1]).view(np.uint64)) <= similar.MARKS
     assert met / draws >= 0.997
+
+
+def test_texts_under_one_id_stay_apart(spark):
+    texts = [" ".join(f"{name}{i}" for i in range(50)) for name in "abc"]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[1]), (2, texts[2]), (3, None), (3, ""), (None, texts[0])]
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id in (1, 2)) == [(1, texts[0]), (1, texts[1]), (2, texts[2])]
+    assert len(kept) == 5  # one row without text, one without id
