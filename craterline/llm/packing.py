@@ -35,6 +35,8 @@ CAPACITY = 2048
 PLAIN = re.compile("[!-~¡-ɏ]+")
 #: How the tokenizer file cuts words (fixed value: it must equal the file's pattern).
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Ids that a task holds before it hands them on.
+HELD = 1 << 20
 #: Ranks of a length stay below this.
 RANKS = 1 << 44
 
@@ -120,9 +122,23 @@ def token_pieces(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str
 
     def cut(batches):
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
+        held = rows, piece, start, length, crc, nth, ids = [], [], [], [], [], [], []
+
+        def out(batch):
+            columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                       pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.full(len(rows), part, np.int32)), pa.array(nth, pa.int64())]
+            names = [id_col, "piece", "start", "length", "ids_crc32", "part", "nth"]
+            if with_ids:
+                ends = np.r_[0, np.cumsum(length)].astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))))
+                names.append("ids")
+            for column in held:
+                column.clear()
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
         for batch in batches:
             data = chain.from_iterable(encoder(tokenizer).texts(texts) for texts in slices(batch.column(1)))
-            rows, piece, start, length, crc, nth, ids = [], [], [], [], [], [], []
+            weight = 0
             for row, one in enumerate(data):
                 for k, at in enumerate(range(0, len(one) // 4, capacity)):
                     own = one[4 * at:4 * (at + capacity)]
@@ -135,14 +151,12 @@ def token_pieces(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str
                     nth.append(int(seen[n]))
                     seen[n] += 1
                     if with_ids:
-                        ids.append(np.frombuffer(own, dtype="<i4"))
-            columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                       pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.full(len(rows), part, np.int32)), pa.array(nth, pa.int64())]
-            names = [id_col, "piece", "start", "length", "ids_crc32", "part", "nth"]
-            if with_ids:
-                columns.append(pa.array(ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                        ids.append(own)
+                        weight += n
+                    if weight >= HELD:
+                        yield out(batch)
+                        weight = 0
+            yield out(batch)
 
     return documents.select(F.col(id_col), F.col(text_col).cast("binary").alias("text")).mapInArrow(cut, schema)
 

@@ -1,10 +1,12 @@
 """Groups of similar documents against the exact similarity of their sets of shingles."""
 
 import random
+import zlib
 
+import corpus_pipeline
 import numpy as np
 
-from craterline.llm import similar, simhash
+from craterline.llm import packing, similar, simhash
 
 SHIFT = 100_000
 
@@ -70,3 +72,11 @@ def test_texts_under_one_id_stay_apart(spark):
     kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.text) for r in kept if r.doc_id in (1, 2)) == [(1, texts[0]), (1, texts[1]), (2, texts[2])]
     assert len(kept) == 5  # one row without text, one without id
+
+
+def test_last_stage_delivers_token_ids(spark, odd_documents, monkeypatch):
+    monkeypatch.setattr(packing, "HELD", 500)  # a task hands its ids on in parts
+    rows = corpus_pipeline.pack(spark, odd_documents, "").collect()
+    assert {"ids", "sequence_id", "offset"} <= set(rows[0].asDict())
+    assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<i4").tobytes()) == r.ids_crc32 for r in rows)
+    assert sum(r.length for r in rows) == packing.token_pieces(odd_documents, with_ids=False).agg({"length": "sum"}).first()[0]
