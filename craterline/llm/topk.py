@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from craterline.functions.stage import stage
+
 SHARD, QUERIES = 8_192, 16_384
 #: Terms that are probed between two looks at who still competes, and candidates that give the first threshold.
 PROBED, SEED = 8, 512
@@ -37,7 +39,7 @@ def integer_vector(vector: Column, scale: float) -> Column:
 
 
 def _packed(rows: DataFrame, blocks: int, name: str) -> DataFrame:
-    """Rows (id, v) as blocks (``name``, ids, values, width)."""
+    """Rows (id, v, number) as blocks (``name``, ids, values, width); the number spreads the copies of an id."""
     def pack(key, table):
         ids, vectors = table["id"].to_numpy(), table["v"].to_pylist()
         width = max(map(len, vectors))
@@ -47,7 +49,7 @@ def _packed(rows: DataFrame, blocks: int, name: str) -> DataFrame:
         return pa.table({name: pa.array([key[0].as_py()], pa.int32()), f"{name}_ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()),
                          f"{name}_values": pa.array([values.tobytes()], pa.binary()), f"{name}_width": pa.array([width], pa.int32())})
 
-    return (rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    return (rows.withColumn("block", F.pmod(F.xxhash64("id", "number"), F.lit(blocks)).cast("int"))
             .groupBy("block").applyInArrow(pack, f"{name} int, {name}_ids binary, {name}_values binary, {name}_width int"))
 
 
@@ -96,8 +98,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
     def usable(rows):
         return rows.select(F.col(id_col).cast("long").alias("id"), integer_vector(F.col(vector_col), scale).alias("v")).where("id is not null and v is not null")
 
-    candidates = usable(vectors)
-    asked = usable(queries).groupBy("id").agg(F.min("v").alias("v"))
+    candidates = stage(usable(vectors).withColumn("number", F.monotonically_increasing_id()))
+    asked = usable(queries).groupBy("id").agg(F.min("v").alias("v")).withColumn("number", F.lit(0))
     shards, parts = (max(1, -(-rows.count() // size)) for rows, size in ((candidates, SHARD), (asked, QUERIES)))
     left = _packed(candidates, shards, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     right = _packed(asked, parts, "part").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))

@@ -5,8 +5,9 @@ import zlib
 
 import corpus_pipeline
 import numpy as np
+from pyspark.sql import functions as F
 
-from craterline.llm import packing, similar, simhash
+from craterline.llm import packing, similar, simhash, topk
 
 SHIFT = 100_000
 
@@ -80,3 +81,9 @@ def test_last_stage_delivers_token_ids(spark, odd_documents, monkeypatch):
     assert {"ids", "sequence_id", "offset"} <= set(rows[0].asDict())
     assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<i4").tobytes()) == r.ids_crc32 for r in rows)
     assert sum(r.length for r in rows) == packing.token_pieces(odd_documents, with_ids=False).agg({"length": "sum"}).first()[0]
+
+
+def test_copies_of_an_id_spread_over_shards(spark):
+    rows = spark.createDataFrame([(7, [1, 2])] * 4000, "id long, v array<long>").withColumn("number", F.monotonically_increasing_id())
+    blocks = [len(r.shard_ids) // 8 for r in topk._packed(rows, 8, "shard").collect()]
+    assert sum(blocks) == 4000 and len(blocks) == 8 and max(blocks) < 700
