@@ -1,8 +1,10 @@
 """Near-duplicate embeddings: spherical k-means cells, blocked cosine products inside them.
 
 Centres are fitted on a bounded sample. Every vector lives in the cell of its closest centre and is
-also a guest in cells whose centre is nearly as close (by ``margin``), so that partners on both
-sides of a border meet. A pair of one cell is compared there; a pair of two cells in the lower of
+also a guest in cells whose centre is nearly as close, so that partners on both sides of a border
+meet: for partners a, b at home with centres p, q the two gaps a(p - q) and b(q - p) are not negative
+and add up to (a - b)(p - q), at most sqrt(2 - 2 least) |p - q|, so one of the gaps is at most half of
+that, and such a vector is a guest. No link is lost. A pair of one cell is compared there; a pair of two cells in the lower of
 them if the other's vector is a guest there, else in the higher one. A cell is cut into blocks of at
 most ``block`` vectors that meet two by two, so a crowded cell costs more tasks, not a larger one.
 Vectors with equal components are one node with a count, however many rows have them.
@@ -11,8 +13,7 @@ Products are taken in double precision. A block pair reports how many links each
 spanning forest of the links, never all pairs.
 
 A vector that is null, empty, zero or holds a null or a non-finite component links with nothing and
-keeps its row; so does one whose length differs from that of most vectors in the sample. A row without
-id keeps its row and counts as a partner, but never names a component. Repeated rows keep their rows
+keeps its row. Vectors of each length are a set of their own. A row without id keeps its row and counts as a partner, but never names a component. Repeated rows keep their rows
 and count as vectors of their own. An empty table gives no rows.
 """
 
@@ -31,8 +32,8 @@ MOST_CELLS = 1024
 #: Vectors a cell should hold, while there are fewer than MOST_CELLS cells.
 FILLED = 2_000
 BLOCK = 2_048
-#: How far a guest's cosine to a centre may stay behind that of its own centre.
-MARGIN = 0.05
+#: Guests are admitted with so much more, for rounding.
+ROUNDING = 1e-9
 
 
 def spherical_k_means(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -65,31 +66,19 @@ def _unit(column: pa.Array, width: int) -> np.ndarray:
 
 
 def near_duplicates(embeddings: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding",
-                    margin: float = MARGIN, block: int = BLOCK) -> DataFrame:
-    """Id, ``n_links``, ``component_id`` and ``kept`` of every row."""
+                    margin: float = 0.0, block: int = BLOCK) -> DataFrame:
+    """Id, ``n_links``, ``component_id`` and ``kept`` of every row; a ``margin`` admits more guests than are needed."""
     rows = stage(embeddings.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("ok", usable("v")))
     # One node for equal vectors, named by a hash that only labels it.
     keyed = rows.where("ok").select("id", "v", F.xxhash64("v").alias("hash"))
     nodes = stage(keyed.groupBy("v").agg(F.count("*").alias("copies"), F.min("id").alias("first"), F.min("hash").alias("hash"))
                   .withColumn("node", F.monotonically_increasing_id()))
-    sizes = nodes.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "width").limit(1).first()
-    if sizes is None:
+    found = None
+    for width, n in nodes.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).orderBy("width").collect():
+        own = _found(nodes.where(F.size("v") == width), width, n, least, margin, block)
+        found = own if found is None else found.union(own)
+    if found is None:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    width = sizes.width
-    nodes = nodes.where(F.size("v") == width)
-    share = min(1.0, SAMPLE / sizes.n)
-    sample = np.array([r.v for r in nodes.where(F.pmod("hash", F.lit(1_000_000)) < share * 1_000_000).select("v").limit(2 * SAMPLE).collect()] or [nodes.first().v])
-    sample = sample / np.abs(sample).max(axis=1, keepdims=True)
-    sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    centres = spherical_k_means(sample, max(1, min(MOST_CELLS, round(sizes.n / FILLED))))
-
-    placed = stage(_placed(nodes.select("node", "copies", "v"), centres, width, margin))
-    crowd = placed.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    met = (placed.join(F.broadcast(crowd), "cell")  # at most MOST_CELLS rows
-           .withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-           .select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "copies", "home", "guest", "v"))
-    found = stage(met.groupBy("cell", "i", "j").applyInArrow(_products(least, width), "node long, links long, other long"))
     links = found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
     counts = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     named = (nodes.join(counts, "node", "left").join(components(links), "node", "left")
@@ -102,8 +91,29 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.95, id_col: str = "v
                     F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")))
 
 
-def _placed(nodes: DataFrame, centres: np.ndarray, width: int, margin: float) -> DataFrame:
+def _found(nodes: DataFrame, width: int, n: int, least: float, margin: float, block: int) -> DataFrame:
+    """Counts of links and links of a spanning forest of the nodes, whose vectors all have this length."""
+    share = min(1.0, SAMPLE / n)
+    sample = np.array([r.v for r in nodes.where(F.pmod("hash", F.lit(1_000_000)) < share * 1_000_000).select("v").limit(2 * SAMPLE).collect()] or [nodes.first().v])
+    sample = sample / np.abs(sample).max(axis=1, keepdims=True)
+    sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    centres = spherical_k_means(sample, max(1, min(MOST_CELLS, round(n / FILLED))))
+
+    placed = stage(_placed(nodes.select("node", "copies", "v"), centres, width, least, margin))
+    crowd = placed.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    met = (placed.join(F.broadcast(crowd), "cell")  # at most MOST_CELLS rows
+           .withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+           .select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "copies", "home", "guest", "v"))
+    return stage(met.groupBy("cell", "i", "j").applyInArrow(_products(least, width), "node long, links long, other long"))
+
+
+def _placed(nodes: DataFrame, centres: np.ndarray, width: int, least: float, margin: float) -> DataFrame:
     """A row for each node and cell that it lives in or visits, with the list of the cells that it visits."""
+    squares = (centres ** 2).sum(axis=1)
+    apart = np.sqrt(np.maximum(0, squares[:, None] + squares - 2 * centres @ centres.T) + ROUNDING)
+    reach = np.sqrt(max(0.0, 2 - 2 * least)) / 2
+
     def place(batches):
         for batch in batches:
             if not len(batch):
@@ -112,7 +122,7 @@ def _placed(nodes: DataFrame, centres: np.ndarray, width: int, margin: float) ->
             for at in range(0, len(x), 4096):
                 near = x[at:at + 4096] @ centres.T
                 home = near.argmax(axis=1)
-                at_cell = near >= near.max(axis=1, keepdims=True) - margin
+                at_cell = near >= near.max(axis=1, keepdims=True) - reach * apart[home] - margin - ROUNDING
                 rows, cells = np.nonzero(at_cell)
                 visits = [np.flatnonzero(r).astype(np.int32) for r in at_cell]
                 own = batch.slice(at, len(near)).take(pa.array(rows))

@@ -7,7 +7,7 @@ import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
-from craterline.llm import packing, similar, simhash, topk
+from craterline.llm import packing, similar, simhash, topk, vectors
 
 SHIFT = 100_000
 
@@ -83,6 +83,20 @@ def test_last_stage_delivers_token_ids(spark, odd_documents, monkeypatch):
     assert sum(r.length for r in rows) == packing.token_pieces(odd_documents, with_ids=False).agg({"length": "sum"}).first()[0]
 
 
+def test_links_across_cells_are_all_found(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "FILLED", 20)
+    rng = np.random.default_rng(4)
+    rows = []
+    for width in (6, 3):
+        x = rng.normal(size=(400, width))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        rows += [(len(rows) + i, v.tolist()) for i, v in enumerate(x)]
+    found = {r.vec_id: r.n_links for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for at in (0, 400):
+        x = np.array([v for _, v in rows[at:at + 400]])
+        assert [found[at + i] for i in range(400)] == ((x @ x.T >= 0.95).sum(axis=1) - 1).tolist()
+
+
 def test_copies_of_an_id_spread_over_shards(spark):
     rows = spark.createDataFrame([(7, [1, 2])] * 4000, "id long, v array<long>").withColumn("number", F.monotonically_increasing_id())
     blocks = [len(r.shard_ids) // 8 for r in topk._packed(rows, 8, "shard").collect()]
