@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from craterline.llm import chat, language, packing, pitman_yor, sentencepiece_codec, simhash, token_count, topk, toxicity, vectors
+from craterline.llm import (chat, fingerprints, language, packing, pitman_yor, resampling, sentencepiece_codec, simhash, spelling, token_count, topk, toxicity,
+                           vectors)
 from craterline.llm.common import is_rest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +152,61 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = is_rest("doc_id", 5, 0)
     lexicon = toxicity.learn(documents, labels.where(~held_out))
     return toxicity.score(documents, lexicon).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+#: SQL for crc32: its table of 256 numbers, worked out bit by bit, and the check sum of a text's UTF-8 bytes.
+_CRC = """crc_table AS (SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)),
+    lambda c, s: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crcs)"""
+
+
+def _crc(text: str) -> str:
+    data = f"hex(encode({text}))"
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length({data}) // 2), lambda i: ('0x' || substr({data}, 2 * i + 1, 2))::BIGINT)), "
+            "lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)")
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(f"""WITH RECURSIVE {_CRC},
+runs AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-z\u00C0-\u00FF]+')) AS run FROM documents),
+counted AS (SELECT run, count(*) AS n, {_crc("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM runs, crc_table GROUP BY doc_id, run, crcs),
+words AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n
+          FROM counted GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2),
+cut AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM words, unnest(range(length(word))) AS t(i)),
+near AS (SELECT a.word AS word, b.word AS other FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+         UNION SELECT cut.word, words.word FROM cut JOIN words ON cut.rest = words.word
+         UNION SELECT words.word, cut.word FROM cut JOIN words ON cut.rest = words.word),
+ordered AS (SELECT near.word, other, words.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+                   row_number() OVER (PARTITION BY near.word ORDER BY words.n DESC, other) AS place FROM near JOIN words ON words.word = near.other),
+formed AS (SELECT w.word, w.n, coalesce(o.n_near, 0) AS n_near, CASE WHEN o.other_n >= 10 * w.n THEN o.other END AS form,
+                  CASE WHEN o.other_n >= 10 * w.n THEN o.other_n END AS form_n FROM words w LEFT JOIN ordered o ON o.word = w.word AND o.place = 1),
+chain(word, last) AS (SELECT word, word FROM words UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.last WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.last AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
+FROM formed f JOIN chain c ON c.word = f.word JOIN formed l ON l.word = c.last AND l.form IS NULL""")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.count_words(table(spark, sf_dir, "documents"), every=31))
+
+
+@query(f"""WITH {_CRC},
+features AS (SELECT 0 AS side, doc_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+             UNION ALL SELECT 1, NULL, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+hashed AS (SELECT word, {_crc("word")} % 10000 AS bucket FROM (SELECT DISTINCT word FROM features), crc_table),
+counted AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM features JOIN hashed USING (word) GROUP BY bucket),
+total AS (SELECT CAST(sum(s) AS DOUBLE) AS ss, CAST(sum(t) AS DOUBLE) AS tt FROM counted),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1) * (ss + 10000) / ((s + 1) * (tt + 10000)))) AS gain FROM counted, total),
+weighed AS (SELECT doc_id, count(*) AS n, sum(gain) AS weight FROM features JOIN hashed USING (word) JOIN gains USING (bucket) WHERE side = 0 GROUP BY doc_id),
+scored AS (SELECT d.doc_id, coalesce(w.n, 0) AS n_features, CAST(coalesce(w.weight, 0) AS BIGINT) AS weight,
+                  CAST(coalesce(w.weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+           FROM documents d LEFT JOIN weighed w ON w.doc_id = d.doc_id),
+ranks AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, s.n_features, s.weight, s.score, CASE WHEN r.place <= 10 * r.n // 100 THEN r.place END AS rank
+FROM scored s LEFT JOIN ranks r ON r.doc_id = s.doc_id""")
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query()
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
