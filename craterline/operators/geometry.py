@@ -16,6 +16,7 @@ from craterline import constants as C
 from craterline.functions import geo
 from craterline.functions.common import first_of
 from craterline.functions.stats import exact_percentiles
+from craterline.operators.pockets import fill_from_pockets
 
 
 # --- Lattice ------------------------------------------------------------------
@@ -118,9 +119,10 @@ RIM = 1e-9
 
 
 def ground_to_pixel(points: DataFrame, cells: DataFrame, meta: DataFrame, grid: str = "grid_id",
-                    lon: str = "lon", lat: str = "lat", pixel: str = "pixel", scan: str = "scan") -> DataFrame:
+                    lon: str = "lon", lat: str = "lat", pixel: str = "pixel", scan: str = "scan", pockets: DataFrame | None = None) -> DataFrame:
     """Pixel and scan of ground points, linear on two triangles per cell; null outside the swath.
 
+    With the ``pockets`` of the lattice (``hull_pockets``) only points outside its convex hull are null.
     Neighbouring cells test the edge they share with the same numbers, and only one of them owns
     it, so a point meets one cell at most: the left join keeps the rows as they are and nothing
     has to be grouped afterwards. The rim of the lattice counts as inside within ``RIM``.
@@ -163,7 +165,8 @@ def ground_to_pixel(points: DataFrame, cells: DataFrame, meta: DataFrame, grid:
     px = F.when(low, F.col("p0") + u0 * wide).otherwise(F.col("p1") - u1 * wide)
     sc = F.when(low, F.col("s0") + v0 * tall).otherwise(F.col("s1") - v1 * tall)
     found = F.col("p0").isNotNull()
-    return j.select(*points.columns, F.when(found, px).alias(pixel), F.when(found, sc).alias(scan))
+    placed = j.select(*points.columns, F.when(found, px).alias(pixel), F.when(found, sc).alias(scan))
+    return placed if pockets is None else fill_from_pockets(placed, pockets, grid, lon, lat, pixel, scan)
 
 
 def project_between(points: DataFrame, source_cells: DataFrame, source_meta: DataFrame,
@@ -307,7 +310,10 @@ class PushBroom:
 
 @dataclass(frozen=True)
 class GridPair:
-    """Everything a corridor needs: source and target cell tables with their meta, elevation, viewing."""
+    """Everything a corridor needs: source and target cell tables with their meta, elevation, viewing.
+
+    With ``target_pockets``, points beside a bent edge of the target count as clamped to it (gate 4); without, as outside (gate 3).
+    """
     source_cells: DataFrame
     source_meta: DataFrame
     target_cells: DataFrame
@@ -315,6 +321,7 @@ class GridPair:
     elevation_cells: DataFrame
     frame: DemFrame
     view: PushBroom
+    target_pockets: DataFrame | None = None
 
 
 def target_corridors(points: DataFrame, grids: GridPair, margin_m: float = 150.0, scan_margin: float = 2.0) -> DataFrame:
@@ -324,7 +331,7 @@ def target_corridors(points: DataFrame, grids: GridPair, margin_m: float = 150.0
     """
     terrain = pixel_to_terrain(points, grids.source_cells, grids.source_meta, grids.elevation_cells, grids.frame)
     df = ground_to_pixel(terrain, grids.target_cells, grids.target_meta, grid="target_grid_id",
-                         pixel="target_pixel", scan="target_scan")
+                         pixel="target_pixel", scan="target_scan", pockets=grids.target_pockets)
     df = _with_meta(df, grids.target_meta, ["pixel_min", "pixel_max", "scan_min", "scan_max"], "target_grid_id")
     known = F.col("elevation_m").isNotNull() & F.col("lon").isNotNull()
     # Without a height there is no target reference either.

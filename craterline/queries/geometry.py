@@ -14,6 +14,7 @@ from craterline import constants as C
 from craterline.functions import geo
 from craterline.functions.stage import stage
 from craterline.operators import geometry as G
+from craterline.operators.pockets import hull_pockets
 from craterline.queries.registry import Tables, query
 
 PPD = 80.0
@@ -99,6 +100,36 @@ def j08_ground_to_pixel(t: Tables):
     return G.ground_to_pixel(g, p.target, p.target_meta).select("point_id", "pixel", "scan")
 
 
+def _edge(s: str) -> str:
+    """Longitude of the first column of a lattice of full rows; it is bent inwards between the ends."""
+    return f"(20.2::double + 0.000004 * ({s}) * (top - ({s})) / 50)"
+
+
+BENT = f"""bn AS (SELECT CAST(o_orderkey % 31 * 50 AS double) AS pixel, CAST(floor(o_orderkey / 31) * 50 AS double) AS scan, top FROM orders, tp WHERE floor(o_orderkey / 31) * 50 <= top),
+  bent AS (SELECT 'BENT' AS grid_id, pixel, scan, {_edge('scan')} + pixel * 0.0006 AS lon, 0.4::double + scan * 0.0003 AS lat FROM bn)"""
+
+
+@query(f"""WITH tp AS (SELECT (count(*) // 31 - 2) * 50 AS top FROM orders), {GROUND},
+  pt AS (SELECT *, lon - 0.2::double + (l % 97) / 400.0::double AS x, 0.39::double + top * 0.0003::double * ((l % 1009) / 1000.0::double) AS y FROM (
+    SELECT gp.*, top, CAST(floor((lon - 20) * 100000) AS bigint) AS l FROM gp, tp)),
+  rw AS (SELECT *, (y - 0.4::double) / 0.0003::double AS s, least(greatest(floor((y - 0.4::double) / 0.0003::double / 50), 0), top / 50 - 1) * 50 AS s0 FROM pt),
+  ed AS (SELECT *, {_edge('s0')} + ({_edge('s0 + 50')} - {_edge('s0')}) * (s - s0) / 50 AS west FROM rw),
+  ps AS (SELECT *, (x - west) / 0.0006::double AS p, s BETWEEN 0 AND top AS row_ok FROM ed)
+  SELECT point_id, CASE WHEN row_ok AND p BETWEEN 0 AND 1500 THEN p WHEN row_ok AND p < 0 AND x >= 20.2 THEN 0 END::double AS pixel,
+    CASE WHEN row_ok AND x >= 20.2 AND p <= 1500 THEN s END::double AS scan FROM ps""", {"pixel": 3, "scan": 3})
+def j08_hull_fill(t: Tables):
+    """Points on and beside a lattice with a bent edge: those in its pocket lie on the first column, at the scan of their latitude."""
+    full = "tp AS (SELECT (count(*) DIV 31 - 2) * 50 AS top FROM {orders})"
+    nodes = t.spark.sql(f"WITH {full}, {BENT.replace('FROM orders', 'FROM {orders}').replace('::double', '')} SELECT * FROM bent", orders=t.orders)
+    cells = stage(G.grid_cells(nodes))
+    top = nodes.agg(F.max("scan").alias("top"))
+    g = t.spark.sql(f"WITH {GROUND.replace('lineitem', '{lineitem}')} SELECT * FROM gp", lineitem=t.lineitem)
+    n = F.floor((F.col("lon") - 20) * 100000)
+    g = g.select("point_id", (F.col("lon") - 0.2 + n % 97 / 400.0).alias("lon"), (0.39 + top.scalar() * 0.0003 * (n % 1009 / 1000.0)).alias("lat"),
+                 F.when(F.col("lon") > 0, F.lit("BENT")).alias("grid_id"))
+    return G.ground_to_pixel(g, cells, G.grid_meta(cells), pockets=stage(hull_pockets(cells))).select("point_id", "pixel", "scan")
+
+
 @query(f"WITH {FORWARD}, {INVERSE.format(src='fw')} SELECT point_id, lon, lat, target_pixel, target_scan FROM tg",
        {"lon": 6, "lat": 6, "target_pixel": 4, "target_scan": 4})
 def j09_project_between(t: Tables):
