@@ -19,6 +19,7 @@ from craterline.functions.common import clip
 from craterline.functions.stage import stage
 from craterline.functions.stats import exact_percentiles
 
+#: Rows of a block.
 BLOCK = 4096
 #: Matches of a pair from which minimal samples are drawn.
 POOL = 2000
@@ -33,54 +34,6 @@ def _packed(df: DataFrame, group: list[str], unique: list[str], item: Column, bl
     return b.groupBy(*group, "_block").agg(F.collect_list(item).alias("items"))
 
 
-# --- Descriptor neighbours ----------------------------------------------------
-def match_descriptors(descriptors: DataFrame, pairs: DataFrame, ratio: float = 0.80, metric: str = "l2", block: int = BLOCK) -> DataFrame:
-    """Ratio-tested nearest neighbours of each source keypoint (image_id, kp_id, vec) per named pair.
-
-    Images are cut into blocks of bounded size; a task holds one source and one target block and
-    returns only the two nearest targets of each source keypoint in it. The block results are then
-    reduced per keypoint. Exact for any image size. ``vec`` is a vector of numbers for ``l2`` or of
-    64-bit words for ``hamming``.
-    """
-    sizes = descriptors.groupBy("image_id").agg(F.count("*").alias("_k")).filter("_k >= 4").select(F.col("image_id").alias("_im"))
-    usable = (pairs.join(sizes.withColumnRenamed("_im", "_a"), F.col("source_id") == F.col("_a"), "left_semi")
-                   .join(sizes.withColumnRenamed("_im", "_b"), F.col("target_id") == F.col("_b"), "left_semi"))
-    kind = "array<long>" if metric == "hamming" else "array<double>"
-    d = descriptors.select("image_id", F.col("kp_id").cast("long").alias("kp_id"), F.col("vec").cast(kind).alias("vec"))
-    packs = _packed(d, ["image_id"], ["image_id", "kp_id"], F.struct("kp_id", "vec"), block)
-    packs = packs.select("image_id", F.transform("items", lambda i: i["kp_id"]).alias("kps"), F.flatten(F.transform("items", lambda i: i["vec"])).alias("flat"))
-    s = packs.select(F.col("image_id").alias("_s"), F.col("kps").alias("s_kps"), F.col("flat").alias("s_flat"))
-    t = packs.select(F.col("image_id").alias("_t"), F.col("kps").alias("t_kps"), F.col("flat").alias("t_flat"))
-    blocks = usable.join(s, F.col("source_id") == F.col("_s")).join(t, F.col("target_id") == F.col("_t"))
-    blocks = blocks.select("pair_id", "s_kps", "s_flat", "t_kps", "t_flat")
-    out = f"pair_id {pairs.schema['pair_id'].dataType.simpleString()}, src_kp long, tgt_kp long, distance double"
-
-    def two_nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                a = np.asarray(row.s_flat).reshape(len(row.s_kps), -1)
-                b = np.asarray(row.t_flat).reshape(len(row.t_kps), -1)
-                if metric == "hamming":
-                    dist = np.zeros((len(a), len(b)))
-                    for w in range(a.shape[1]):
-                        dist += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
-                else:
-                    sq = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-                    dist = np.sqrt(np.maximum(sq, 0.0))
-                keep = min(2, dist.shape[1])
-                order = np.lexsort((np.broadcast_to(np.asarray(row.t_kps), dist.shape), dist), axis=1)[:, :keep]
-                yield pd.DataFrame({
-                    "pair_id": [row.pair_id] * (len(a) * keep), "src_kp": np.repeat(np.asarray(row.s_kps), keep),
-                    "tgt_kp": np.asarray(row.t_kps)[order].ravel(), "distance": np.take_along_axis(dist, order, 1).ravel()})
-
-    near = blocks.mapInPandas(two_nearest, out)
-    # At most two entries per target block.
-    best = near.groupBy("pair_id", "src_kp").agg(F.array_sort(F.collect_list(F.struct("distance", "tgt_kp"))).alias("c")).filter(F.size("c") >= 2)
-    first, second = F.element_at("c", 1), F.element_at("c", 2)
-    return best.filter(first["distance"] < F.lit(ratio) * second["distance"]).select(
-        "pair_id", "src_kp", first["tgt_kp"].alias("tgt_kp"), first["distance"].alias("distance"), second["distance"].alias("second_distance"))
-
-
 def match_confidence(matches: DataFrame, pairs: DataFrame | None = None, metric: str = "l2") -> DataFrame:
     """Visual confidence of a pair from its mean match distance; zero for pairs without matches."""
     d = F.avg("distance")

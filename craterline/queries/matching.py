@@ -8,6 +8,7 @@ from craterline.functions import geo
 from craterline.functions import score as S
 from craterline.functions.common import all_of
 from craterline.operators import matching as M
+from craterline.operators import neighbours as N
 from craterline.operators import verification as V
 from craterline.queries.registry import Tables, query
 
@@ -90,6 +91,17 @@ def a18_precision_recall(t: Tables):
     return M.score_against_truth(residuals(t), ["pair_id"])
 
 
+def label_descriptors(t: Tables):
+    """Each label as an image, its vectors as descriptors."""
+    return t.embeddings.select(F.col("label").cast("string").alias("image_id"), F.col("vec_id").alias("kp_id"), F.col("embedding").alias("vec"))
+
+
+def label_pairs(t: Tables):
+    return t.embeddings.select("label").distinct().select(
+        F.concat_ws(">", F.col("label").cast("string"), (F.col("label") + 1).cast("string")).alias("pair_id"),
+        F.col("label").cast("string").alias("source_id"), (F.col("label") + 1).cast("string").alias("target_id"))
+
+
 EMB = "list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 
 
@@ -99,11 +111,34 @@ EMB = "list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]
   k AS (SELECT *, row_number() OVER w AS rn, lead(distance) OVER w AS second_distance FROM d WINDOW w AS (PARTITION BY pair_id, src_kp ORDER BY distance, tgt_kp))
   SELECT pair_id, src_kp, tgt_kp, distance, second_distance FROM k WHERE rn = 1 AND distance < 0.95 * second_distance""", {"distance": 4, "second_distance": 4})
 def j10_descriptor_neighbours(t: Tables):
-    d = t.embeddings.select(F.col("label").cast("string").alias("image_id"), F.col("vec_id").alias("kp_id"), F.col("embedding").alias("vec"))
-    pairs = t.embeddings.select("label").distinct().select(
-        F.concat_ws(">", F.col("label").cast("string"), (F.col("label") + 1).cast("string")).alias("pair_id"),
-        F.col("label").cast("string").alias("source_id"), (F.col("label") + 1).cast("string").alias("target_id"))
-    return M.match_descriptors(d, pairs, ratio=0.95, block=32)
+    return N.match_descriptors(label_descriptors(t), label_pairs(t), ratio=0.95, block=32)
+
+
+@query(f"""WITH n AS (SELECT label FROM embeddings GROUP BY label HAVING count(*) >= 4),
+  b AS (SELECT label, vec_id, list_reduce(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS HUGEINT) << i ELSE 0 END), lambda x, y: x + y) AS w
+    FROM embeddings WHERE label IN (SELECT label FROM n)),
+  d AS (SELECT a.label || '>' || b.label AS pair_id, a.vec_id AS src_kp, b.vec_id AS tgt_kp, CAST(bit_count(xor(a.w, b.w)) AS DOUBLE) AS distance FROM b a JOIN b ON b.label = a.label + 1),
+  k AS (SELECT *, row_number() OVER w AS rn, lead(distance) OVER w AS second_distance FROM d WINDOW w AS (PARTITION BY pair_id, src_kp ORDER BY distance, tgt_kp))
+  SELECT pair_id, src_kp, tgt_kp, distance, second_distance FROM k WHERE rn = 1 AND distance < 0.95 * second_distance""")
+def j10_hamming_neighbours(t: Tables):
+    """Signs of the components as one binary word."""
+    word = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda w, i: w.bitwiseOR(
+        F.when(F.get("embedding", i) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
+    d = t.embeddings.select(F.col("label").cast("string").alias("image_id"), F.col("vec_id").alias("kp_id"), F.array(word).alias("vec"))
+    return N.match_descriptors(d, label_pairs(t), ratio=0.95, metric="hamming", block=32)
+
+
+@query(f"""WITH n AS (SELECT label FROM embeddings GROUP BY label HAVING count(*) >= 4),
+  d AS (SELECT a.label || '>' || b.label AS pair_id, a.vec_id AS src_kp, b.vec_id AS tgt_kp, {EMB} AS distance FROM embeddings a JOIN embeddings b ON b.label = a.label + 1
+    WHERE a.label IN (SELECT label FROM n) AND b.label IN (SELECT label FROM n)),
+  k AS (SELECT *, row_number() OVER w AS rn, lead(distance) OVER w AS second_distance FROM d WINDOW w AS (PARTITION BY pair_id, src_kp ORDER BY distance, tgt_kp))
+  SELECT count(*) AS wanted, CAST(0 AS BIGINT) AS besides, true AS enough FROM k WHERE rn = 1 AND distance < 0.95 * second_distance""")
+def j10_hashed_recall(t: Tables):
+    """Hash tables against the exact comparison: nothing besides, and nine tenths of the matches at least."""
+    d = label_descriptors(t)
+    pairs = label_pairs(t)
+    one = N.recall(N.hashed_matches(d, pairs, ratio=0.95, bits=4), N.match_descriptors(d, pairs, ratio=0.95))
+    return one.select("wanted", "besides", (F.coalesce("recall", F.lit(1.0)) >= 0.9).alias("enough"))
 
 
 @query(rounds={"h11": 3, "h13": 3, "h23": 3})

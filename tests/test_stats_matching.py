@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from craterline.functions.stats import exact_percentiles, with_previous
 from craterline.operators import matching as M
+from craterline.operators import neighbours as N
 from craterline.operators import raster as R
 
 
@@ -60,7 +61,7 @@ def test_neighbours_across_blocks(spark, metric):
     kind = "array<long>" if metric == "hamming" else "array<double>"
     d = spark.createDataFrame([("A", i, v) for i, v in enumerate(a)] + [("B", i, v) for i, v in enumerate(b)] + [("C", i, v) for i, v in enumerate(make(3))], f"image_id string, kp_id int, vec {kind}")
     pairs = spark.createDataFrame([("AB", "A", "B"), ("AC", "A", "C")], "pair_id string, source_id string, target_id string")
-    got = {r["src_kp"]: (r["tgt_kp"], r["distance"]) for r in M.match_descriptors(d, pairs, 0.97, metric, block=16).collect() if r["pair_id"] == "AB"}
+    got = {r["src_kp"]: (r["tgt_kp"], r["distance"]) for r in N.match_descriptors(d, pairs, 0.97, metric, block=16).collect() if r["pair_id"] == "AB"}
     dist = (lambda x, y: float(sum(bin(p ^ q).count("1") for p, q in zip(x, y)))) if metric == "hamming" else (lambda x, y: float(np.linalg.norm(np.subtract(x, y))))
     want = {}
     for i, x in enumerate(a):
@@ -69,7 +70,7 @@ def test_neighbours_across_blocks(spark, metric):
             want[i] = (o[0][1], o[0][0])
     assert got.keys() == want.keys()
     assert all(got[i][0] == want[i][0] and got[i][1] == pytest.approx(want[i][1]) for i in want)
-    assert M.match_descriptors(d, pairs, 0.97, metric).filter("pair_id = 'AC'").count() == 0
+    assert N.match_descriptors(d, pairs, 0.97, metric).filter("pair_id = 'AC'").count() == 0
 
 
 def test_fit_recovers_transform_with_outliers(spark):
