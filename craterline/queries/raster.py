@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from craterline.functions.score import gradient_alignment
+from craterline.functions.stage import stage
 from craterline.operators import raster as R
+from craterline.operators import tiles as TL
 from craterline.queries.registry import Tables, query
 
 
@@ -85,6 +87,38 @@ def a23_gaussian_prefilter(t: Tables):
     return R.gaussian_blur(t.pixel, 0.8)
 
 
+def _weights(axis: str, full: str, scale: str, taps: str) -> str:
+    """SQL for the weights of input places in each output of an axis: Gaussian taps, mirrored ends, shares of the outputs."""
+    return f"""SELECT o, src, sum(part * w) AS w FROM (
+      SELECT o.o, t.w, least((x.x + 1), (o.o + 1) * {full} / n::double) - greatest(x.x, o.o * {full} / n::double) AS part,
+        CASE WHEN abs(x.x + t.k) < {full} THEN abs(x.x + t.k) ELSE 2 * ({full} - 1) - (x.x + t.k) END AS src
+      FROM (SELECT h, ww, greatest(CAST(round_even({full} / {scale}, 0) AS bigint), 1) AS n FROM f) f, LATERAL (SELECT unnest(range(0, n)) AS o) o,
+        LATERAL (SELECT unnest(range(CAST(floor(o.o * {full} / n::double) AS bigint), least({full}, CAST(ceil((o.o + 1) * {full} / n::double) AS bigint)))) AS x) x, (VALUES {taps}) t(k, w))
+      WHERE part > 0 GROUP BY o, src"""
+
+
+def _gauss(scale: float) -> str:
+    import math
+    sigma = scale / 2 - 0.2
+    reach = math.ceil(2 * sigma)
+    taps = {k: math.exp(-k * k / (2 * sigma * sigma)) for k in range(-reach, reach + 1)}
+    return ", ".join(f"({k}, {w / sum(taps.values())!r}::double)" for k, w in taps.items())
+
+
+_LEVEL = """SELECT p.product_id, CAST({k} AS integer) AS level_index, a.o AS line, b.o AS sample, sum(dn * a.w * b.w) / sum(a.w * b.w) AS dn
+    FROM v_pixel p JOIN wl{k} a ON a.src = p.line JOIN ws{k} b ON b.src = p.sample GROUP BY p.product_id, a.o, b.o"""
+
+
+@query("WITH f AS (SELECT max(line) + 1 AS h, 64 AS ww FROM v_pixel), " + ", ".join(
+    f"wl{k} AS ({_weights('line', 'h', s, _gauss(x))}), ws{k} AS ({_weights('sample', 'ww', s, _gauss(x))})" for k, x, s in ((1, 2.0, "2.0::double"), (2, 4.0, "4.0::double"), (5, 6.07 / 2.0, "(6.07::double / 2.0::double)")))
+    + " SELECT product_id, CAST(0 AS integer) AS level_index, line, sample, dn FROM v_pixel UNION ALL " + " UNION ALL ".join(_LEVEL.format(k=k) for k in (1, 2, 5)), {"dn": 4})
+def a23_smoothed_pyramid(t: Tables):
+    """Levels 0, 1, 2 and the one of the target's sampling, each smoothed before it is averaged."""
+    frame = t.pixel.agg((F.max("line") + 1).alias("lines"))
+    products = t.pixel.select("product_id").distinct().select("product_id", frame.scalar().alias("lines"), F.lit(2.0).alias("gsd_m"), F.lit(64).cast("long").alias("samples"))
+    return TL.pyramid(t.pixel.drop("band"), products, 6.07)[1].filter("level_index in (0, 1, 2, 5)").select("product_id", "level_index", "line", "sample", "dn")
+
+
 GRAD = """g AS (SELECT product_id, line, sample, CASE WHEN l IS NOT NULL AND r IS NOT NULL THEN (r - l) / 2.0 WHEN r IS NOT NULL THEN r - dn WHEN l IS NOT NULL THEN dn - l ELSE 0 END::double AS gx,
     CASE WHEN u IS NOT NULL AND d IS NOT NULL THEN (d - u) / 2.0 WHEN d IS NOT NULL THEN d - dn WHEN u IS NOT NULL THEN dn - u ELSE 0 END::double AS gy FROM (
     SELECT *, lag(dn) OVER a AS l, lead(dn) OVER a AS r, lag(dn) OVER b AS u, lead(dn) OVER b AS d FROM v_pixel
@@ -93,7 +127,7 @@ GRAD = """g AS (SELECT product_id, line, sample, CASE WHEN l IS NOT NULL AND r I
 
 @query(f"WITH {GRAD} SELECT product_id, line, sample, gx, gy, sqrt(gx * gx + gy * gy) AS slope FROM g", {"slope": 4})
 def w06_central_gradients(t: Tables):
-    return R.central_gradients(t.pixel).select("product_id", "line", "sample", "gx", "gy", "slope")
+    return TL.central_gradients(t.pixel).select("product_id", "line", "sample", "gx", "gy", "slope")
 
 
 SOBEL = """sx AS (SELECT *, lag(dn) OVER a + 2 * dn + lead(dn) OVER a AS smooth, lead(dn) OVER a - lag(dn) OVER a AS diff FROM v_pixel
@@ -104,7 +138,7 @@ SOBEL = """sx AS (SELECT *, lag(dn) OVER a + 2 * dn + lead(dn) OVER a AS smooth,
 
 @query(f"WITH {SOBEL} SELECT product_id, line, sample, gx, gy FROM sb")
 def w06_sobel(t: Tables):
-    return R.sobel(t.pixel).select("product_id", "line", "sample", "gx", "gy")
+    return TL.sobel(t.pixel).select("product_id", "line", "sample", "gx", "gy")
 
 
 MEAN = f"""{SOBEL}, md AS (SELECT product_id, avg(gx / (sqrt(gx * gx + gy * gy) + 1e-6)) AS mean_gx, avg(gy / (sqrt(gx * gx + gy * gy) + 1e-6)) AS mean_gy FROM sb GROUP BY product_id)"""
@@ -114,7 +148,7 @@ MEAN = f"""{SOBEL}, md AS (SELECT product_id, avg(gx / (sqrt(gx * gx + gy * gy)
    / (sqrt(a.mean_gx * a.mean_gx + a.mean_gy * a.mean_gy) * sqrt(b.mean_gx * b.mean_gx + b.mean_gy * b.mean_gy) + 1e-6) + 1) / 2, 0), 1) AS alignment
    FROM md a JOIN md b ON CAST(right(b.product_id, 1) AS bigint) = CAST(right(a.product_id, 1) AS bigint) + 1""", {"alignment": 4})
 def a24_gradient_alignment(t: Tables):
-    m = R.mean_direction(t.pixel).persist()
+    m = stage(TL.mean_direction(t.pixel))
     number = F.right("product_id", F.lit(1)).cast("long")
     a = m.select(F.col("product_id").alias("src"), (number + 1).alias("n"), F.col("mean_gx").alias("sx"), F.col("mean_gy").alias("sy"))
     b = m.select(F.col("product_id").alias("tgt"), number.alias("n"), F.col("mean_gx").alias("tx"), F.col("mean_gy").alias("ty"))
@@ -130,7 +164,7 @@ def w06_mean_slope_at_points(t: Tables):
     pts = t.point.select(F.col("point_id").alias("key"), F.split("point_id", "-").alias("k"))
     pts = pts.select("key", F.concat(F.lit("IMG-"), (F.col("k")[0].cast("long") % 5).cast("string")).alias("product_id"),
                      (F.col("k")[1].cast("long") % 64).cast("double").alias("x"), (F.col("k")[0].cast("long") % 45).cast("double").alias("y"))
-    return R.mean_slope_at(pts, R.central_gradients(t.pixel), _lines(t), 64).select("key", "slope_mean")
+    return R.mean_slope_at(pts, TL.central_gradients(t.pixel), _lines(t), 64).select("key", "slope_mean")
 
 
 @query("""SELECT pair_id, count(*) AS overlap_pixels, count(*) FILTER (WHERE a > 5 AND b > 5) AS valid_pixels,
