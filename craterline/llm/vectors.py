@@ -1,15 +1,19 @@
 """Near-duplicate embeddings: spherical k-means cells, blocked cosine products inside them.
 
 Centres are fitted on a bounded sample. Every vector lives in the cell of its closest centre and is
-also a guest in cells whose centre is nearly as close, so that partners on both sides of a border
-meet: for partners a, b at home with centres p, q the two gaps a(p - q) and b(q - p) are not negative
+also a guest in cells whose centre is nearly as close, so that
+partners on both sides of a border meet: for partners a, b at home with centres p, q the two gaps a(p - q) and b(q - p) are not negative
 and add up to (a - b)(p - q), at most sqrt(2 - 2 least) |p - q|, so one of the gaps is at most half of
 that, and such a vector is a guest. No link is lost. A pair of one cell is compared there; a pair of two cells in the lower of
-them if the other's vector is a guest there, else in the higher one. A cell is cut into blocks of at
-most ``block`` vectors that meet two by two, so a crowded cell costs more tasks, not a larger one.
+them if the other's vector is a guest there, else in the higher one. Vectors that live in a cell are cut into blocks of at
+most ``block``, its guests into larger ones; blocks at home meet each other and those of the guests, and guests of a
+third cell never meet, so a crowded cell costs more tasks, not a larger one.
 Vectors with equal components are one node with a count, however many rows have them.
 
-Products are taken in double precision. A block pair reports how many links each vector has and a
+In many dimensions the bound admits guests to most cells. With a ``margin`` a vector visits only cells whose centre is at most so
+much further in cosine than its own: far fewer products, and a pair close to ``least`` across a border may be missed.
+
+Products are taken in single precision first, and those within its error of ``least`` or above it in double precision. A block pair reports how many links each vector has and a
 spanning forest of the links, never all pairs.
 
 A vector that is null, empty, zero or holds a null or a non-finite component links with nothing and
@@ -32,6 +36,10 @@ MOST_CELLS = 1024
 #: Vectors a cell should hold, while there are fewer than MOST_CELLS cells.
 FILLED = 2_000
 BLOCK = 2_048
+#: A block of guests is so many times as large.
+GUESTS = 4
+#: No product of unit vectors is off by more in single precision.
+SINGLE = 1e-4
 #: Guests are admitted with so much more, for rounding.
 ROUNDING = 1e-9
 
@@ -66,8 +74,8 @@ def _unit(column: pa.Array, width: int) -> np.ndarray:
 
 
 def near_duplicates(embeddings: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding",
-                    margin: float = 0.0, block: int = BLOCK) -> DataFrame:
-    """Id, ``n_links``, ``component_id`` and ``kept`` of every row; a ``margin`` admits more guests than are needed."""
+                    margin: float | None = None, block: int = BLOCK, filled: int | None = None) -> DataFrame:
+    """Id, ``n_links``, ``component_id`` and ``kept`` of every row; a ``margin`` replaces the bound that loses no link."""
     rows = stage(embeddings.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("ok", usable("v")))
     # One node for equal vectors, named by a hash that only labels it.
     keyed = rows.where("ok").select("id", "v", F.xxhash64("v").alias("hash"))
@@ -75,7 +83,7 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.95, id_col: str = "v
                   .withColumn("node", F.monotonically_increasing_id()))
     found = None
     for width, n in nodes.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).orderBy("width").collect():
-        own = _found(nodes.where(F.size("v") == width), width, n, least, margin, block)
+        own = _found(nodes.where(F.size("v") == width), width, n, least, margin, block, filled or FILLED)
         found = own if found is None else found.union(own)
     if found is None:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
@@ -91,24 +99,27 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.95, id_col: str = "v
                     F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")))
 
 
-def _found(nodes: DataFrame, width: int, n: int, least: float, margin: float, block: int) -> DataFrame:
+def _found(nodes: DataFrame, width: int, n: int, least: float, margin: float | None, block: int, filled: int) -> DataFrame:
     """Counts of links and links of a spanning forest of the nodes, whose vectors all have this length."""
     share = min(1.0, SAMPLE / n)
     sample = np.array([r.v for r in nodes.where(F.pmod("hash", F.lit(1_000_000)) < share * 1_000_000).select("v").limit(2 * SAMPLE).collect()] or [nodes.first().v])
     sample = sample / np.abs(sample).max(axis=1, keepdims=True)
     sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    centres = spherical_k_means(sample, max(1, min(MOST_CELLS, round(n / FILLED))))
+    centres = spherical_k_means(sample, max(1, min(MOST_CELLS, round(n / filled))))
 
     placed = stage(_placed(nodes.select("node", "copies", "v"), centres, width, least, margin))
-    crowd = placed.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    at_home = F.col("home") == F.col("cell")
+    crowd = placed.groupBy("cell").agg(F.ceil(F.count_if(at_home) / block).cast("int").alias("blocks"),
+                                       F.ceil(F.count_if(~at_home) / (GUESTS * block)).cast("int").alias("guests")).where("blocks > 0")
+    own = F.when(at_home, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(F.col("blocks") + F.pmod(F.xxhash64("node"), F.col("guests"))).cast("int")
     met = (placed.join(F.broadcast(crowd), "cell")  # at most MOST_CELLS rows
-           .withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+           .withColumn("own", own)
+           .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(at_home, F.col("blocks") + F.col("guests")).otherwise(F.col("blocks")) - 1)))
            .select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "copies", "home", "guest", "v"))
     return stage(met.groupBy("cell", "i", "j").applyInArrow(_products(least, width), "node long, links long, other long"))
 
 
-def _placed(nodes: DataFrame, centres: np.ndarray, width: int, least: float, margin: float) -> DataFrame:
+def _placed(nodes: DataFrame, centres: np.ndarray, width: int, least: float, margin: float | None) -> DataFrame:
     """A row for each node and cell that it lives in or visits, with the list of the cells that it visits."""
     squares = (centres ** 2).sum(axis=1)
     apart = np.sqrt(np.maximum(0, squares[:, None] + squares - 2 * centres @ centres.T) + ROUNDING)
@@ -122,7 +133,7 @@ def _placed(nodes: DataFrame, centres: np.ndarray, width: int, least: float, mar
             for at in range(0, len(x), 4096):
                 near = x[at:at + 4096] @ centres.T
                 home = near.argmax(axis=1)
-                at_cell = near >= near.max(axis=1, keepdims=True) - reach * apart[home] - margin - ROUNDING
+                at_cell = near >= near.max(axis=1, keepdims=True) - (reach * apart[home] if margin is None else margin) - ROUNDING
                 rows, cells = np.nonzero(at_cell)
                 visits = [np.flatnonzero(r).astype(np.int32) for r in at_cell]
                 own = batch.slice(at, len(near)).take(pa.array(rows))
@@ -139,21 +150,24 @@ def _products(least: float, width: int):
         cell, i, j = (k.as_py() for k in key)
         own, home, node, copies = (table[c].to_numpy() for c in ("own", "home", "node", "copies"))
         x = _unit(table["v"].combine_chunks(), width)
-        visits = [set(g) for g in table["guest"].to_pylist()]
+        single = x.astype(np.float32)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         links, forest = np.zeros(len(node), dtype=np.int64), Forest()
         for at in range(0, len(left), 256):
             part = left[at:at + 256]
-            a, b = np.nonzero(x[part] @ x[right].T >= least)
+            a, b = np.nonzero(single[part] @ single[right].T >= least - SINGLE)
             a, b = part[a], right[b]
             if i == j:
                 a, b = a[a < b], b[a < b]
-            # A pair of two cells counts once: in the lower cell if the other is a guest there.
-            here = (home[a] == cell) | (home[b] == cell)
+            sure = np.concatenate([(x[a[k:k + 65_536]] * x[b[k:k + 65_536]]).sum(axis=1) >= least for k in range(0, len(a), 65_536)] or [np.zeros(0, bool)])
+            a, b = a[sure], b[sure]
+            # A pair of two cells counts once: in the lower cell if the other is a guest there. One of the two is at home here.
+            here = np.ones(len(a), dtype=bool)
             low, high = np.minimum(home[a], home[b]), np.maximum(home[a], home[b])
             visitor = np.where(home[a] < home[b], b, a)
-            maybe = np.flatnonzero(here & (low != high) & (high == cell))
-            here[maybe] = [low[m] not in visits[visitor[m]] for m in maybe]
+            maybe = np.flatnonzero((low != high) & (high == cell))
+            visits = table["guest"].take(pa.array(visitor[maybe])).to_pylist()
+            here[maybe] = [n not in cells for n, cells in zip(low[maybe].tolist(), visits, strict=True)]
             a, b = a[here], b[here]
             np.add.at(links, a, copies[b])
             np.add.at(links, b, copies[a])
