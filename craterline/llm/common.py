@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import weakref
 from collections.abc import Callable, Iterable, Iterator
@@ -57,6 +59,28 @@ def slices(column, rows: int = 512) -> Iterator[list]:
     pa.default_memory_pool().release_unused()  # what earlier batches have left
 
 
+#: Large objects of each owner in this worker.
+_resources: dict[str, dict] = {}
+
+
+def resource(owner: str, key, build: Callable):
+    """The owner's object under a key, built once in a worker and kept until another owner is served there."""
+    Memo.serve(owner)
+    own = _resources.setdefault(owner, {})
+    if key not in own:
+        own[key] = build()
+    return own[key]
+
+
+def give_back() -> None:
+    """Return freed memory to the system; a worker that idles would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Memo:
     """Results of a function of words, worked out for many new words at a time.
 
@@ -75,13 +99,18 @@ class Memo:
 
     @classmethod
     def serve(cls, owner: str) -> None:
-        """Empty the memos of other owners."""
+        """Empty the memos of other owners, and let go of all that is theirs."""
         if cls._owner != owner:
             for memo in cls._all:
                 if memo.owner != owner:
                     memo.known.clear()
                     memo.held = 0
+            others = [o for o in _resources if o != owner]
+            for other in others:
+                del _resources[other]
             cls._owner = owner
+            if others:
+                give_back()
 
     def look_up(self, words: list) -> Iterator:
         Memo.serve(self.owner)

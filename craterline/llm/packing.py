@@ -15,11 +15,12 @@ from __future__ import annotations
 
 import re
 import zlib
-from itertools import chain, islice
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -27,20 +28,46 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from craterline.functions.stage import stage
-from craterline.llm.common import Memo, slices, text_runs
+from craterline.llm.common import resource
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CAPACITY = 2048
-#: Words of which the tokenizer's own normalisation is no more than lower-casing.
-PLAIN = re.compile("[!-~¡-ɏ]+")
+#: Letters of words of which the tokenizer's own normalisation is no more than lower-casing; all others, and marks of special tokens, are odd.
+ODD = re.compile("[^ !-~¡-ɏ]+|<\\|")
 #: How the tokenizer file cuts words (fixed value: it must equal the file's pattern).
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Marks that are a part of their own behind a word of letters.
+STOPS = frozenset('.,;:!?")')
+#: Bytes of short texts that are tokenised together.
+RUN = 1 << 21
 #: Ids that a task holds before it hands them on.
-HELD = 1 << 20
+HELD = 1 << 18
 #: Ranks of a length stay below this.
 RANKS = 1 << 44
 
-_encoders: dict[str, "WordEncoder"] = {}
+
+class Known:
+    """Results for words, worked out for many new ones at a time; emptied when it holds too many words or bytes of words and results."""
+
+    def __init__(self, fill, words: int, size: int):
+        self.fill, self.words, self.size = fill, words, size
+        self.known, self.held = {}, 0
+
+    def look_up(self, words: list) -> list[bytes]:
+        """Results of words, each of which should occur once."""
+        found = list(map(self.known.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing:
+            new = [words[i] for i in missing]
+            results = self.fill(new)
+            for i, ids in zip(missing, results, strict=True):
+                found[i] = ids
+            if len(self.known) > self.words or self.held > self.size:
+                self.known.clear()
+                self.held = 0
+            self.known.update(zip(new, results, strict=True))
+            self.held += sum(map(len, new)) + sum(map(len, results))
+        return found
 
 
 class WordEncoder:
@@ -60,11 +87,11 @@ class WordEncoder:
         vocabulary = self.full.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known_parts = Memo("packing", self.encode_parts, words=100_000)
-        self.words = Memo("packing", self.encode_words, words=400_000)
+        self.known_parts = Known(self.encode_parts, words=200_000, size=5_000_000)
+        self.words = Known(self.encode_words, words=300_000, size=8_000_000)
 
     def encode_parts(self, parts: list[str]) -> list[bytes]:
-        ids = np.asarray(self.parts.encode(" ".join(parts), add_special_tokens=False).ids, dtype="<u4")
+        ids = np.array(self.parts.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
         stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
         if len(stops) != len(parts):
             raise ValueError("the tokenizer does not mark the end of each word")
@@ -75,40 +102,76 @@ class WordEncoder:
         return found
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
-        found: list[bytes] = [b""] * len(words)
-        plain, cut, odd = [], [], []
-        for i, word in enumerate(words):
-            text = word.decode("utf-8", "replace")
-            if "<|" in text or not PLAIN.fullmatch(text):
-                odd.append((i, text))
+        text = b" ".join(words).decode("utf-8", "replace")
+        odd = {text[text.rfind(" ", 0, m.start()) + 1:stop if (stop := text.find(" ", m.end())) >= 0 else len(text)] for m in ODD.finditer(text)}
+        parts, sizes, aside = [], [], []
+        own = text.split(" ") if odd else None
+        for i, word in enumerate(text.lower().split(" ") if not odd else map(str.lower, own)):
+            if odd and own[i] in odd:
+                aside.append(i)
+                sizes.append(0)
+            elif word.isalpha():
+                parts.append(word)
+                sizes.append(1)
+            elif word[-1:] in STOPS and word[:-1].isalpha():
+                parts.append(word[:-1])
+                parts.append(word[-1])
+                sizes.append(2)
             else:
-                plain.append(i)
-                text = text.lower()
-                cut.append([text] if text.isalpha() else WORD.findall(text))
-        ids = self.known_parts.look_up([part for parts in cut for part in parts])
-        for i, parts in zip(plain, cut, strict=True):
-            found[i] = next(ids) if len(parts) == 1 else b"".join(islice(ids, len(parts)))
-        if odd:
-            encoded = self.full.encode_batch([text for _, text in odd], add_special_tokens=False)
-            for (i, _), one in zip(odd, encoded, strict=True):
+                cut = WORD.findall(word)
+                parts += cut
+                sizes.append(len(cut))
+        once = list(dict.fromkeys(parts))
+        ids = dict(zip(once, self.known_parts.look_up(once), strict=True)) if once else {}
+        at, found = 0, []
+        for n in sizes:
+            found.append(ids[parts[at]] if n == 1 else b"".join([ids[p] for p in parts[at:at + n]]))
+            at += n
+        if aside:
+            encoded = self.full.encode_batch([own[i] for i in aside], add_special_tokens=False)
+            for i, one in zip(aside, encoded, strict=True):
                 found[i] = np.asarray(one.ids, dtype="<u4").tobytes()
         return found
 
-    def texts(self, texts) -> list[bytes]:
-        """Ids of whole texts, each with the end mark, id 0, behind it."""
-        joined = [[] for _ in texts]
-        for run in text_runs(texts):
-            ids = self.words.look_up([w for _, words in run for w in words])
-            for row, words in run:
-                joined[row].append(b"".join(islice(ids, len(words))))
-        return [b"".join(parts) + b"\0\0\0\0" for parts in joined]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts, each with the end mark, id 0, behind it, in one array, and where those of each text end.
+
+        Every word is worked out once, whatever the number of its places; a null text is empty.
+        """
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_binary()).view(pa.large_string()).fill_null(""))
+        words = split.flatten().dictionary_encode()
+        results = self.words.look_up(words.dictionary.view(pa.large_binary()).to_pylist()) + [b"\0\0\0\0"]
+        ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+        # The end mark is one more word, behind the last of each text.
+        at = np.insert(words.indices.to_numpy(), ends, len(results) - 1)
+        sizes = np.fromiter(map(len, results), np.int64, len(results)) // 4
+        n = sizes[at]
+        stops = np.cumsum(n)
+        first = np.cumsum(sizes) - sizes
+        ids = np.frombuffer(b"".join(results), "<u4")[np.arange(stops[-1] if len(stops) else 0) + np.repeat(first[at] - stops + n, n)]
+        return ids, stops[ends + np.arange(len(ends))]
+
+    def runs(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The texts of a column in runs of about ``RUN`` bytes: first row, ids and ends."""
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(column):
+            stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + RUN, side="right")))
+            yield at, *self.encode(column.slice(at, stop - at))
+            at = stop
+        pa.default_memory_pool().release_unused()
+
+    def texts(self, texts: list[bytes | None]) -> list[bytes]:
+        """Ids of whole texts as bytes, each with the end mark behind it."""
+        found = []
+        for _, ids, ends in self.runs(pa.array(texts, pa.binary())):
+            found += [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        return found
 
 
 def encoder(path: str) -> WordEncoder:
     """One encoder for each worker."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return resource("packing", path, lambda: WordEncoder(path))
 
 
 def token_pieces(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, id_col: str = "doc_id",
@@ -130,32 +193,34 @@ def token_pieces(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str
             names = [id_col, "piece", "start", "length", "ids_crc32", "part", "nth"]
             if with_ids:
                 ends = np.r_[0, np.cumsum(length)].astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))))
+                columns.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids).view("<i4") if ids else np.zeros(0, np.int32))))
                 names.append("ids")
             for column in held:
                 column.clear()
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
-            data = chain.from_iterable(encoder(tokenizer).texts(texts) for texts in slices(batch.column(1)))
             weight = 0
-            for row, one in enumerate(data):
-                for k, at in enumerate(range(0, len(one) // 4, capacity)):
-                    own = one[4 * at:4 * (at + capacity)]
-                    n = len(own) // 4
-                    rows.append(row)
-                    piece.append(k)
-                    start.append(at)
-                    length.append(n)
-                    crc.append(zlib.crc32(own))
-                    nth.append(int(seen[n]))
-                    seen[n] += 1
-                    if with_ids:
-                        ids.append(own)
-                        weight += n
-                    if weight >= HELD:
-                        yield out(batch)
-                        weight = 0
+            for first, own, ends in encoder(tokenizer).runs(batch.column(1)):
+                begin = 0
+                for row, end in enumerate(ends.tolist(), first):
+                    for k, at in enumerate(range(begin, end, capacity)):
+                        piece_ids = own[at:min(at + capacity, end)]
+                        n = len(piece_ids)
+                        rows.append(row)
+                        piece.append(k)
+                        start.append(at - begin)
+                        length.append(n)
+                        crc.append(zlib.crc32(piece_ids))
+                        nth.append(int(seen[n]))
+                        seen[n] += 1
+                        if with_ids:
+                            ids.append(piece_ids)
+                            weight += n
+                        if weight >= HELD:
+                            yield out(batch)
+                            weight = 0
+                    begin = end
             yield out(batch)
 
     return documents.select(F.col(id_col), F.col(text_col).cast("binary").alias("text")).mapInArrow(cut, schema)
