@@ -43,13 +43,17 @@ def adapter_of(name: Column, override: Column | None = None) -> Column:
 # --- Label text ---------------------------------------------------------------
 def _clean(content: Column) -> Column:
     """Label text without declarations, comments and namespace prefixes; empty tags written out."""
-    x = F.regexp_replace(content, r"(?s)<\?.*?\?>|<!--.*?-->", "")
-    x = F.regexp_replace(x, r"(?s)<!\[CDATA\[([^<]*?)\]\]>", "$1")
-    x = F.regexp_replace(x, r"<(/?)[A-Za-z_][\w.\-]*:", "<$1")
-    return F.regexp_replace(x, r"<([A-Za-z_][\w.\-]*)([^<>]*)/>", "<$1></$1>")
+    def where(x: Column, marks: tuple[str, ...], pattern: str, by: str) -> Column:
+        return F.when(any_of([x.contains(m) for m in marks]), F.regexp_replace(x, pattern, by)).otherwise(x)
 
+    x = where(content, ("<?", "<!--"), r"(?s)<\?.*?\?>|<!--.*?-->", "")
+    x = where(x, ("<![CDATA[",), r"(?s)<!\[CDATA\[([^<]*?)\]\]>", "$1")
+    x = F.regexp_replace(x, r"<(/?)[A-Za-z_][\w.\-]*+:", "<$1")
+    return where(x, ("/>",), r"<([A-Za-z_][\w.\-]*+)((?:[^<>/]|/(?!>))*+)/>", "<$1></$1>")
 
-LEAF = r"<([A-Za-z_][\w.\-]*)(?:\s[^<>]*)?>([^<]*)</\1>"
+
+#: Names and texts never give back what they have matched, so a tag is looked at once.
+LEAF = r"<([A-Za-z_][\w.\-]*+)(?:\s[^<>]*+)?>([^<]*+)</\1>"
 
 
 def _once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -77,13 +81,23 @@ def _blank(c: Column) -> Column:
     return F.when(F.length(text) > 0, text)
 
 
+#: Every tag that a field is read from; their texts stand in this order in ``_found``.
+TAGS = sorted({t for tags in C.LABEL_TAGS.values() for t in tags} | {"instrument_name", "instrument_id", "resolution", "pixel_resolution"}
+              | {f"{c}_{axis}" for c in C.LABEL_CORNERS for axis in ("latitude", "longitude")})
+
+
+def _texts(names: Column, values: Column) -> Column:
+    """The text of the first leaf of each tag of TAGS: null without one, '' for an empty one."""
+    def first(tag: Column) -> Column:
+        at = F.array_position(names, tag)
+        return F.when(at > 0, F.coalesce(_blank(F.get(values, (at - 1).cast("int"))), F.lit("")))
+
+    return F.transform(F.array(*[F.lit(t) for t in TAGS]), first)
+
+
 def _first(tags: list[str]) -> Column:
     """Text of the first leaf of the first tag that occurs; an empty one gives null without looking further."""
-    out = F.lit(None).cast("string")
-    for tag in reversed(tags):
-        at = F.array_position("_names", tag)
-        out = F.when(at > 0, _blank(F.get("_values", (at - 1).cast("int")))).otherwise(out)
-    return out
+    return F.nullif(F.coalesce(*[F.get("_found", F.lit(TAGS.index(t))) for t in tags if t in TAGS], F.lit("")), F.lit(""))
 
 
 def _number(tags: list[str]) -> Column:
@@ -108,16 +122,17 @@ def parse_labels(files: DataFrame, corners: str = "system", override: Column | N
     df = df.withColumn("adapter", adapter_of(F.col("file_name"), override))
     df = _once(df, _xml=_clean(F.col("content").cast("string")))
     names, values = _leaves(F.col("_xml"))
-    df = _once(df, _names=names, _values=values, _parts=_blocks(F.col("_xml"), "Observing_System_Component"))
+    df = _once(df, _names=names, _values=values)
+    part = lambda b: F.struct(F.upper(_inside(b, "type")).alias("kind"), _inside(b, "name").alias("name"))
+    df = _once(df, _found=_texts(F.col("_names"), F.col("_values")), _parts=F.transform(_blocks(F.col("_xml"), "Observing_System_Component"), part)).drop("_names", "_values")
     num = {k: _number(C.LABEL_TAGS[k]) for k in (
         "sun_azimuth_deg", "sun_elevation_deg", "incidence_angle_deg", "emission_angle_deg", "phase_angle_deg", "spacecraft_altitude_km",
         "bound_lat_min", "bound_lat_max", "bound_lon_min", "bound_lon_max")}
     a = F.col("adapter")
     issdc, lroc = a == "ISSDC", a == "LROC"
     comp = F.col("_parts")
-    kinds = lambda word: F.filter(comp, lambda b: F.upper(_inside(b, "type")).contains(word) & _inside(b, "name").isNotNull())
-    declared = _inside(F.try_element_at(kinds("INSTRUMENT"), F.lit(-1)), "name")
-    mission = _inside(F.try_element_at(F.filter(comp, lambda b: F.upper(_inside(b, "type")).rlike("MISSION|INVESTIGATION") & _inside(b, "name").isNotNull()), F.lit(-1)), "name")
+    named = lambda pattern: F.try_element_at(F.filter(comp, lambda p: p["kind"].rlike(pattern) & p["name"].isNotNull()), F.lit(-1))["name"]
+    declared, mission = named("INSTRUMENT"), named("MISSION|INVESTIGATION")
     name_up = F.upper("file_name")
     instrument = first_of([
         (issdc, F.coalesce(T.instrument_class(declared), T.instrument_class(_first(["instrument_name", "instrument_id"])), T.instrument_from_name(F.col("file_name")))),
@@ -135,12 +150,13 @@ def parse_labels(files: DataFrame, corners: str = "system", override: Column | N
     axes = F.col("_axes")
 
     def axis(word: str) -> Column:
-        hit = F.filter(axes, lambda b: F.lower(_inside(b, "axis_name")).contains(word))
-        return _inside(F.try_element_at(hit, F.lit(-1)), "elements").try_cast("int")
+        hit = F.filter(axes, lambda x: x["name"].contains(word))
+        return F.try_element_at(hit, F.lit(-1))["elements"].try_cast("int")
 
     bins = _blocks(F.col("_xml"), "Band_Bin")
     df = _once(df, _lats=lats, _lons=lons, _array=array_block, _bins=bins, _instrument=instrument)
-    df = _once(df, _axes=_blocks(F.col("_array"), "Axis_Array"))
+    side = lambda b: F.struct(F.lower(_inside(b, "axis_name")).alias("name"), _inside(b, "elements").alias("elements"))
+    df = _once(df, _axes=F.transform(_blocks(F.col("_array"), "Axis_Array"), side))
     gsd = first_of([(issdc, _number(C.LABEL_TAGS["gsd_m"])), (lroc, _number(["pixel_resolution", "resolution"])), (a == "SELENE", _number(["resolution", "pixel_resolution"]))])
     known = lambda c: F.when(c, "KNOWN").otherwise("UNKNOWN")
     solar = {k: first_of([(issdc, num[k]), (lroc, _number([{"sun_azimuth_deg": "sun_azimuth_angle", "sun_elevation_deg": "sun_elevation_angle", "incidence_angle_deg": "incidence_angle"}.get(k, "-")]))])
