@@ -16,12 +16,13 @@ from craterline.functions.stats import first_row, latest, with_previous
 def associate(observations: DataFrame, entities: DataFrame, tolerance_m: float = 200.0) -> DataFrame:
     """One association per (observation, named entity).
 
-    Within the tolerance SUPPORTED, beyond it REJECTED with the distances as reason. Optional
+    Within the tolerance SUPPORTED, beyond it REJECTED with the distances as reason. An observation that
+    names no known entity stays as UNRESOLVED, with that as its reason. Optional
     observation columns: confidence, uncertainty, forced_reason (a non-null reason rejects).
     """
     sites = entities.select(F.col("entity_id").alias("_eid"), F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
-    joined = observations.join(sites, observations["entity_id"] == sites["_eid"])
-    return _grade(joined.withColumn("distance_m", haversine_m(F.col("_lat"), F.col("_lon"), F.col("obs_lat"), F.col("obs_lon"))), tolerance_m)
+    joined = observations.join(sites, observations["entity_id"] == sites["_eid"], "left")
+    return _grade(joined.withColumn("_known", F.col("_eid").isNotNull()).withColumn("distance_m", haversine_m(F.col("_lat"), F.col("_lon"), F.col("obs_lat"), F.col("obs_lon"))), tolerance_m)
 
 
 def _grade(df: DataFrame, tolerance_m: float) -> DataFrame:
@@ -34,13 +35,13 @@ def _grade(df: DataFrame, tolerance_m: float) -> DataFrame:
         return F.col(name).cast("double") if name in have else F.lit(None).cast("double")
 
     keep = [c for c in ("observation_id", "entity_id", "sensor", "acquisition_time") if c in have]
+    unknown = ~F.col("_known") if "_known" in have else F.lit(False)
+    graded = lambda lost, refused, other: F.when(unknown, lost).when(rejected, refused).otherwise(other)
     return df.select(
-        *keep, "distance_m",
-        F.when(rejected, "REJECTED").otherwise("SUPPORTED").alias("status"),
-        F.when(rejected, "REJECTED").otherwise("GEOMETRIC").alias("association_type"),
-        F.when(rejected, 0.0).otherwise(given("confidence")).alias("confidence"),
-        F.when(rejected, 1.0).otherwise(given("uncertainty")).alias("uncertainty"),
-        F.when(rejected, F.coalesce(forced, too_far)).alias("rejection_reason"))
+        *keep, "distance_m", graded("UNRESOLVED", "REJECTED", F.lit("SUPPORTED")).alias("status"),
+        graded("UNRESOLVED", "REJECTED", F.lit("GEOMETRIC")).alias("association_type"),
+        graded(F.lit(0.0), F.lit(0.0), given("confidence")).alias("confidence"), graded(F.lit(1.0), F.lit(1.0), given("uncertainty")).alias("uncertainty"),
+        graded(F.concat(F.lit("ENTITY_NOT_FOUND: "), F.coalesce("entity_id", F.lit("none"))), F.coalesce(forced, too_far), F.lit(None).cast("string")).alias("rejection_reason"))
 
 
 def latest_associations(associations: DataFrame, version: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from craterline import constants as C
+from craterline.functions.stage import shared_folder
 from craterline.operators import graph as R
 from craterline.operators import resolve as E
 from craterline.plans import explain as X
@@ -136,6 +139,17 @@ def s16_upsert(t: Tables):
     return sinks.upsert(r.filter("version % 2 = 0"), r.filter("version % 2 = 1"), ["entity_id", "observation_id"], "version")
 
 
+@query("""SELECT entity_id, observation_id, version, status FROM v_report QUALIFY row_number() OVER (PARTITION BY entity_id, observation_id ORDER BY version DESC) = 1""")
+def s16_upsert_in_buckets(t: Tables):
+    """The same updates to a stored table, in three batches, each of which rewrites the buckets it touches."""
+    r = t.report.select("entity_id", "observation_id", "version", "status")
+    stored = sinks.BucketTable(t.spark, f"{shared_folder(t.spark)}/reports-{uuid.uuid4().hex}", "entity_id string, observation_id bigint, version bigint, status string",
+                               ["entity_id", "observation_id"], "version", buckets=8)
+    for k in range(3):
+        stored.update(r.filter(F.col("version") % 3 == k))
+    return stored.rows()
+
+
 @query("SELECT entity_id, entity_type, latitude, longitude FROM v_entity WHERE entity_id = (SELECT max(entity_id) FROM v_entity)")
 def p05_point_lookup(t: Tables):
     from craterline.operators.joins import lookup

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from craterline.functions.stage import stage
 from craterline.functions.stats import latest
 
 
@@ -18,6 +20,42 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str], version: str) -
     return latest(existing.unionByName(new, allowMissingColumns=True), keys, [version])
 
 
+class BucketTable:
+    """A stored table whose updates rewrite only the buckets of the keys they touch.
+
+    The schema is fixed. An update reads the touched buckets alone, keeps the row with the highest version of each
+    key and replaces those partitions; a bucket with no new row keeps its files. Done again after a failure
+    it gives the same rows.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], version: str, buckets: int = 64):
+        self.spark, self.path, self.keys, self.version, self.buckets = spark, path.rstrip("/"), keys, version, buckets
+        self.columns = StructType.fromDDL(schema)
+
+    def _exists(self) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def _stored(self) -> DataFrame:
+        if not self._exists():
+            return self.spark.createDataFrame([], self.columns).withColumn("bucket", F.lit(0))
+        return self.spark.read.schema(StructType([*self.columns.fields, StructField("bucket", IntegerType())])).parquet(self.path)
+
+    def rows(self) -> DataFrame:
+        return self._stored().drop("bucket")
+
+    def update(self, new: DataFrame) -> None:
+        """Merge rows into the buckets they belong to."""
+        mine = stage(new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in new.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.columns])
+                     .withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")))
+        touched = [r.bucket for r in mine.select("bucket").distinct().collect()]  # at most `buckets` numbers
+        if not touched:
+            return
+        old = self._stored().filter(F.col("bucket").isin(touched))
+        merged = stage(latest(old.select(*mine.columns).unionByName(mine), [*self.keys, "bucket"], [self.version]))
+        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+
+
 def evolve(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Add missing columns as null."""
     return df.withColumns({n: F.lit(None).cast(t) for n, t in columns.items() if n not in df.columns}) if columns else df

@@ -104,3 +104,41 @@ def test_stream_store_is_idempotent(spark, tmp_path):
         st.apply(batch((2, "IIRS", 0.0), (1, "OHRC", 0.001)), 1)
     assert st.states().first()["state"] == "CONFIRMED" and st.associations().count() == 2
     assert {r["gap_type"] for r in st.gaps().collect()} == {"MISSING_TERRAIN_VALIDATION"}
+
+
+def test_update_rewrites_touched_buckets_only(spark, tmp_path):
+    stored = sinks.BucketTable(spark, str(tmp_path / "t"), "k int, v string, version int", ["k"], "version", buckets=16)
+    assert stored.rows().count() == 0
+    rows = lambda *x: spark.createDataFrame(list(x), "k int, v string, version int")
+    stored.update(rows(*[(i, "old", 0) for i in range(200)], (3, "older", -1)))
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    before = files()
+    for _ in range(2):  # again after a failure
+        stored.update(rows((7, "new", 2), (500, "more", 1), (8, "late", -5)))
+    after = files()
+    kept = {p.parent.name for p in before if p in after and before[p] == after[p]}
+    assert len(kept) >= 13
+    got = {r.k: r.v for r in stored.rows().collect()}
+    assert len(got) == 201 and got[7] == "new" and got[500] == "more" and got[8] == "old" and got[3] == "old"
+    stored.update(rows().withColumn("extra", F.lit(1)))
+    assert stored.rows().columns == ["k", "v", "version"] and stored.rows().count() == 201
+
+
+def test_folded_stream_log_equals_the_batch_answer(spark, tmp_path):
+    from craterline.operators import gaps as G
+    from craterline.operators import world as W
+    ents = spark.createDataFrame([(f"E{k}", "crater", 0.0, 0.1 * k, None, 80.0 * k) for k in range(4)],
+                                 "entity_id string, entity_type string, latitude double, longitude double, elevation_m double, uncertainty_m double")
+    rows = [(i, f"E{i % 5}", ("OHRC", "IIRS", "TMC-2")[i % 3], None, 0.0 if i % 4 else 0.5, 0.1 * (i % 5)) for i in range(30)]
+    st = I.WorldStore(spark, str(tmp_path / "w"), ents, every=2)
+    for v in range(5):
+        for _ in range(1 + v % 2):
+            st.apply(spark.createDataFrame(rows[6 * v:6 * v + 6], I.OBSERVATION), v)
+    whole = W.associate(spark.createDataFrame(rows, I.OBSERVATION), ents)
+    as_set = lambda df: {tuple(r) for r in df.select(*sorted(df.columns)).collect()}
+    assert as_set(st.associations()) == as_set(whole) and len(as_set(whole)) == 30
+    assert {r.rejection_reason for r in whole.filter("status = 'UNRESOLVED'").collect()} == {"ENTITY_NOT_FOUND: E4"}
+    names = ["entity_id", "gap_type", "severity"]
+    assert as_set(st.gaps().select(*names)) == as_set(G.detect_gaps(ents, whole, None, W.blocking_factors(whole)).select(*names))
+    assert as_set(st.states().select("entity_id", "state")) == as_set(W.lifecycle(whole, None, ents).select("entity_id", "state"))
+    assert [p.name for p in (tmp_path / "w/bases").iterdir()] == ["upto=3"] and {p.name for p in (tmp_path / "w/states").iterdir()} == {"v=2", "v=3", "v=4"}
