@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from craterline.llm.common import Memo, slices, text_runs
+from craterline.llm.common import Memo, resource, slices, text_runs
 from craterline.llm.model_file import BLANK, MODEL, NORMAL, read_model
 
 PER_LANGUAGE = 4_000
@@ -115,14 +115,9 @@ class Pieces:
         return total
 
 
-_pieces: dict[str, Pieces] = {}
-
-
 def pieces(path: str) -> Pieces:
     """One look-up for each worker."""
-    if path not in _pieces:
-        _pieces[path] = Pieces(path)
-    return _pieces[path]
+    return resource("language", path, lambda: Pieces(path))
 
 
 def clean_words(word: bytes) -> list[str]:
