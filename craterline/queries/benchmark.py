@@ -10,8 +10,14 @@ from craterline.operators import benchmark as B
 from craterline.operators import gaps as G
 from craterline.operators import joins as J
 from craterline.operators import world as W
-from craterline.queries.matching import METRICS, TRUTH
+from craterline.functions.stage import stage
+from craterline.operators.geometry import gate_matches, pixel_to_terrain
+from craterline.operators.matching import fit_transforms, flag_inliers
+from craterline.operators.verification import geometry_profile
+from craterline.plans.match_runs import run_ablation
 from craterline.queries.gaps import GAPS, detected
+from craterline.queries.geometry import ELEVATION, FORWARD, GATED, Prepared, points
+from craterline.queries.matching import METRICS, TRUTH
 from craterline.queries.registry import Tables, query
 
 BOX = ["lat_min", "lat_max", "lon_min", "lon_max"]
@@ -192,6 +198,60 @@ def d27_ablate_parallax(t: Tables):
     return B.ablate(full, flat, ["o_orderkey"], ["displacement_m"], "Physical Parallax Modeling")
 
 
+@query(f"""WITH {GATED}, c AS (SELECT pair_id, count(*) FILTER (WHERE rejection_reason IS NOT NULL) AS rejections FROM gt GROUP BY pair_id)
+  SELECT 'Calibrated GroundGrid Validation' AS component, pair_id, rejections AS full_rejections, CAST(0 AS BIGINT) AS ablated_rejections, rejections AS delta_rejections FROM c""")
+def d27_ablate_ground_grids(t: Tables):
+    """Refused matches of each pair with lattices, and without: then nothing is refused."""
+    def job(grids=None):
+        m = points(t).withColumnsRenamed({"pixel": "src_x", "scan": "src_y"})
+        gated = m.withColumn("rejection_reason", F.lit(None).cast("string")) if grids is None else gate_matches(m, grids)
+        return gated.groupBy("pair_id").agg(F.count("rejection_reason").alias("rejections"))
+    return run_ablation(job, ["pair_id"], ["rejections"], "Calibrated GroundGrid Validation", grids=Prepared(t).grids)
+
+
+@query(f"""WITH {FORWARD}, {ELEVATION} SELECT 'DEM / Terrain Validation' AS component, point_id, coalesce(elevation_m, 0) AS full_elevation_m,
+    0.0::double AS ablated_elevation_m, coalesce(elevation_m, 0) AS delta_elevation_m FROM el""", {c: 3 for c in ("full_elevation_m", "ablated_elevation_m", "delta_elevation_m")})
+def d27_ablate_elevation(t: Tables):
+    """Height under each point from the elevation grid, and on the datum; a point without a place has neither."""
+    p = Prepared(t)
+    job = lambda dem=None: pixel_to_terrain(points(t), p.source, p.source_meta, dem, p.frame).select("point_id", "elevation_m")
+    return run_ablation(job, ["point_id"], ["elevation_m"], "DEM / Terrain Validation", dem=p.dem)
+
+
+@query(f"""WITH {GAPS}, f AS (SELECT entity_id, count(*) AS gaps FROM gaps GROUP BY entity_id)
+  SELECT 'Knowledge-Gap Engine' AS component, entity_id, coalesce(gaps, 0) AS full_gaps, CAST(0 AS BIGINT) AS ablated_gaps, coalesce(gaps, 0) AS delta_gaps FROM v_entity LEFT JOIN f USING (entity_id)""")
+def d27_ablate_gap_engine(t: Tables):
+    def job(detect=None):
+        found = t.entity.select("entity_id").filter("false") if detect is None else detect(t).select("entity_id")
+        return t.entity.select("entity_id").join(found.groupBy("entity_id").agg(F.count("*").alias("gaps")), "entity_id", "left").select("entity_id", F.coalesce("gaps", F.lit(0)).alias("gaps"))
+    return run_ablation(job, ["entity_id"], ["gaps"], "Knowledge-Gap Engine", detect=detected)
+
+
+@query(f"""WITH {GAPS}, f AS (SELECT entity_id, count(*) AS n FROM gaps WHERE gap_type IN ({', '.join(f"'{r[0]}'" for r in C.GAP_SENSOR_RULES)}) GROUP BY entity_id)
+  SELECT 'Active Observation Engine' AS component, entity_id, n AS full_recommendations, CAST(0 AS BIGINT) AS ablated_recommendations, n AS delta_recommendations FROM f""")
+def d27_ablate_recommendations(t: Tables):
+    def job(sensors=None):
+        found = G.recommend_for_gaps(detected(t), sensors or []).groupBy("entity_id").agg(F.count("*").alias("recommendations"))
+        return found if sensors else found.filter("false")
+    return run_ablation(job, ["entity_id"], ["recommendations"], "Active Observation Engine", sensors=["OHRC", "TMC-2"])
+
+
+@query("""WITH m AS (SELECT pair_id, count(*) AS n, pair_id % 3 = 0 AS mirrored FROM v_match GROUP BY pair_id)
+  SELECT 'Geometric Verification' AS component, pair_id, CAST(NOT mirrored AS INTEGER) AS full_accepted, 1 AS ablated_accepted, CAST(NOT mirrored AS INTEGER) - 1 AS delta_accepted FROM m""")
+def d27_ablate_geometry(t: Tables):
+    """Every third pair is seen in a mirror: the transform fits, but turns the surface inside out. Without verification any match counts."""
+    mirrored = F.when(F.col("pair_id") % 3 == 0, 500.0 - F.col("src_x")).otherwise(F.col("src_x") + 25.0)
+    m = stage(t.match.select("pair_id", "match_id", "src_x", "src_y", mirrored.alias("tgt_x"), (F.col("src_y") - 18.0).alias("tgt_y"), "distance"))
+
+    def job(verify=None):
+        if verify is None:
+            return m.groupBy("pair_id").agg((F.count("*") > 0).cast("int").alias("accepted"))
+        fits = stage(fit_transforms(m))
+        g = verify(stage(flag_inliers(m, fits)), fits, 512.0, 512.0)
+        return g.select("pair_id", F.coalesce(F.col("is_stable") & (F.col("det3") > 0), F.lit(False)).cast("int").alias("accepted"))
+    return run_ablation(job, ["pair_id"], ["accepted"], "Geometric Verification", verify=geometry_profile)
+
+
 @query("SELECT pair_id, matcher, candidates FROM v_run WHERE matcher = 'ORB' AND pair_id = (SELECT min(pair_id) FROM v_run)")
 def p07_filter_results(t: Tables):
     first = t.run.agg(F.min("pair_id")).first()[0]
