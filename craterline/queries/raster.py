@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from craterline.functions.score import gradient_alignment
-from craterline.functions.stage import stage
+from craterline.functions.stage import shared_folder, stage
 from craterline.operators import raster as R
 from craterline.operators import tiles as TL
 from craterline.queries.registry import Tables, query
+from craterline.sources import raster_source
 
 
 @query("SELECT product_id, line, sample, dn FROM v_pixel WHERE dn <> 7 AND band = 0")
@@ -16,6 +19,21 @@ def p10_nodata_and_band(t: Tables):
     return R.select_band(R.mask_nodata(t.pixel, 7.0), 0).select("product_id", "line", "sample", "dn")
 
 
+@query("SELECT product_id, line, sample, dn FROM v_pixel")
+def s08_raster_round_trip(t: Tables):
+    """All products as one raster, their lines in turn, written in strips and read back; places without a pixel are NaN."""
+    raster_source.register(t.spark)
+    path = f"{shared_folder(t.spark)}/raster-{uuid.uuid4().hex}"
+    number = F.col("line") * 5 + F.right("product_id", F.lit(1)).cast("long")
+    held = t.pixel.groupBy(number.alias("line")).agg(F.map_from_entries(F.collect_list(F.struct("sample", "dn"))).alias("m"))  # 64 samples
+    dns = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")), lambda s: F.coalesce(F.try_element_at("m", s), F.lit(float("nan"))))
+    options = {"path": path, "data_type": "ieee754lsbsingle", "samples": "64"}
+    held.select("line", dns.alias("dns")).repartitionByRange("line").sortWithinPartitions("line").write.format("raster_lines").options(**options).mode("append").save()
+    back = t.spark.read.format("raster_lines").options(**options, partition_bytes=str(1 << 16)).load()
+    pixels = back.select("line", F.posexplode("dns").alias("sample", "dn")).filter(~F.isnan("dn"))
+    return pixels.select(F.concat(F.lit("IMG-"), (F.col("line") % 5).cast("string")).alias("product_id"), F.floor(F.col("line") / 5).alias("line"), F.col("sample").cast("long").alias("sample"), "dn")
+
+
 @query("""WITH s AS (SELECT product_id, greatest(CAST(ceil(greatest(max(line), max(sample)) + 1) AS bigint), 1) AS side FROM v_pixel GROUP BY product_id)
   SELECT p.product_id, line, sample, dn FROM v_pixel p JOIN s ON s.product_id = p.product_id
   WHERE line % greatest(CAST(ceil(side / 16) AS bigint), 1) = 0 AND sample % greatest(CAST(ceil(side / 16) AS bigint), 1) = 0""")

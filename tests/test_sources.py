@@ -142,3 +142,24 @@ def test_folded_stream_log_equals_the_batch_answer(spark, tmp_path):
     assert as_set(st.gaps().select(*names)) == as_set(G.detect_gaps(ents, whole, None, W.blocking_factors(whole)).select(*names))
     assert as_set(st.states().select("entity_id", "state")) == as_set(W.lifecycle(whole, None, ents).select("entity_id", "state"))
     assert [p.name for p in (tmp_path / "w/bases").iterdir()] == ["upto=3"] and {p.name for p in (tmp_path / "w/states").iterdir()} == {"v=2", "v=3", "v=4"}
+
+
+@pytest.mark.parametrize("kind, low, high", [("uint8", 0, 255), ("SignedMSB2", -32768, 32767), ("IEEE754LSBSingle", -1.5, 2.5)])
+def test_raster_source_round_trip(spark, tmp_path, kind, low, high):
+    from craterline.sources import raster_source
+    raster_source.register(spark)
+    rows = [(n, [float(low), float(high), float(n % 7), None]) for n in [*range(300), *range(500, 520)]]
+    options = {"path": str(tmp_path / "r"), "data_type": kind, "samples": "2", "bands": "2"}
+    frame = spark.createDataFrame(rows, "line long, dns array<double>").repartitionByRange(4, "line").sortWithinPartitions("line")
+    for _ in range(2):  # again after a failure
+        frame.write.format("raster_lines").options(**options).mode("append").save()
+    back = spark.read.format("raster_lines").options(**options, partition_bytes="64").load()
+    got = {r.line: r.dns for r in back.collect()}
+    assert back.rdd.getNumPartitions() > 10 and got.keys() == {n for n, _ in rows}
+    assert all(got[n][:3] == v[:3] for n, v in rows) and all(x[3] == 0 or x[3] != x[3] for x in got.values())
+    (tmp_path / "one.img").write_bytes(b"abcdefg")
+    one = spark.read.format("raster_lines").options(path=f"file://{tmp_path}/one.img", samples="3").load().collect()
+    assert [(r.line, r.dns) for r in one] == [(0, [97.0, 98.0, 99.0]), (1, [100.0, 101.0, 102.0])]
+    bad = spark.createDataFrame([(0, [300.0, 0.0, 0.0, 0.0])], "line long, dns array<double>")
+    with pytest.raises(Exception, match="does not fit"):
+        bad.write.format("raster_lines").options(**{**options, "data_type": "uint8", "path": str(tmp_path / "bad")}).mode("append").save()
