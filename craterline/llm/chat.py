@@ -2,10 +2,11 @@
 
 Only DataFrame functions are used. Calls and results meet in an equi-join on conversation and call id.
 A call may name calls whose results it uses; it is placed after them even if the log has it earlier:
-its place is the larger of its own turn and the places it waits for, raised round by round until
-nothing changes. Only calls that the log has out of order are raised, so a log in order takes one
-round. Calls that wait for each other in a circle keep their place and are marked. Arguments are
-parsed as JSON values and held against the parameters of their tool.
+its place is the larger of its own turn and the places it waits for. Waits are led on past calls that
+wait for one other call, so the number of rounds grows with the logarithm of a chain of waits; only
+calls that wait for several calls, themselves waiting for several, cost a round each. There is no
+limit of rounds. Calls that wait in a circle, or at last for one, keep their turn and are marked.
+Arguments are parsed as JSON values and held against the parameters of their tool.
 
 Canonical JSON has no white space, keys in alphabetical order and no null members.
 
@@ -29,7 +30,6 @@ from craterline.functions.stage import stage
 TYPES = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), "boolean": ("BOOLEAN",), "object": ("OBJECT",), "array": ("ARRAY",)}
 #: Turns of a conversation that are numbered together.
 STRETCH = 1000
-ROUNDS = 10_000
 
 
 def argument_errors(arguments: Column, tool: Column, schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
@@ -69,29 +69,46 @@ def call_json(call_id: Column, tool: Column, arguments: Column) -> Column:
                     F.lit(',"type":"function"}]}'))
 
 
+def _later(place: Column, steps: Column) -> Column:
+    """A place so many steps on; null stays null."""
+    return F.when(place.isNotNull(), F.struct(place["at"].alias("at"), (place["step"] + steps).alias("step")))
+
+
 def place_calls(calls: DataFrame) -> DataFrame:
-    """Calls (conv, call_id, turn, result_turn, after) with their place (``at``, ``step``) and ``circular``."""
-    waits = stage(calls.select("conv", "call_id", F.explode("after").alias("needs")).distinct())
-    state = calls.select("conv", "call_id", "result_turn", F.struct(F.col("turn").alias("at"), F.lit(0).alias("step")).alias("place"),
-                         F.lit(False).alias("lifted"), F.lit(False).alias("circular"))
-    for _ in range(ROUNDS):
-        done = F.greatest(F.struct(F.coalesce("result_turn", F.col("place.at")).alias("at"), F.lit(0).alias("step")),
-                          F.struct(F.col("place.at").alias("at"), (F.col("place.step") + F.col("result_turn").isNotNull().cast("int")).alias("step")))
-        ready = state.select("conv", F.col("call_id").alias("needs"), done.alias("done"))
-        low = (waits.join(ready, ["conv", "needs"]).groupBy("conv", "call_id")
-               .agg(F.max(F.struct(F.col("done.at").alias("at"), (F.col("done.step") + 1).alias("step"))).alias("low")))
-        raised = (state.join(low, ["conv", "call_id"], "left")
-                  .withColumn("new", F.when(~F.col("circular"), F.greatest("place", "low")).otherwise(F.col("place")))
-                  .withColumn("moved", F.col("new") > F.col("place")))
-        raised = stage(raised.select("conv", "call_id", "result_turn", F.col("new").alias("place"), (F.col("lifted") | F.col("moved")).alias("lifted"), "circular", "moved"))
-        if raised.where("moved").isEmpty():
-            return raised.select("conv", "call_id", F.col("place.at").alias("at"), F.col("place.step").alias("step"), "circular")
-        # A chain of raised calls is no longer than there are raised calls; beyond that it is a circle.
-        most = raised.where("lifted").groupBy("conv").agg((2 * F.count("*") + 2).alias("most"))
-        state = (raised.join(most, "conv", "left")
-                 .select("conv", "call_id", "result_turn", "place", "lifted",
-                         (F.col("circular") | (F.col("moved") & (F.col("place.step") > F.col("most")))).alias("circular")))
-    raise ValueError(f"calls wait for each other over more than {ROUNDS} steps")
+    """Calls (conv, call_id, turn, result_turn, after) with their place (``at``, ``step``) and ``circular``.
+
+    A wait (call_id, needs) puts a call at ``least`` or ``steps`` after the place of the other, whichever is later. In a
+    round a wait for a placed call becomes part of the call's own place, and a wait for a call that has one wait itself
+    is led on to the end of that wait. Waits with the same ends are one. Of waits without a circle each round places at
+    least one call, so the calls left by a round that places none wait, at last, for a circle.
+    """
+    key = ["conv", "call_id"]
+    base = calls.select(*key, F.struct(F.col("turn").alias("at"), F.lit(0).alias("step")).alias("own"))
+    answered = F.col("result_turn").isNotNull()
+    ends = calls.select("conv", F.col("call_id").alias("needs"), (1 + answered.cast("int")).alias("steps"),
+                        F.when(answered, F.struct(F.col("result_turn").alias("at"), F.lit(1).alias("step"))).alias("least"))
+    waits = stage(calls.select(*key, F.explode("after").alias("needs")).distinct().join(ends, ["conv", "needs"]).select(*key, "needs", "least", "steps"))
+    own = stage(base.join(waits.select(*key).union(waits.select("conv", F.col("needs").alias("call_id"))).distinct(), key, "left_semi"))
+    pending = waits.select(*key).distinct().count()
+    while pending:
+        open_ = waits.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("needs", "least", "steps")).alias("next"))
+        other = own.join(open_, key, "left").select("conv", F.col("call_id").alias("needs"), "own", F.coalesce("n", F.lit(0)).alias("n"), "next")
+        one = F.col("n") == 1
+        led = (waits.join(other, ["conv", "needs"])
+               .select(*key, F.when(one, F.col("next.needs")).when(F.col("n") > 1, F.col("needs")).alias("needs"),
+                       F.greatest("least", F.when(F.col("n") < 2, _later(F.col("own"), F.col("steps"))),
+                                  F.when(one, _later(F.col("next.least"), F.col("steps")))).alias("least"),
+                       (F.col("steps") + F.when(one, F.col("next.steps")).otherwise(0)).alias("steps")))
+        led = stage(led.groupBy(*key, "needs").agg(F.max("least").alias("least"), F.max("steps").alias("steps")))
+        own = stage(own.join(led.where("needs is null").select(*key, "least"), key, "left").select(*key, F.greatest("own", "least").alias("own")))
+        waits = led.where("needs is not null")
+        before, pending = pending, waits.select(*key).distinct().count()
+        if pending == before:
+            break
+    stuck = waits.select(*key, F.lit(True).alias("circular")).distinct()
+    placed = base.withColumnRenamed("own", "turn").join(own, key, "left").join(stuck, key, "left")
+    place = F.when(F.col("circular"), F.col("turn")).otherwise(F.coalesce("own", "turn"))
+    return stage(placed.select(*key, place["at"].alias("at"), place["step"].alias("step"), F.coalesce("circular", F.lit(False)).alias("circular")))
 
 
 def format_chats(messages: DataFrame, calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:

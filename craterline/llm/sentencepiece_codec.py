@@ -11,7 +11,8 @@ and compared. No piece crosses from one word to the next, so a
 text's ids are those of its words. A vocabulary in which pieces do cross is encoded text by text.
 The given model is of the second kind; parity with sentencepiece holds for both.
 
-A null text has null results, an empty text no ids. Repeated rows keep their rows.
+A null text has null results, an empty text no ids. ``parity`` is null where nothing was compared (a text
+of one blank). Repeated rows keep their rows, an empty table gives none, and other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from craterline.llm.common import RUN, Memo, slices, text_runs
 from craterline.llm.model_file import BLANK, BYTE, CONTROL, MODEL, UNIGRAM, UNKNOWN, USER_DEFINED, Model, read_model
 
 _codecs: dict[str, "Codec"] = {}
+#: A word that others are put behind where blanks at the start would be lost.
+LEAD = "a"
 
 
 def merges(model: Model) -> list[tuple[str, str]]:
@@ -70,6 +73,8 @@ class Codec:
         self.tokenizer = build_tokenizer(self.model)
         self.peer = sentencepiece.SentencePieceProcessor(model_file=path)
         self.words = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+") if not self.model.crosses_words() else None
+        self.lead = self.peer.encode(LEAD)
+        self.empty = self.peer.encode("") == []
         self.memo = Memo("sentencepiece", self.encode_words)
 
     def normal(self, text: str) -> str:
@@ -81,16 +86,29 @@ class Codec:
         text = " " + text if self.model.add_dummy_prefix else text
         return text.replace(" ", BLANK) if self.model.escape_whitespaces else text
 
-    def encode_words(self, words: list[str]) -> list[tuple[bytes, int, bool, bool]]:
-        """Ids, how many, whether decoding gives the word back, and whether the peer gives the same ids."""
+    def peer_ids(self, words: list[str]) -> list[list[int] | None]:
+        """The peer's ids of each word; None of a word that it cannot be given alone."""
+        asked, lead = [], []
+        for word in words:
+            first = word.startswith(BLANK)
+            if self.model.add_dummy_prefix:  # the peer adds the marker of the word's first blank itself
+                asked.append(word[1:] if first else "")
+                lead.append(0)
+            else:  # blanks in front that the peer would strip stay behind another word
+                behind = first and self.model.remove_extra_whitespaces and self.words is not None
+                asked.append(LEAD * behind + word)
+                lead.append(len(self.lead) if behind else 0)
+        if self.model.escape_whitespaces:
+            asked = [w.replace(BLANK, " ") for w in asked]
+        found = self.peer.encode(asked, num_threads=2)
+        return [ids[n:] if text else None for text, n, ids in zip(asked, lead, found, strict=True)]
+
+    def encode_words(self, words: list[str]) -> list[tuple[bytes, int, bool, bool | None]]:
+        """Ids, how many, whether decoding gives the word back, and whether the peer gives the same ids (None: not compared)."""
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        # The marker of the word's first blank is what the peer adds itself.
-        own = [w[1:] if self.model.add_dummy_prefix and w.startswith(BLANK) else None for w in words]
-        asked = [i for i, w in enumerate(own) if w]
-        peers = dict(zip(asked, self.peer.encode([own[i].replace(BLANK, " ") for i in asked], num_threads=2), strict=True))
         back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        return [(np.asarray(found, dtype="<u4").tobytes(), len(found), text == word.replace(BLANK, " "), peers.get(i, found) == found)
-                for i, (word, found, text) in enumerate(zip(words, ids, back, strict=True))]
+        return [(np.asarray(found, dtype="<u4").tobytes(), len(found), text == word.replace(BLANK, " "), None if peer is None else peer == found)
+                for word, found, text, peer in zip(words, ids, back, self.peer_ids(words), strict=True)]
 
     def parts(self, text: str, size: int = RUN):
         """The words of a text in order, in lists of about ``size`` letters."""
@@ -103,20 +121,21 @@ class Codec:
             yield self.words.findall(normal[at:stop]) if self.words else [normal]
             at = stop
 
-    def encode(self, texts: list[str | None]) -> list[tuple[bytes, int, bool, bool] | None]:
-        """The same four of whole texts; nothing of a null."""
+    def encode(self, texts: list[str | None]) -> list[tuple[bytes, int, bool, bool | None] | None]:
+        """The same four of whole texts; nothing of a null. Words that were not compared leave the verdict to the others."""
         found = [None if t is None else [] for t in texts]
         for run in text_runs(texts, parts=self.parts):
             results = self.memo.look_up([w for _, words in run for w in words])
             for row, words in run:
                 if found[row] is not None:
                     found[row].extend(islice(results, len(words)))
-        return [f and self._whole(f) if f != [] else (b"", 0, True, True) for f in found]
+        return [f and self._whole(f) if f != [] else (b"", 0, True, self.empty) for f in found]
 
     @staticmethod
-    def _whole(results: list) -> tuple[bytes, int, bool, bool]:
+    def _whole(results: list) -> tuple[bytes, int, bool, bool | None]:
         ids, n, back, same = zip(*results, strict=True)
-        return b"".join(ids), sum(n), all(back), all(same)
+        compared = [s for s in same if s is not None]
+        return b"".join(ids), sum(n), all(back), all(compared) if compared else None
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, without the blank that encoding put in front."""

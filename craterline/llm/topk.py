@@ -13,12 +13,18 @@ shard in a task of its own, so work and memory of a task do not depend on the nu
 Vectors that are null or hold a null or a non-finite component take no part; nor do rows without id.
 A component missing in the shorter of two vectors is zero. Equal scores go to the smaller id. A query
 never finds its own id. Of repeated query ids one row asks (the least vector); repeated candidate rows
-count each. With fewer than k candidates all are returned, and an empty table gives no rows. Values of
-``floor(scale * x)`` must fit 64 bits, as must the scores.
+count each. With fewer than k candidates all are returned, and an empty table gives no rows. Other columns
+are not looked at. ``floor(scale * x)`` is exact for every finite x (beyond the doubles: the largest
+double), and so are products and ranks within a shard, in Python's integers where 64 bits are too few.
+A score beyond 64 bits is reported as the nearest 64-bit number; two such scores of different shards
+are told apart by their logarithm. Vectors with large values stand in blocks of their own.
 """
 
 from __future__ import annotations
 
+import math
+import sys
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -29,33 +35,62 @@ from craterline.functions.stage import stage
 SHARD, QUERIES = 8_192, 16_384
 #: Terms that are probed between two looks at who still competes, and candidates that give the first threshold.
 PROBED, SEED = 8, 512
+#: Vectors with a larger value are packed apart from the others, whose products then fit 64 bits.
+LARGE = 2**24
 
 
 def integer_vector(vector: Column, scale: float) -> Column:
-    """floor(scale * x) of every component; null if the vector takes no part."""
+    """floor(scale * x) of every component as a double, which holds it exactly; null if the vector takes no part."""
+    def whole(v):
+        y = v * scale
+        return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(F.greatest(F.lit(-sys.float_info.max), F.least(F.lit(sys.float_info.max), y)))
+
     x = vector.cast("array<double>")
     usable = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return F.when(usable, F.transform(x, lambda v: F.floor(v * scale)))
+    return F.when(usable, F.transform(x, whole))
+
+
+def _large() -> Column:
+    return F.exists("v", lambda v: F.abs(v) > LARGE)
 
 
-def _packed(rows: DataFrame, blocks: int, name: str) -> DataFrame:
+def _blocks(rows: DataFrame, size: int) -> tuple[int, int]:
+    """Blocks for the usual vectors and for those with large values."""
+    n, large = rows.agg(F.count("*"), F.count_if(_large())).first()
+    return max(1, -(-(n - large) // size)), -(-large // size)
+
+
+def _packed(rows: DataFrame, blocks: tuple[int, int], name: str) -> DataFrame:
     """Rows (id, v, number) as blocks (``name``, ids, values, width); the number spreads the copies of an id."""
     def pack(key, table):
         ids, vectors = table["id"].to_numpy(), table["v"].to_pylist()
         width = max(map(len, vectors))
-        values = np.zeros((len(ids), width), dtype=np.int64)
+        values = np.zeros((len(ids), width))
         for row, v in enumerate(vectors):
             values[row, :len(v)] = v
         return pa.table({name: pa.array([key[0].as_py()], pa.int32()), f"{name}_ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()),
                          f"{name}_values": pa.array([values.tobytes()], pa.binary()), f"{name}_width": pa.array([width], pa.int32())})
 
-    return (rows.withColumn("block", F.pmod(F.xxhash64("id", "number"), F.lit(blocks)).cast("int"))
+    own = F.xxhash64("id", "number")
+    block = F.when(_large(), blocks[0] + F.pmod(own, F.lit(max(1, blocks[1])))).otherwise(F.pmod(own, F.lit(blocks[0])))
+    return (rows.withColumn("block", block.cast("int"))
             .groupBy("block").applyInArrow(pack, f"{name} int, {name}_ids binary, {name}_values binary, {name}_width int"))
 
 
 def _exact(values: np.ndarray, most: int) -> np.ndarray:
-    """Doubles while every sum stays exact in them, else 64-bit integers."""
-    return values.astype(np.float64) if most < 2**53 else values
+    """Doubles while every sum stays exact in them, else 64-bit integers, else Python's integers."""
+    if most < 2**53:
+        return values.astype(np.float64)
+    return values.astype(np.int64) if most < 2**63 else np.frompyfunc(int, 1, 1)(values).astype(object)
+
+
+def _reported(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores as 64-bit numbers, and their logarithm with the sign where those are too few (0 elsewhere)."""
+    if score.dtype != object:
+        return score.astype(np.int64), np.zeros(len(score))
+    held = [max(-2**63, min(2**63 - 1, int(s))) for s in score]
+    beyond = [0.0 if h == s else math.copysign(math.log2(abs(int(s))), h) for h, s in zip(held, score, strict=True)]
+    return np.array(held, dtype=np.int64), np.array(beyond)
 
 
 def search_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, shard: np.ndarray, k: int):
@@ -99,22 +134,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
         return rows.select(F.col(id_col).cast("long").alias("id"), integer_vector(F.col(vector_col), scale).alias("v")).where("id is not null and v is not null")
 
     candidates = stage(usable(vectors).withColumn("number", F.monotonically_increasing_id()))
-    asked = usable(queries).groupBy("id").agg(F.min("v").alias("v")).withColumn("number", F.lit(0))
-    shards, parts = (max(1, -(-rows.count() // size)) for rows, size in ((candidates, SHARD), (asked, QUERIES)))
-    left = _packed(candidates, shards, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = _packed(asked, parts, "part").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    asked = stage(usable(queries).groupBy("id").agg(F.min("v").alias("v")).withColumn("number", F.lit(0)))
+    shards, parts = _blocks(candidates, SHARD), _blocks(asked, QUERIES)
+    left = _packed(candidates, shards, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(sum(parts) - 1))))
+    right = _packed(asked, parts, "part").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(sum(shards) - 1))))
 
     def search(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 ids, query_ids = (np.frombuffer(row[f"{n}_ids"], dtype=np.int64) for n in ("shard", "part"))
-                shard, block = (np.frombuffer(row[f"{n}_values"], dtype=np.int64).reshape(len(i), row[f"{n}_width"]) for n, i in (("shard", ids), ("part", query_ids)))
-                found = list(search_shard(query_ids, block, ids, shard, k))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.array([q for q, _, _ in found], dtype=np.int64), [len(i) for _, i, _ in found])),
-                     pa.array(np.concatenate([i for _, i, _ in found] or [np.zeros(0)]).astype(np.int64)),
-                     pa.array(np.concatenate([s for _, _, s in found] or [np.zeros(0)]).astype(np.int64))], names=["query_id", "id", "score"])
-
-    found = left.join(right, ["shard", "part"]).mapInArrow(search, "query_id long, id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+                shard, block = (np.frombuffer(row[f"{n}_values"], dtype=np.float64).reshape(len(i), row[f"{n}_width"]) for n, i in (("shard", ids), ("part", query_ids)))
+                found = [(q, i, *_reported(score)) for q, i, score in search_shard(query_ids, block, ids, shard, k)]
+                columns = [np.repeat(np.array([f[0] for f in found], dtype=np.int64), [len(f[1]) for f in found])]
+                columns += [np.concatenate([f[c] for f in found] or [np.zeros(0)]).astype(t) for c, t in ((1, np.int64), (2, np.int64), (3, np.float64))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "id", "score", "beyond"])
+
+    found = left.join(right, ["shard", "part"]).mapInArrow(search, "query_id long, id long, score long, beyond double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

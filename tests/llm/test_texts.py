@@ -127,6 +127,25 @@ def test_codec_parity_and_round_trip(odd_documents):
     assert all(back[i] == (t and t.replace("▁", " ")) for i, t in texts.items())
 
 
+def test_parity_is_a_comparison(monkeypatch):
+    own = sentencepiece_codec.Codec(MODEL)
+    assert own.peer_ids(["▁new", "▁", "bare"]) == [own.peer.encode("new"), None, None]
+    assert [r and r[3] for r in own.encode(["new words", "", None])] == [True, True, None]
+    # A tokenizer that differs is found out, with the blank in front given by the peer or not.
+    words = ["▁new", "▁words"]
+    ids = [[1, 2, 3], [4]]
+    monkeypatch.setattr(own, "peer_ids", lambda asked: [None if w == "▁" else ids[words.index(w)] for w in asked])
+    assert [r[3] for r in own.encode_words(words)] == [False, False]
+    assert own._whole([(b"", 1, True, None), (b"", 1, True, True)])[3] is True
+    assert own._whole([(b"", 1, True, None)])[3] is None
+
+
+def test_words_without_blank_in_front_are_compared():
+    own = sentencepiece_codec.Codec(MODEL)
+    own.model.add_dummy_prefix, own.model.remove_extra_whitespaces = False, True  # the peer adds its own blank to LEAD only
+    assert own.peer_ids(["▁new", "▁words"]) == [own.peer.encode("new"), own.peer.encode("words")]
+
+
 # -- fingerprints ----------------------------------------------------------------------------------
 
 def test_golay_code_is_perfect():
@@ -351,6 +370,11 @@ def test_scores_and_base(spark, odd_documents, no_documents):
     assert all(r["score"] == 0 and r["n_known"] == 0 for r in untrained)
 
 
+def test_counts_beyond_32_bits():
+    for counts in ([], [0, 7], [2**32 - 1], [2**32, 1], [3, 2**40, 0]):
+        assert pitman_yor.read_counts(pitman_yor.count_bytes(np.array(counts, dtype=np.int64)), len(counts)).tolist() == counts
+
+
 def test_probabilities_of_a_context_add_up_to_one():
     rng = np.random.default_rng(8)
     words = np.sort(np.array([pitman_yor.word_key(f"w{i}".encode()) for i in range(40)], dtype=np.uint64))

@@ -2,6 +2,7 @@
 
 import json
 import math
+import sys
 import zlib
 from collections import Counter
 
@@ -52,6 +53,30 @@ def test_maxscore_skips_only_what_cannot_win():
         assert found.tolist() == ids[best].tolist() and scores.tolist() == every[best].tolist()
 
 
+def test_scores_beyond_64_bits(spark, odd_vectors, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD", 40)
+    more = [(500 + i, [x * 10.0 ** (4 * i), 1.0, -x, 0.5] * 2) for i in range(40) for x in (1.5, -2.5)] + [(600, [sys.float_info.max] * 8), (601, [-1e308] * 8)]
+    every = odd_vectors.select("vec_id", "embedding").union(spark.createDataFrame(more, "vec_id long, embedding array<double>"))
+
+    def whole(x):
+        return math.floor(256 * x) if math.isfinite(256 * x) else int(math.copysign(sys.float_info.max, x))
+
+    rows = [(r.vec_id, [whole(x) for x in r.embedding]) for r in every.collect()
+            if r.vec_id is not None and r.embedding is not None and all(x is not None and math.isfinite(x) for x in r.embedding)]
+    asked = {}
+    for q, v in sorted(rows):
+        if q % 5 == 0:
+            asked.setdefault(q, v)
+    found = Counter()
+    for r in topk.top_k(every, every.where("vec_id % 5 = 0")).collect():
+        found[r.query_id] += 1
+        scores = sorted((min(2**63 - 1, max(-2**63, sum(a * b for a, b in zip(asked[r.query_id], w, strict=False)))), -c) for c, w in rows if c != r.query_id)
+        assert r.score == scores[-r["rank"]][0]
+    assert found == Counter(dict.fromkeys(asked, 5))
+    best = topk.top_k(every, every.where("vec_id = 407")).where("rank <= 2").orderBy("rank").collect()
+    assert [r.vec_id for r in best] == [600, max((c for c, _ in rows if 500 <= c < 600), key=lambda c: max(sum(w) for i, w in rows if i == c))]
+
+
 def test_top_k_with_few_candidates(spark, odd_vectors):
     two = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(two, two.where("vec_id = 0")).collect()] == [(0, 1, 1, 256 * 512)]
@@ -183,6 +208,73 @@ def test_chats_empty_and_native(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def plain_places(calls):
+    """Places by following every wait; a call that waits, at last, for a circle keeps its turn."""
+    known = {(c, i): (t, r, a) for c, i, t, r, a in calls}
+    placed = {}
+    while True:
+        ready = {}
+        for (c, i), (turn, _, after) in known.items():
+            needs = [(c, n) for n in after if (c, n) in known]
+            if (c, i) not in placed and all(n in placed for n in needs):
+                place = (turn, 0)
+                for n in needs:
+                    (at, step), result = placed[n], known[n][1]
+                    place = max(place, (at, step + 1 + (result is not None)), (result, 1) if result is not None else place)
+                ready[c, i] = place
+        if not ready:
+            return {(c, i): (*placed.get((c, i), (known[c, i][0], 0)), (c, i) not in placed) for c, i in known}
+        placed |= ready
+
+
+PLACED = "conv long, call_id string, turn long, result_turn long, after array<string>"
+
+
+def places(spark, calls):
+    return {(r.conv, r.call_id): (r["at"], r.step, r.circular) for r in chat.place_calls(spark.createDataFrame(calls, PLACED)).collect()}
+
+
+def test_places_of_any_waits_equal_brute_force(spark):
+    rng = np.random.default_rng(12)
+    calls = []
+    for conv in range(60):
+        n = int(rng.integers(1, 12))
+        for i in range(n):
+            after = sorted({str(x) for x in rng.integers(0, n + 1, rng.integers(0, 3)) if conv % 3 == 0 or x > i})
+            calls.append((conv, str(i), int(rng.integers(0, 9)), int(rng.integers(0, 12)) if rng.random() < 0.6 else None, after))
+    want = plain_places(calls)
+    assert places(spark, calls) == want and {c for _, _, c in want.values()} == {True, False}
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    staged = []
+    monkeypatch.setattr(chat, "stage", lambda df, keep=chat.stage: (staged.append(1), keep(df))[1])
+    chain = [(1, str(i), i % 7, i if i % 3 == 0 else None, [str(i + 1)]) for i in range(2000)]
+    circle = [(2, "p", 5, None, ["q"]), (2, "q", 6, 9, ["p"]), (2, "r", 1, None, ["q"])] + [(2, str(i), 1, None, [str(i + 1)]) for i in range(1000)]
+    assert places(spark, chain + circle) == plain_places_of_chain(chain) | plain_places_of_chain(circle[3:]) | {(2, "p"): (5, 0, True), (2, "q"): (6, 0, True), (2, "r"): (1, 0, True)}
+    assert len(staged) < 30  # two tables a round
+
+
+def plain_places_of_chain(calls):
+    found, before = {}, None
+    for c, i, turn, result, _ in reversed(calls):
+        place = (turn, 0)
+        if before is not None:
+            (at, step), other = before
+            place = max(place, (at, step + 1 + (other is not None)), (other, 1) if other is not None else place)
+        found[c, i], before = (*place, False), (place, result)
+    return found
+
+
+def test_long_texts_and_other_columns_of_chats(spark):
+    messages, calls, results = chats(spark)
+    long = messages.union(spark.createDataFrame([(3, 0, "user", 'x"' * 1_000_000)], messages.schema))
+    want = Counter(map(tuple, chat.format_chats(long, calls, results, SCHEMAS).collect()))
+    assert max(len(r[7]) for r in want) > 3_000_000
+    clash = [x.withColumns({n: F.lit("z") for n in ("at", "step", "own", "needs", "position", "json")}) for x in (long, calls, results)]
+    assert Counter(map(tuple, chat.format_chats(*clash, SCHEMAS).collect())) == want
+
+
 def test_long_conversation_is_numbered_in_stretches(spark):
     messages = spark.range(3500).select(F.lit(1).cast("long").alias("conv"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.lit("t").alias("content"))
     _, calls, results = (x.where("false") for x in chats(spark))
