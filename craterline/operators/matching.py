@@ -31,7 +31,7 @@ def _packed(df: DataFrame, group: list[str], unique: list[str], item: Column, bl
     n = n.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.ceil(F.col("_n") / block).alias("_blocks"))
     cond = [df[g] == n[f"_g{i}"] for i, g in enumerate(group)]
     b = df.join(n, cond).withColumn("_block", F.pmod(F.xxhash64(*unique), F.col("_blocks")))
-    return b.groupBy(*group, "_block").agg(F.collect_list(item).alias("items"))
+    return b.groupBy(*group, "_block").agg(F.collect_list(item).alias("items"), F.max("_blocks").alias("_blocks"))
 
 
 def match_confidence(matches: DataFrame, pairs: DataFrame | None = None, metric: str = "l2") -> DataFrame:
@@ -161,8 +161,9 @@ def hull_areas(points: DataFrame, keys: list[str], x: str, y: str, block: int =
     """Convex hull area per key.
 
     Points strictly inside the octagon of a key's extremes are dropped by built-in expressions,
-    which leaves few. The rest is cut in blocks of bounded size; as the hull of a union is the
-    hull of the partial hulls, only block hulls of a key meet in one place.
+    which leaves few. The rest is cut in blocks of bounded size; the hull of a union is the hull
+    of the partial hulls, so about the square root of a key's blocks are merged at a time, and the
+    merged hulls meet in the end. What one task holds grows with that root and with the hull's own corners.
     """
     rows = points.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna(subset=["x", "y"])
     packs = _packed(_outer_points(rows, keys), keys, ["x", "y"], F.array("x", "y"), block)
@@ -178,9 +179,12 @@ def hull_areas(points: DataFrame, keys: list[str], x: str, y: str, block: int =
             pdf["hull_area"] = [_area(_hull(np.asarray(f).reshape(-1, 2))) for f in pdf["flat"]]
             yield pdf[[*keys, "hull_area"]]
 
-    part = packs.select(*keys, F.flatten("items").alias("flat")).mapInPandas(corners, f"{kinds}, flat array<double>")
-    whole = part.groupBy(*keys).agg(F.flatten(F.collect_list("flat")).alias("flat"))
-    return whole.mapInPandas(area, f"{kinds}, hull_area double")
+    merged = F.pmod("_block", F.ceil(F.sqrt("_blocks"))).cast("long").alias("_merged")
+    part = packs.select(*keys, merged, F.flatten("items").alias("flat"))
+    for over in ([*keys, "_merged"], keys):
+        part = part.mapInPandas(corners, f"{kinds}, _merged long, flat array<double>")
+        part = part.groupBy(*over).agg(F.flatten(F.collect_list("flat")).alias("flat"))
+    return part.mapInPandas(area, f"{kinds}, hull_area double")
 
 
 def hull_ratio(points: DataFrame, width: float, height: float) -> DataFrame:

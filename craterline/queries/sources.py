@@ -9,7 +9,7 @@ from craterline.functions import score as S
 from craterline.functions import text as T
 from craterline.operators import catalog
 from craterline.queries.registry import Tables, query
-from craterline.sources import grids, labels, sinks
+from craterline.sources import adapters, grids, labels, sinks
 
 
 def _tag(name: str, value) -> F:
@@ -81,7 +81,30 @@ NAMES = "CASE o_orderkey % 6 WHEN 0 THEN 'ch2_ohr_' WHEN 1 THEN 'M1234_' WHEN 2
   CASE o_orderkey % 6 WHEN 0 THEN 'OHRC' WHEN 4 THEN 'TMC-2' WHEN 5 THEN 'TMC-2' END AS inferred FROM orders""")
 def s05_adapter_routing(t: Tables):
     name = F.expr(NAMES)
-    return t.orders.select(name.alias("file_name"), labels.adapter_of(name, F.when(F.col("o_custkey") % 50 == 0, "SELENE")).alias("adapter"), T.instrument_from_name(name).alias("inferred"))
+    return t.orders.select(name.alias("file_name"), adapters.adapter_of(name, F.when(F.col("o_custkey") % 50 == 0, "SELENE")).alias("adapter"), T.instrument_from_name(name).alias("inferred"))
+
+
+#: An adapter of a user's own: it takes files that another one would, and reads tags and a time that none of the others knows.
+PROBE = adapters.LabelAdapter(
+    "PROBE", marks=("probe",), tags=("probe_id", "ground_scale", "sun_height"), instrument=lambda label: F.concat(F.lit("Probe "), F.coalesce(label.first("instrument_id"), F.lit("?"))),
+    solar=("sun_elevation_deg",),
+    fields={"product_id": lambda label: label.first("probe_id"), "gsd_m": lambda label: label.number("ground_scale") / 100,
+            "sun_elevation_deg": lambda label: label.number("sun_height"), "lat_min": lambda label: label.corner_bound("lat_min"), "num_bands": lambda label: F.lit(2)})
+
+
+@query("""SELECT CASE WHEN o_custkey % 3 = 0 THEN 'ISSDC' ELSE 'PROBE' END AS adapter, CASE WHEN o_custkey % 3 = 0 THEN 'ch2_' || o_orderkey WHEN o_custkey % 5 <> 0 THEN 'p' || o_orderkey ELSE 'probe_ch2_' || o_orderkey END AS product_id,
+  CASE WHEN o_custkey % 3 <> 0 THEN 'Probe ' ELSE '' END || CASE WHEN o_orderkey % 2 = 0 THEN 'x' || o_orderkey % 7 WHEN o_custkey % 3 <> 0 THEN '?' END AS instrument, CASE WHEN o_custkey % 3 <> 0 THEN o_totalprice / 100 END AS gsd_m,
+  CASE WHEN o_custkey % 3 <> 0 AND o_orderkey % 4 <> 1 THEN CAST(o_orderkey % 90 AS double) END AS sun_elevation_deg, CAST(-(o_orderkey % 80) AS double) AS lat_min,
+  CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 2 END::INTEGER AS num_bands, CASE WHEN o_custkey % 3 <> 0 AND o_orderkey % 4 <> 1 THEN 'KNOWN' ELSE 'UNKNOWN' END AS solar_status FROM orders""", {"gsd_m": 6})
+def s05_added_adapter(t: Tables):
+    """Labels read by an adapter put in front of the others, and by those for the files that it leaves."""
+    k, mine = F.col("o_orderkey"), F.col("o_custkey") % 3 != 0
+    name = F.concat(F.when(mine, "probe_ch2_").otherwise("ch2_"), k.cast("string"))
+    body = F.concat(F.lit("<label>"), F.when(F.col("o_custkey") % 5 != 0, _tag("probe_id", F.concat(F.lit("p"), k.cast("string")))).otherwise(""), _tag("ground_scale", F.col("o_totalprice")),
+                    _tag("instrument_id", F.when(k % 2 == 0, F.concat(F.lit("x"), (k % 7).cast("string")))), _tag("sun_height", F.when(k % 4 != 1, k % 90)),
+                    _tag("minimum_latitude", -(k % 80)), F.lit("</label>"))
+    files = t.orders.select(F.concat(F.lit("file:/probe/"), name, F.lit(".xml")).alias("path"), body.alias("content"))
+    return labels.parse_labels(files, adapters=(PROBE, *adapters.ADAPTERS)).select("adapter", "product_id", "instrument", "gsd_m", "sun_elevation_deg", "lat_min", "num_bands", "solar_status")
 
 
 def grid_texts(t: Tables):

@@ -1,7 +1,8 @@
 """Product labels and files: XML label rows, adapter routing, inventory, validation, provenance.
 
 Labels are small texts. One pass lists the leaf elements of a label in document order; a field
-is then the first leaf with one of its tag names. All of it runs as built-in expressions.
+is then the first leaf with one of its tag names, picked by the adapter (``adapters.py``) that takes
+the file. All of it runs as built-in expressions.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from craterline import constants as C
 from craterline.functions import text as T
 from craterline.functions.common import any_of, compact, first_of
+from craterline.sources import adapters as A
 
 
 # --- Files --------------------------------------------------------------------
@@ -26,20 +28,6 @@ def with_name(files: DataFrame) -> DataFrame:
     return files.withColumn("file_name", name).withColumn("extension", F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)))
 
 
-def adapter_of(name: Column, override: Column | None = None) -> Column:
-    """Adapter by explicit source, else by file name, in fixed order."""
-    up = F.upper(name)
-    has = lambda *ts: any_of([up.contains(t) for t in ts])
-    raster = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).isin(".tif", ".tiff", ".png", ".jpg", ".jpeg", ".bmp")
-    by_name = first_of([
-        (has("OHRC", "TMC2", "TMC-2", "TMC", "IIRS", "CH2", "CHANDRAYAAN"), "ISSDC"),
-        (has("LROC", "NAC", "M1", "M0"), "LROC"),
-        (has("SELENE", "KAGUYA", "TC_", "MI_"), "SELENE"),
-        (raster, "GENERIC"),
-    ], "GENERIC")
-    return by_name if override is None else F.coalesce(override, by_name)
-
-
 # --- Label text ---------------------------------------------------------------
 def _clean(content: Column) -> Column:
     """Label text without declarations, comments and namespace prefixes; empty tags written out."""
@@ -68,116 +56,46 @@ def _leaves(xml: Column) -> tuple[Column, Column]:
     return names, values
 
 
-def _decoded(c: Column) -> Column:
-    """Text with the five named entities written out."""
-    plain = c
-    for entity, letter in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(entity), F.lit(letter))
-    return F.when(c.contains("&"), plain).otherwise(c)
-
-
-def _blank(c: Column) -> Column:
-    text = _decoded(F.trim(c))
-    return F.when(F.length(text) > 0, text)
-
-
-#: Every tag that a field is read from; their texts stand in this order in ``_found``.
-TAGS = sorted({t for tags in C.LABEL_TAGS.values() for t in tags} | {"instrument_name", "instrument_id", "resolution", "pixel_resolution"}
-              | {f"{c}_{axis}" for c in C.LABEL_CORNERS for axis in ("latitude", "longitude")})
-
-
-def _texts(names: Column, values: Column) -> Column:
-    """The text of the first leaf of each tag of TAGS: null without one, '' for an empty one."""
+def _texts(names: Column, values: Column, tags: tuple[str, ...]) -> Column:
+    """The text of the first leaf of each tag: null without one, '' for an empty one."""
     def first(tag: Column) -> Column:
         at = F.array_position(names, tag)
-        return F.when(at > 0, F.coalesce(_blank(F.get(values, (at - 1).cast("int"))), F.lit("")))
-
-    return F.transform(F.array(*[F.lit(t) for t in TAGS]), first)
-
-
-def _first(tags: list[str]) -> Column:
-    """Text of the first leaf of the first tag that occurs; an empty one gives null without looking further."""
-    return F.nullif(F.coalesce(*[F.get("_found", F.lit(TAGS.index(t))) for t in tags if t in TAGS], F.lit("")), F.lit(""))
-
-
-def _number(tags: list[str]) -> Column:
-    return F.try_cast(_first(tags), "double") if hasattr(F, "try_cast") else _first(tags).try_cast("double")
-
-
-def _blocks(xml: Column, tag: str) -> Column:
-    return F.regexp_extract_all(xml, F.lit(rf"(?s)<{tag}(?:\s[^<>]*)?>(.*?)</{tag}>"), F.lit(1))
-
+        return F.when(at > 0, F.coalesce(A.blank(F.get(values, (at - 1).cast("int"))), F.lit("")))
 
-def _inside(block: Column, tag: str) -> Column:
-    return _blank(F.regexp_extract(block, rf"<{tag}(?:\s[^<>]*)?>([^<]*)</{tag}>", 1))
+    return F.transform(F.array(*[F.lit(t) for t in tags]), first)
 
 
-def parse_labels(files: DataFrame, corners: str = "system", override: Column | None = None) -> DataFrame:
-    """Metadata row per label (path, content). Unknown stays null.
+def parse_labels(files: DataFrame, corners: str = "system", override: Column | None = None, adapters: tuple[A.LabelAdapter, ...] = A.ADAPTERS) -> DataFrame:
+    """Metadata row per label (path, content), read by the first of the adapters that takes its name. Unknown stays null.
 
     ``corners="refined"`` reads the footprint from the refined corner block where there is one;
     by default the first corners of the document count.
     """
     df = with_name(files) if "file_name" not in files.columns else files
-    df = df.withColumn("adapter", adapter_of(F.col("file_name"), override))
+    df = df.withColumn("adapter", A.adapter_of(F.col("file_name"), override, adapters))
     df = _once(df, _xml=_clean(F.col("content").cast("string")))
     names, values = _leaves(F.col("_xml"))
     df = _once(df, _names=names, _values=values)
-    part = lambda b: F.struct(F.upper(_inside(b, "type")).alias("kind"), _inside(b, "name").alias("name"))
-    df = _once(df, _found=_texts(F.col("_names"), F.col("_values")), _parts=F.transform(_blocks(F.col("_xml"), "Observing_System_Component"), part)).drop("_names", "_values")
-    num = {k: _number(C.LABEL_TAGS[k]) for k in (
-        "sun_azimuth_deg", "sun_elevation_deg", "incidence_angle_deg", "emission_angle_deg", "phase_angle_deg", "spacecraft_altitude_km",
-        "bound_lat_min", "bound_lat_max", "bound_lon_min", "bound_lon_max")}
-    a = F.col("adapter")
-    issdc, lroc = a == "ISSDC", a == "LROC"
-    comp = F.col("_parts")
-    named = lambda pattern: F.try_element_at(F.filter(comp, lambda p: p["kind"].rlike(pattern) & p["name"].isNotNull()), F.lit(-1))["name"]
-    declared, mission = named("INSTRUMENT"), named("MISSION|INVESTIGATION")
-    name_up = F.upper("file_name")
-    instrument = first_of([
-        (issdc, F.coalesce(T.instrument_class(declared), T.instrument_class(_first(["instrument_name", "instrument_id"])), T.instrument_from_name(F.col("file_name")))),
-        (lroc, F.lit("LROC NAC")),
-        ((a == "SELENE") & name_up.contains("TC"), F.lit("Terrain Camera")),
-        (a == "SELENE", F.lit("Multiband Imager"))])
-    lats = compact([_number([f"{c}_latitude"]) for c in C.LABEL_CORNERS])
-    lons = compact([_number([f"{c}_longitude"]) for c in C.LABEL_CORNERS])
+    label = A.LabelText(A.tags_of(adapters), F.col("file_name"), F.col("_xml"))
+    part = lambda b: F.struct(F.upper(A.inside(b, "type")).alias("kind"), A.inside(b, "name").alias("name"))
+    df = _once(df, _found=_texts(F.col("_names"), F.col("_values"), label.tags),
+               _parts=F.transform(A.blocks(F.col("_xml"), "Observing_System_Component"), part)).drop("_names", "_values")
+    lats, lons = (compact([label.number(f"{c}_{axis}") for c in C.LABEL_CORNERS]) for axis in ("latitude", "longitude"))
     if corners == "refined":
-        block = F.try_element_at(_blocks(F.col("_xml"), "Refined_Corner_Coordinates"), F.lit(1))
-        pick = lambda axis: compact([_inside(block, f"{c}_{axis}").try_cast("double") for c in C.LABEL_CORNERS])
+        block = F.try_element_at(A.blocks(F.col("_xml"), "Refined_Corner_Coordinates"), F.lit(1))
+        pick = lambda axis: compact([A.inside(block, f"{c}_{axis}").try_cast("double") for c in C.LABEL_CORNERS])
         lats, lons = (F.when(F.size(pick(x)) > 0, pick(x)).otherwise(d) for x, d in (("latitude", lats), ("longitude", lons)))
-    have = (F.size("_lats") > 0) & (F.size("_lons") > 0)
-    array_block = F.coalesce(*[F.get(_blocks(F.col("_xml"), t), 0) for t in ("Array_2D_Image", "Array_3D_Image", "Array_2D")])
-    axes = F.col("_axes")
-
-    def axis(word: str) -> Column:
-        hit = F.filter(axes, lambda x: x["name"].contains(word))
-        return F.try_element_at(hit, F.lit(-1))["elements"].try_cast("int")
-
-    bins = _blocks(F.col("_xml"), "Band_Bin")
-    df = _once(df, _lats=lats, _lons=lons, _array=array_block, _bins=bins, _instrument=instrument)
-    side = lambda b: F.struct(F.lower(_inside(b, "axis_name")).alias("name"), _inside(b, "elements").alias("elements"))
-    df = _once(df, _axes=F.transform(_blocks(F.col("_array"), "Axis_Array"), side))
-    gsd = first_of([(issdc, _number(C.LABEL_TAGS["gsd_m"])), (lroc, _number(["pixel_resolution", "resolution"])), (a == "SELENE", _number(["resolution", "pixel_resolution"]))])
+    array_block = F.coalesce(*[F.get(A.blocks(F.col("_xml"), t), 0) for t in ("Array_2D_Image", "Array_3D_Image", "Array_2D")])
+    df = _once(df, _lats=lats, _lons=lons, _array=array_block, _bins=A.blocks(F.col("_xml"), "Band_Bin"), _instrument=A.instrument_of(label, adapters))
+    side = lambda b: F.struct(F.lower(A.inside(b, "axis_name")).alias("name"), A.inside(b, "elements").alias("elements"))
+    df = _once(df, _axes=F.transform(A.blocks(F.col("_array"), "Axis_Array"), side))
+    fields = {f: A.chosen(f, label, adapters) for f in A.FIELDS}
+    fields["product_id"] = F.coalesce(fields["product_id"], F.regexp_replace("file_name", r"\.[^.]+$", ""))
+    fields["num_bands"] = F.coalesce(fields["num_bands"], F.lit(1))
+    named = {f: c.alias(f) for f, c in fields.items()}
+    out = df.select("path", "file_name", "extension", "adapter", named.pop("product_id"), named.pop("mission"), F.col("_instrument").alias("instrument"), *named.values())
     known = lambda c: F.when(c, "KNOWN").otherwise("UNKNOWN")
-    solar = {k: first_of([(issdc, num[k]), (lroc, _number([{"sun_azimuth_deg": "sun_azimuth_angle", "sun_elevation_deg": "sun_elevation_angle", "incidence_angle_deg": "incidence_angle"}.get(k, "-")]))])
-             for k in ("sun_azimuth_deg", "sun_elevation_deg", "incidence_angle_deg", "emission_angle_deg", "phase_angle_deg")}
-    bounds = {t: F.when(issdc, F.when(have, f(c)).otherwise(num[f"bound_{t}"])) for t, f, c in (
-        ("lat_min", F.array_min, "_lats"), ("lat_max", F.array_max, "_lats"), ("lon_min", F.array_min, "_lons"), ("lon_max", F.array_max, "_lons"))}
-    any_solar = any_of([F.col(k).isNotNull() for k in solar])
-    out = df.select(
-        "path", "file_name", "extension", "adapter", F.coalesce(F.when(a != "GENERIC", F.when(a != "SELENE", _first(C.LABEL_TAGS["product_lid"]))), F.regexp_replace("file_name", r"\.[^.]+$", "")).alias("product_id"),
-        first_of([(issdc, F.coalesce(mission, F.lit("Chandrayaan-2"))), (lroc, F.lit("Lunar Reconnaissance Orbiter")), (a == "SELENE", F.lit("SELENE / Kaguya"))]).alias("mission"),
-        F.col("_instrument").alias("instrument"), F.when(issdc, _first(C.LABEL_TAGS["processing_level"])).alias("processing_level"),
-        F.when(issdc, T.iso_timestamp(_first(C.LABEL_TAGS["start_time"]))).alias("acquisition_time"),
-        *[v.alias(k) for k, v in solar.items()], F.when(issdc, num["spacecraft_altitude_km"]).alias("spacecraft_altitude_km"), *[v.alias(k) for k, v in bounds.items()],
-        F.when(issdc, _first(C.LABEL_TAGS["crs"])).alias("crs"), gsd.alias("gsd_m"), F.when(issdc, axis("line")).alias("lines"), F.when(issdc, axis("sample")).alias("samples"),
-        F.when(issdc & (F.size("_bins") > 0), F.size("_bins")).when(issdc, F.coalesce(axis("band"), F.lit(1))).otherwise(1).alias("num_bands"),
-        F.when(issdc, F.transform("_bins", lambda b: F.struct(_inside(b, "center_wavelength").try_cast("double").alias("center_wavelength_nm")))).alias("bands"),
-        F.when(issdc, F.coalesce(_inside(F.col("_array"), "data_type"), F.lit("unknown"))).alias("data_type"))
-    return out.withColumns({
-        # One camera's label counts as known only by its incidence angle.
-        "solar_status": F.when(lroc, known(F.col("incidence_angle_deg").isNotNull())).otherwise(known(any_solar)),
-        "bounds_status": known(F.col("lat_min").isNotNull()), "gsd_status": known(F.col("gsd_m").isNotNull())})
+    return out.withColumns({"solar_status": known(A.solar_known(adapters)), "bounds_status": known(F.col("lat_min").isNotNull()), "gsd_status": known(F.col("gsd_m").isNotNull())})
 
 
 def parse_generic(files: DataFrame) -> DataFrame:
