@@ -134,8 +134,7 @@ class Codec:
     @staticmethod
     def _whole(results: list) -> tuple[bytes, int, bool, bool | None]:
         ids, n, back, same = zip(*results, strict=True)
-        compared = [s for s in same if s is not None]
-        return b"".join(ids), sum(n), all(back), all(compared) if compared else None
+        return b"".join(ids), sum(n), all(back), False if False in same else True if True in same else None
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, without the blank that encoding put in front."""
