@@ -141,32 +141,33 @@ OCTANTS = [(1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1)]
 
 
 def _outer_points(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct points of each key that do not lie strictly inside the octagon of its extremes."""
+    """Points of each key that do not lie strictly inside the octagon of its extremes."""
     xy = F.struct("x", "y")
     far = rows.groupBy(*keys).agg(*[F.max_by(xy, F.col("x") * dx + F.col("y") * dy).alias(f"_o{i}") for i, (dx, dy) in enumerate(OCTANTS)])
-    far = far.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[f"_o{i}" for i in range(8)])
+    here, there = ([F.col(f"_o{j % 8}") for j in range(n, n + 8)] for n in (0, 1))
+    # Sides as plain numbers that are never null: with structs the test grows beyond what the JVM compiles.
+    sides = [[a["x"], a["y"], b["x"] - a["x"], b["y"] - a["y"], F.when((a["x"] == b["x"]) & (a["y"] == b["y"]), 1.0).otherwise(0.0)] for a, b in zip(here, there, strict=True)]
+    # A side without length shuts no point out; without width nothing is inside.
+    sides[0][4] = F.when(F.col("_o0.x") > F.col("_o4.x"), sides[0][4]).otherwise(float("-inf"))
+    far = far.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.coalesce(c, F.lit(0.0)).alias(f"_s{i}{n}") for i, side in enumerate(sides) for n, c in enumerate(side)])
     j = rows.join(far, [rows[k] == far[f"_k{i}"] for i, k in enumerate(keys)])
     x, y = F.col("x"), F.col("y")
-    left = []
-    for i in range(8):
-        ax, ay, bx, by = F.col(f"_o{i}.x"), F.col(f"_o{i}.y"), F.col(f"_o{(i + 1) % 8}.x"), F.col(f"_o{(i + 1) % 8}.y")
-        left.append(((ax == bx) & (ay == by)) | ((bx - ax) * (y - ay) - (by - ay) * (x - ax) > 0))
-    inside = left[0]
-    for c in left[1:]:
-        inside = inside & c
-    return j.filter(~(inside & (F.col("_o0.x") > F.col("_o4.x")))).select(*keys, "x", "y").distinct()
+    left = [F.col(f"_s{i}2") * (y - F.col(f"_s{i}1")) - F.col(f"_s{i}3") * (x - F.col(f"_s{i}0")) + F.col(f"_s{i}4") for i in range(8)]
+    return j.filter(~(F.least(*left) > 0)).select(*keys, "x", "y")
 
 
 def hull_areas(points: DataFrame, keys: list[str], x: str, y: str, block: int = 50_000) -> DataFrame:
     """Convex hull area per key.
 
-    Points strictly inside the octagon of a key's extremes are dropped by built-in expressions,
+    Copies, then points strictly inside the octagon of a key's extremes are dropped by built-in expressions,
     which leaves few. The rest is cut in blocks of bounded size; the hull of a union is the hull
     of the partial hulls, so about the square root of a key's blocks are merged at a time, and the
     merged hulls meet in the end. What one task holds grows with that root and with the hull's own corners.
     """
     rows = points.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna(subset=["x", "y"])
-    packs = _packed(_outer_points(rows, keys), keys, ["x", "y"], F.array("x", "y"), block)
+    # Copies go before anything is sorted or joined; both tables are read twice.
+    rows = stage(rows.distinct())
+    packs = _packed(stage(_outer_points(rows, keys)), keys, ["x", "y"], F.array("x", "y"), block)
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
     def corners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
