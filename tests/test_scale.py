@@ -16,3 +16,18 @@ def test_hull_reads_its_points_once(spark):
     areas = M.hull_areas(points, ["k"], "x", "y")
     assert "Generate" not in plan_of(areas)
     assert {r.k: r.hull_area for r in areas.collect()} == {"a": 12.0, "b": 0.0}
+
+
+def test_samples_are_drawn_once_and_solved_in_closed_form(spark):
+    rng = np.random.RandomState(3)
+    xy = rng.rand(40, 2) * 100
+    rows = [(p, f"{p}-{i}", float(x), float(y), float(x) * 1.5 + 20, float(y) * 1.5 - 7) for p in range(3) for i, (x, y) in enumerate(xy)]
+    fits = M.fit_transforms(spark.createDataFrame(rows, "pair_id int, match_id string, src_x double, src_y double, tgt_x double, tgt_y double"))
+    assert plan_of(fits).count("MapInPandas") == 1  # the refit; samples and votes are stored
+    for r in fits.collect():
+        assert r.inliers == 40 and np.allclose(r.h, [1.5, 0, 20, 0, 1.5, -7, 0, 0, 1], atol=1e-6)
+    src, tgt = rng.rand(50, 4, 2), rng.rand(50, 4, 2)
+    src[7, 1] = src[7, 0]  # two points in one place
+    h = M._four_point(src, tgt).reshape(-1, 3, 3)
+    q = np.einsum("nij,npj->npi", h, np.concatenate([np.delete(src, 7, 0), np.ones((49, 4, 1))], axis=2))
+    assert len(h) == 49 and np.allclose(q[..., :2] / q[..., 2:], np.delete(tgt, 7, 0), atol=1e-6)
