@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from craterline.operators import geometry as G
 from craterline.operators import matching as M
 
 
@@ -31,3 +32,14 @@ def test_samples_are_drawn_once_and_solved_in_closed_form(spark):
     h = M._four_point(src, tgt).reshape(-1, 3, 3)
     q = np.einsum("nij,npj->npi", h, np.concatenate([np.delete(src, 7, 0), np.ones((49, 4, 1))], axis=2))
     assert len(h) == 49 and np.allclose(q[..., :2] / q[..., 2:], np.delete(tgt, 7, 0), atol=1e-6)
+
+
+def test_points_without_a_place_are_spread(spark):
+    points = spark.range(4000).select("id", F.lit("G").alias("grid_id"), F.lit(None).cast("double").alias("_qx"), F.lit(None).cast("long").alias("_qy"))
+    placed = G._placed(points, "_qx", "_qy")
+    assert placed.filter("_own").count() == 0 and placed.select("_qx", "_qy").distinct().count() > 3900
+    # Buckets set aside are never looked up, whatever lines a grid has.
+    dem = spark.createDataFrame([(a, b, 1.0) for a in range(2) for b in range(2)], "line long, sample long, elev double")
+    frame = G.DemFrame(0.0, 2.0, 0.0, 2.0, 1.0, 2, 2)
+    asked = spark.createDataFrame([(0, 0.5, 1.5), (1, None, None), (2, 9.0, 9.0)], "id int, lon double, lat double")
+    assert {r.id: r.elevation_m for r in G.sample_dem(asked, G.dem_cells(dem, frame), frame).collect()} == {0: 1.0, 1: None, 2: None}
