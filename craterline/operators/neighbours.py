@@ -82,10 +82,11 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 
 def _two_nearest(blocks: DataFrame, keys: list[str], metric: str) -> DataFrame:
     """The two nearest targets of each source keypoint within its row (s_kps, s_flat, t_kps, t_flat)."""
-    schema = ", ".join([f"{k} {blocks.schema[k].dataType.simpleString()}" for k in keys] + ["src_kp long, tgt_kp long, distance double"])
+    schema = ", ".join([f"{k} {blocks.schema[k].dataType.simpleString()}" for k in keys] + ["src_kps array<long>, tgt_kps array<long>, distances array<double>"])
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            found = []
             for row in pdf.to_dict("records"):
                 a, b = (np.asarray(row[f"{s}_flat"]).reshape(len(row[f"{s}_kps"]), -1) for s in "st")
                 kps = np.asarray(row["t_kps"])
@@ -99,10 +100,13 @@ def _two_nearest(blocks: DataFrame, keys: list[str], metric: str) -> DataFrame:
                     dist[np.arange(len(a)), first] = np.inf
                     second = dist.argmin(axis=1)
                     order, held = np.c_[order, second], np.c_[held, dist[np.arange(len(a)), second]]
-                out = {k: [row[k]] * (len(a) * keep) for k in keys}
-                yield pd.DataFrame(out | {"src_kp": np.repeat(np.asarray(row["s_kps"]), keep), "tgt_kp": kps[by_kp][order].ravel(), "distance": held.ravel()})
+                found.append((*[row[k] for k in keys], np.repeat(np.asarray(row["s_kps"]), keep), kps[by_kp][order].ravel(), held.ravel()))
+            yield pd.DataFrame(found, columns=[*keys, "src_kps", "tgt_kps", "distances"])
 
-    return blocks.select(*keys, "s_kps", "s_flat", "t_kps", "t_flat").mapInPandas(nearest, schema)
+    # One row for a pair of blocks leaves Python; its keypoints are told apart afterwards.
+    rows = blocks.select(*keys, "s_kps", "s_flat", "t_kps", "t_flat").mapInPandas(nearest, schema)
+    one = F.explode(F.arrays_zip("src_kps", "tgt_kps", "distances")).alias("_o")
+    return rows.select(*keys, one).select(*keys, F.col("_o.src_kps").alias("src_kp"), F.col("_o.tgt_kps").alias("tgt_kp"), F.col("_o.distances").alias("distance"))
 
 
 def _usable(pairs: DataFrame, descriptors: DataFrame) -> DataFrame:
