@@ -60,8 +60,13 @@ def _blocks(rows: DataFrame, size: int) -> tuple[int, int]:
     return max(1, -(-(n - large) // size)), -(-large // size)
 
 
-def _packed(rows: DataFrame, blocks: tuple[int, int], name: str) -> DataFrame:
-    """Rows (id, v, number) as blocks (``name``, ids, values, width); the number spreads the copies of an id."""
+def _packed(rows: DataFrame, blocks: tuple[int, int] | int, name: str) -> DataFrame:
+    """Rows (id, v, number) as blocks (``name``, ids, values, width); the number spreads the copies of an id.
+
+    One number of blocks holds for usual vectors; large values then share one more.
+    """
+    blocks = (blocks, 1) if isinstance(blocks, int) else blocks
+
     def pack(key, table):
         ids, vectors = table["id"].to_numpy(), table["v"].to_pylist()
         width = max(map(len, vectors))
