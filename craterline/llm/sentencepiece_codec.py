@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from itertools import islice
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -75,7 +75,7 @@ class Codec:
         self.words = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+") if not self.model.crosses_words() else None
         self.lead = self.peer.encode(LEAD)
         self.empty = self.peer.encode("") == []
-        self.memo = Memo("sentencepiece", self.encode_words)
+        self.memo = Memo("sentencepiece", self._brief)
 
     def normal(self, text: str) -> str:
         """The text with its blanks marked, before the character map."""
@@ -105,10 +105,22 @@ class Codec:
 
     def encode_words(self, words: list[str]) -> list[tuple[bytes, int, bool, bool | None]]:
         """Ids, how many, whether decoding gives the word back, and whether the peer gives the same ids (None: not compared)."""
+        return [self._four(r) for r in self._brief(words)]
+
+    def _brief(self, words: list[str]) -> list[bytes | tuple[bytes, int, bool, bool | None]]:
+        """Only the ids of a word that passes both comparisons, which nearly all do; else the four results."""
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        return [(np.asarray(found, dtype="<u4").tobytes(), len(found), text == word.replace(BLANK, " "), None if peer is None else peer == found)
-                for word, found, text, peer in zip(words, ids, back, self.peer_ids(words), strict=True)]
+        plain = [w.replace(BLANK, " ") for w in words]
+        ends = np.cumsum([0, *map(len, ids)]) * 4
+        flat, ends = np.fromiter(chain.from_iterable(ids), "<u4", ends[-1] // 4).tobytes(), ends.tolist()
+        data = [flat[a:b] for a, b in pairwise(ends)]
+        return [own if peer == found and text == word else (own, len(found), text == word, None if peer is None else peer == found)
+                for own, found, text, word, peer in zip(data, ids, back, plain, self.peer_ids(words), strict=True)]
+
+    @staticmethod
+    def _four(result: bytes | tuple[bytes, int, bool, bool | None]) -> tuple[bytes, int, bool, bool | None]:
+        return (result, len(result) // 4, True, True) if isinstance(result, bytes) else result
 
     def parts(self, text: str, size: int = RUN):
         """The words of a text in order, in lists of about ``size`` letters."""
@@ -131,9 +143,12 @@ class Codec:
                     found[row].extend(islice(results, len(words)))
         return [f and self._whole(f) if f != [] else (b"", 0, True, self.empty) for f in found]
 
-    @staticmethod
-    def _whole(results: list) -> tuple[bytes, int, bool, bool | None]:
-        ids, n, back, same = zip(*results, strict=True)
+    @classmethod
+    def _whole(cls, results: list) -> tuple[bytes, int, bool, bool | None]:
+        if tuple not in set(map(type, results)):
+            whole = b"".join(results)
+            return whole, len(whole) // 4, True, True
+        ids, n, back, same = zip(*map(cls._four, results), strict=True)
         return b"".join(ids), sum(n), all(back), False if False in same else True if True in same else None
 
     def decode(self, ids: list[int]) -> str:

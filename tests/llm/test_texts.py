@@ -140,6 +140,18 @@ def test_parity_is_a_comparison(monkeypatch):
     assert own._whole([(b"", 1, True, None)])[3] is None
 
 
+def test_words_that_pass_are_kept_as_their_ids(monkeypatch):
+    """A worker keeps plain bytes for them, and all four results for the others."""
+    own = sentencepiece_codec.Codec(MODEL)
+    (ids, n, back, same), = own.encode(["some plain words"])
+    assert np.frombuffer(ids, "<u4").tolist() == own.peer.encode("some plain words") and (n, back, same) == (len(ids) // 4, True, True)
+    assert own.memo.known and all(type(r) is bytes for r in own.memo.known.values())
+    own.memo.known.clear()
+    monkeypatch.setattr(own, "peer_ids", lambda asked: [None if "plain" in w else [] for w in asked])
+    assert own.encode(["some plain words"]) == [(ids, n, True, False)]
+    assert own.encode(["plain"])[0][3] is None
+
+
 def test_words_without_blank_in_front_are_compared():
     own = sentencepiece_codec.Codec(MODEL)
     own.model.add_dummy_prefix, own.model.remove_extra_whitespaces = False, True  # the peer adds its own blank to LEAD only
