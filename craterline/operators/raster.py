@@ -107,16 +107,19 @@ def gaussian_blur(pixels: DataFrame, sigma: float) -> DataFrame:
 def mean_slope_at(points: DataFrame, slopes: DataFrame, lines: int, samples: int, x: str = "x", y: str = "y", out: str = "slope_mean") -> DataFrame:
     """Mean slope of the 3x3 window around each point, kept two cells inside the frame.
 
-    Points need a unique ``key`` column and a product_id.
+    Points need a unique ``key`` column and a product_id. The windows are summed up over the cells, map-side first, so a point
+    goes through one join and is never written out for each cell of its window.
     """
     cx = F.least(F.greatest(F.col(x), F.lit(2.0)), F.lit(float(samples - 3))).cast("long")
     cy = F.least(F.greatest(F.col(y), F.lit(2.0)), F.lit(float(lines - 3))).cast("long")
     window = F.array(*[F.struct(F.lit(a).alias("dl"), F.lit(b).alias("ds")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    q = points.withColumn("_w", F.explode(window)).withColumn("_l", cy + F.col("_w.dl")).withColumn("_s", cx + F.col("_w.ds"))
-    s = slopes.select(F.col("product_id").alias("_pid"), F.col("line").alias("_sl"), F.col("sample").alias("_ss"), "slope")
+    s = slopes.select(F.col("product_id").alias("_pid"), F.col("line").cast("long").alias("_line"), F.col("sample").cast("long").alias("_sample"), "slope").withColumn("_w", F.explode(window))
+    s = s.groupBy("_pid", (F.col("_line") + F.col("_w.dl")).alias("_sl"), (F.col("_sample") + F.col("_w.ds")).alias("_ss")).agg(
+        F.sum("slope").alias("_sum"), F.count("slope").alias("_n"))
+    q = points.withColumn("_l", cy).withColumn("_s", cx)
     j = q.join(s, (q["product_id"] == s["_pid"]) & (q["_l"] == s["_sl"]) & (q["_s"] == s["_ss"]), "left")
     carried = [F.first(c).alias(c) for c in points.columns if c != "key"]
-    return j.groupBy("key").agg(*carried, F.avg("slope").alias(out)).select(*points.columns, out)
+    return j.groupBy("key").agg(*carried, F.try_divide(F.sum("_sum"), F.sum("_n")).alias(out)).select(*points.columns, out)
 
 
 # --- Registration residual ----------------------------------------------------

@@ -109,3 +109,18 @@ def test_missing_pixels_have_no_weight(spark):
 def test_one_shuffle(spark, images):
     plan = T.central_gradients(frame(spark, images))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+
+
+def test_mean_slope_sums_windows_over_cells(spark):
+    """Points are not written out for each cell of their window; empty cells count neither as zero nor as a place."""
+    from craterline.operators import raster
+    slopes = spark.createDataFrame([("A", l, s, None if (l, s) == (3, 3) else float(l * 10 + s)) for l in range(8) for s in range(8) if (l, s) != (4, 4)],
+                                   "product_id string, line long, sample long, slope double")
+    points = spark.createDataFrame([("a", "A", 3.0, 3.0, 1), ("b", "A", -5.0, 99.0, 2), ("c", "B", 3.0, 3.0, 3), ("d", None, 3.0, 3.0, 4)], "key string, product_id string, x double, y double, marked int")
+    found = raster.mean_slope_at(points, slopes, 8, 8)
+    rows = {r.key: (r.slope_mean, r.marked) for r in found.collect()}
+    near = [l * 10 + s for l in (2, 3, 4) for s in (2, 3, 4) if (l, s) not in ((3, 3), (4, 4))]
+    low = [l * 10 + s for l in (4, 5, 6) for s in (1, 2, 3)]
+    assert rows == {"a": (pytest.approx(sum(near) / 7), 1), "b": (pytest.approx(sum(low) / 9), 2), "c": (None, 3), "d": (None, 4)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Generate" in line and "marked" in line for line in plan.splitlines())
