@@ -29,15 +29,22 @@ def with_name(files: DataFrame) -> DataFrame:
 
 
 # --- Label text ---------------------------------------------------------------
-def _clean(content: Column) -> Column:
-    """Label text without declarations, comments and namespace prefixes; empty tags written out."""
+def _with_clean(df: DataFrame, content: Column) -> DataFrame:
+    """Adds ``_xml``: label text without declarations, comments and namespace prefixes; empty tags written out.
+
+    Each step reads the text of the one before several times, so each is computed once.
+    """
     def where(x: Column, marks: tuple[str, ...], pattern: str, by: str) -> Column:
         return F.when(any_of([x.contains(m) for m in marks]), F.regexp_replace(x, pattern, by)).otherwise(x)
 
-    x = where(content, ("<?", "<!--"), r"(?s)<\?.*?\?>|<!--.*?-->", "")
-    x = where(x, ("<![CDATA[",), r"(?s)<!\[CDATA\[([^<]*?)\]\]>", "$1")
-    x = F.regexp_replace(x, r"<(/?)[A-Za-z_][\w.\-]*+:", "<$1")
-    return where(x, ("/>",), r"<([A-Za-z_][\w.\-]*+)((?:[^<>/]|/(?!>))*+)/>", "<$1></$1>")
+    x = F.col("_xml")
+    df = _once(df, _xml=content)
+    # An alternative behind the bracket, so that other letters are passed over quickly.
+    for step in (where(x, ("<?", "<!--"), r"(?s)<(?:\?.*?\?|!--.*?--)>", ""),
+                 F.regexp_replace(where(x, ("<![CDATA[",), r"(?s)<!\[CDATA\[([^<]*?)\]\]>", "$1"), r"<(/?)[A-Za-z_][\w.\-]*+:", "<$1"),
+                 where(x, ("/>",), r"<([A-Za-z_][\w.\-]*+)((?:[^<>/]|/(?!>))*+)/>", "<$1></$1>")):
+        df = _once(df, _next=step).drop("_xml").withColumnRenamed("_next", "_xml")
+    return df
 
 
 #: Names and texts never give back what they have matched, so a tag is looked at once.
@@ -58,11 +65,8 @@ def _leaves(xml: Column) -> tuple[Column, Column]:
 
 def _texts(names: Column, values: Column, tags: tuple[str, ...]) -> Column:
     """The text of the first leaf of each tag: null without one, '' for an empty one."""
-    def first(tag: Column) -> Column:
-        at = F.array_position(names, tag)
-        return F.when(at > 0, F.coalesce(A.blank(F.get(values, (at - 1).cast("int"))), F.lit("")))
-
-    return F.transform(F.array(*[F.lit(t) for t in tags]), first)
+    at = F.transform(F.array(*[F.lit(t) for t in tags]), lambda tag: F.array_position(names, tag))
+    return F.transform(at, lambda n: F.when(n > 0, F.coalesce(A.decoded(F.trim(F.get(values, (n - 1).cast("int")))), F.lit(""))))
 
 
 def parse_labels(files: DataFrame, corners: str = "system", override: Column | None = None, adapters: tuple[A.LabelAdapter, ...] = A.ADAPTERS) -> DataFrame:
@@ -73,7 +77,7 @@ def parse_labels(files: DataFrame, corners: str = "system", override: Column | N
     """
     df = with_name(files) if "file_name" not in files.columns else files
     df = df.withColumn("adapter", A.adapter_of(F.col("file_name"), override, adapters))
-    df = _once(df, _xml=_clean(F.col("content").cast("string")))
+    df = _with_clean(df, F.col("content").cast("string"))
     names, values = _leaves(F.col("_xml"))
     df = _once(df, _names=names, _values=values)
     label = A.LabelText(A.tags_of(adapters), F.col("file_name"), F.col("_xml"))
@@ -126,7 +130,9 @@ def discover_products(files: DataFrame) -> DataFrame:
 def inventory(files: DataFrame, products: DataFrame) -> DataFrame:
     """Inventory row per supported file with sensor verification and display texts (files: path, length, content)."""
     low = F.lower(F.col("path"))
-    df = with_name(files).filter(F.col("extension").isin(C.INVENTORY_EXTENSIONS) & ~any_of([low.contains(s) for s in C.INVENTORY_SKIP])).dropDuplicates(["path"])
+    df = with_name(files).filter(F.col("extension").isin(C.INVENTORY_EXTENSIONS) & ~any_of([low.contains(s) for s in C.INVENTORY_SKIP]))
+    # Contents are read here for the last time: only their digests are sorted and joined.
+    df = df.select("path", "file_name", "extension", "length", F.sha2("content", 256).alias("sha256")).dropDuplicates(["path"])
     p = products.drop("file_name", "extension").withColumnRenamed("path", "_path")
     j = df.join(p, df["path"] == p["_path"], "left")
     return verify_sensor(j).select(
@@ -134,7 +140,7 @@ def inventory(files: DataFrame, products: DataFrame) -> DataFrame:
         "sensor", "product_id", F.coalesce(F.date_format("acquisition_time", "yyyy-MM-dd HH:mm:ss"), F.lit("UNKNOWN")).alias("acquisition_time"), T.gsd_text(F.col("gsd_m")).alias("gsd"),
         T.sun_text(F.col("sun_azimuth_deg"), F.col("sun_elevation_deg")).alias("solar_geometry"),
         T.bounds_text(F.col("lat_min"), F.col("lat_max"), F.col("lon_min"), F.col("lon_max")).alias("bounds"), F.coalesce("crs", F.lit("UNKNOWN")).alias("projection"),
-        "is_real_data", "sensor_verification_status", F.sha2("content", 256).alias("sha256"))
+        "is_real_data", "sensor_verification_status", "sha256")
 
 
 def verify_sensor(df: DataFrame) -> DataFrame:

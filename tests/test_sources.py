@@ -163,3 +163,17 @@ def test_raster_source_round_trip(spark, tmp_path, kind, low, high):
     bad = spark.createDataFrame([(0, [300.0, 0.0, 0.0, 0.0])], "line long, dns array<double>")
     with pytest.raises(Exception, match="does not fit"):
         bad.write.format("raster_lines").options(**{**options, "data_type": "uint8", "path": str(tmp_path / "bad")}).mode("append").save()
+
+
+def test_a_label_is_cleaned_step_by_step(spark):
+    """Each step of the cleaning stands once in the plan, and contents do not reach the inventory's sort."""
+    text = "<?xml a='>'?><p:a xmlns:p='x'><!-- <gone>1</gone> --><p:product_id><![CDATA[x&amp;y]]></p:product_id><!----><p:empty/><pixel_resolution>2.5</pixel_resolution><?end?></p:a>"
+    files = spark.createDataFrame([("file:/data/real/LROC_1.xml", text, 9), ("file:/data/real/LROC_1.xml", text, 9), ("file:/data/real/LROC_2.xml", None, None)],
+                                  "path string, content string, length long")
+    parsed = labels.parse_labels(files)
+    assert [(r.file_name, r.gsd_m) for r in parsed.dropDuplicates(["path"]).orderBy("path").collect()] == [("LROC_1.xml", 2.5), ("LROC_2.xml", None)]
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xmlns") == 0 and plan.count("CDATA") == 2
+    listed = labels.inventory(files, parsed.dropDuplicates(["path"])).orderBy("path")
+    assert [(r.file_name, r.file_size_bytes, r.sha256 is None) for r in listed.collect()] == [("LROC_1.xml", 9, False), ("LROC_2.xml", None, True)]
+    assert "first(content" not in listed._jdf.queryExecution().optimizedPlan().toString()
