@@ -1,5 +1,7 @@
 """Steps that must not be done twice, by one task, or in a form that slows down with size."""
 
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -34,6 +36,37 @@ def test_samples_are_drawn_once_and_solved_in_closed_form(spark):
     assert len(h) == 49 and np.allclose(q[..., :2] / q[..., 2:], np.delete(tgt, 7, 0), atol=1e-6)
 
 
+def test_hypotheses_are_scored_by_products(spark):
+    rng = np.random.RandomState(5)
+    h = rng.randn(8000, 9) * 0.1 + [1, 0, 0, 0, 1, 0, 0, 0, 1]
+    h[:, 6:8] /= 1000
+    h[3, 6:] = 0  # all weight gone
+    xy = rng.randint(0, 60, (256, 2)).astype(float)
+    p = np.hstack([xy, xy + rng.randn(256, 2)])
+
+    def by_element():
+        x, y, u, v = np.ascontiguousarray(p.T)
+        grid, votes = np.vstack([x, y, np.ones(len(p))]), []
+        for at in range(0, len(h), 100):
+            k = h[at:at + 100]
+            w = k[:, 6:] @ grid
+            w[np.abs(w) <= 1e-12] = 1e-12
+            a, b = k[:, :3] @ grid - w * u, k[:, 3:6] @ grid - w * v
+            votes.append(np.count_nonzero(a * a + b * b <= (3.5 * w) ** 2, axis=1))
+        return h[np.sort(np.argsort(-np.concatenate(votes), kind="stable")[:200])]
+
+    def least(work):
+        took = []
+        for _ in range(9):
+            start = time.process_time()
+            work()
+            took.append(time.process_time() - start)
+        return min(took)
+
+    assert np.array_equal(M._fitting(h, p, 3.5, 200), by_element())
+    assert least(lambda: M._fitting(h, p, 3.5, 200)) < 0.85 * least(by_element)
+
+
 def test_points_without_a_place_are_spread(spark):
     points = spark.range(4000).select("id", F.lit("G").alias("grid_id"), F.lit(None).cast("double").alias("_qx"), F.lit(None).cast("long").alias("_qy"))
     placed = G._placed(points, "_qx", "_qy")
