@@ -80,7 +80,8 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.full = Tokenizer.from_file(path)
-        self.parts = Tokenizer.from_file(path)
+        # The same model, not a copy of it. Parts hold no marks of special tokens, which it does not know.
+        self.parts = Tokenizer(self.full.model)
         self.parts.normalizer = normalizers.Sequence([])
         self.parts.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])

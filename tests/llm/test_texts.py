@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
-from craterline.llm import language, packing, pitman_yor, sentencepiece_codec, simhash, token_count, toxicity
+from craterline.llm import common, language, packing, pitman_yor, sentencepiece_codec, simhash, token_count, toxicity
 from craterline.llm.common import is_rest, word_runs
 from craterline.llm.model_file import MODEL, read_model
 
@@ -23,6 +23,29 @@ def by_row(df):
     return [r.asDict() for r in df.collect()]
 
 
+# -- memory of a worker ----------------------------------------------------------------------------
+
+def test_a_worker_gives_memory_back_at_each_change_of_operator(monkeypatch):
+    given_back = []
+    monkeypatch.setattr(common, "give_back", lambda: given_back.append(common.Memo._owner))
+    common.Memo.serve("similar")  # has no large objects
+    given_back.clear()
+    common.Memo.serve("some other")
+    assert given_back == ["some other"]
+    common.Memo.serve("some other")
+    assert len(given_back) == 1
+
+
+def test_the_packing_encoder_holds_its_model_once(monkeypatch):
+    read = []
+    monkeypatch.setattr(packing, "Tokenizer", type("Counting", (), {
+        "__new__": lambda cls, model: Tokenizer(model), "from_file": staticmethod(lambda path: (read.append(path), Tokenizer.from_file(path))[1])}))
+    encoder = packing.WordEncoder(packing.TOKENIZER)
+    assert read == [packing.TOKENIZER]
+    want = encoder.full.encode("It's <|endoftext|> here, 42 times!", add_special_tokens=False).ids + [0]
+    assert np.frombuffer(encoder.texts([b"It's <|endoftext|> here, 42 times!"])[0], "<u4").tolist() == want
+
+
 # -- packing ---------------------------------------------------------------------------------------
 
 @settings(max_examples=150, deadline=None)
