@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from craterline.functions import geo
 from craterline.functions.common import clip
+from craterline.operators.tiles import gaussian_blur  # noqa: F401
 
 
 def mask_nodata(pixels: DataFrame, nodata: float) -> DataFrame:
@@ -86,23 +87,6 @@ def downsample(pixels: DataFrame, scale: float, lines: int, samples: int) -> Dat
              .agg((F.sum(F.col("dn") * w) / F.sum(w)).alias("dn")))
 
 
-def gaussian_blur(pixels: DataFrame, sigma: float) -> DataFrame:
-    """Separable Gaussian with weights renormalised at the rim; two map-side combined passes."""
-    import math
-    radius = int(math.ceil(2 * sigma))
-    taps = [(k, math.exp(-k * k / (2.0 * sigma * sigma))) for k in range(-radius, radius + 1)]
-    kernel = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in taps])
-    out = pixels.select("product_id", F.col("line").cast("long").alias("line"), F.col("sample").cast("long").alias("sample"), F.col("dn").cast("double").alias("dn"))
-    for axis in ("line", "sample"):
-        other = "sample" if axis == "line" else "line"
-        size = out.groupBy("product_id").agg(F.max(axis).alias("_top")).withColumnRenamed("product_id", "_pid")
-        spread = (out.join(size, out["product_id"] == size["_pid"]).withColumn("_t", F.explode(kernel))
-                     .withColumn("_at", F.col(axis) + F.col("_t.k")).filter((F.col("_at") >= 0) & (F.col("_at") <= F.col("_top"))))
-        out = spread.groupBy("product_id", F.col("_at").alias(axis), other).agg(
-            (F.sum(F.col("dn") * F.col("_t.w")) / F.sum("_t.w")).alias("dn"))
-    return out.select("product_id", "line", "sample", "dn")
-
-
 # --- Gradients ----------------------------------------------------------------
 def mean_slope_at(points: DataFrame, slopes: DataFrame, lines: int, samples: int, x: str = "x", y: str = "y", out: str = "slope_mean") -> DataFrame:
     """Mean slope of the 3x3 window around each point, kept two cells inside the frame.

@@ -12,9 +12,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from craterline.functions.stage import stage
+
 #: Lines and samples of a tile without its rim.
 TILE = 256
 #: Reductions beyond this are smoothed first.
@@ -61,6 +64,51 @@ def by_tile(pixels: DataFrame, work: Callable[[np.ndarray], dict[str, np.ndarray
     return spread.groupBy(*keys, "_tl", "_ts").applyInArrow(run, schema)
 
 
+# --- Smoothing ----------------------------------------------------------------
+def gaussian_blur(pixels: DataFrame, sigma: float, size: int = TILE) -> DataFrame:
+    """Separable Gaussian at every place of the frame that a pixel reaches, with weights renormalised at the rim and around gaps.
+
+    Copies of a pixel count as often as they occur; of a null value only the weight counts. A task holds one tile, whatever the product's size.
+    """
+    radius = int(np.ceil(2 * sigma))
+    taps = np.exp(-np.arange(-radius, radius + 1) ** 2 / (2.0 * sigma * sigma))
+    p = pixels.select("product_id", F.col("line").cast("long").alias("line"), F.col("sample").cast("long").alias("sample"), F.col("dn").cast("double").alias("dn"))
+    # The frame ends at the last line, and at the last sample of the lines that reach into it. Stored, so that its size is known.
+    top = stage(p.groupBy(F.col("product_id").alias("_pid")).agg(F.max("line").alias("_top_l"), F.max(F.when(F.col("line") >= -radius, F.col("sample"))).alias("_top_s")))
+    p = p.filter((F.col("line") >= -radius) & (F.col("sample") >= -radius))
+    j = p.join(top, (p["product_id"] == top["_pid"]) & (top["_top_l"] >= 0) & (top["_top_s"] >= 0)).drop("_pid")
+
+    def tiles(position: str, last: str) -> Column:
+        low, high = F.greatest(F.col(position) - radius, F.lit(0)), F.least(F.col(position) + radius, F.col(last))
+        return F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))
+
+    spread = j.withColumn("_tl", tiles("line", "_top_l")).withColumn("_ts", tiles("sample", "_top_s"))
+
+    def smooth(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Weighted sums over windows of lines; a place out of reach is never touched, so NaN does not spread further."""
+        n = len(x) - 2 * radius
+        return sum(w * x[k:k + n] for k, w in enumerate(weights))
+
+    def run(key, table):
+        first = [k.as_py() * size for k in key[-2:]]
+        shape = [min(size, table[c][0].as_py() - f + 1) for c, f in zip(("_top_l", "_top_s"), first, strict=True)]
+        line, sample = (table[c].to_numpy() - f + radius for c, f in zip(("line", "sample"), first, strict=True))
+        full = [n + 2 * radius for n in shape]
+        at, known = line * full[1] + sample, table["dn"].is_valid().to_numpy()
+        total, weight, have = (np.bincount(at, w, full[0] * full[1]).reshape(full) for w in (pc.fill_null(table["dn"], 0.0).to_numpy(), None, known))
+        for _ in range(2):  # along lines, then along samples
+            total, weight, have = smooth(total, taps), smooth(weight, taps), smooth(have, np.ones(len(taps)))
+            there, known = weight > 0, have > 0
+            total = np.divide(total, weight, out=np.zeros(weight.shape), where=known).T
+            weight, have = there.T.astype(float), known.T.astype(float)
+        a, b = np.nonzero(there.T)
+        return pa.table({"product_id": pa.array([key[0].as_py()] * len(a), table["product_id"].type), "line": pa.array(a + first[0]), "sample": pa.array(b + first[1]),
+                         "dn": pa.array(total[a, b], mask=~known.T[a, b])})
+
+    kind = pixels.schema["product_id"].dataType.simpleString()
+    return spread.groupBy("product_id", "_tl", "_ts").applyInArrow(run, f"product_id {kind}, line long, sample long, dn double")
+
+
 # --- Gradients ----------------------------------------------------------------
 def _central(dense: np.ndarray) -> dict[str, np.ndarray]:
     here = dense[1:-1, 1:-1]

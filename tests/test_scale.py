@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from craterline.operators import geometry as G
 from craterline.operators import matching as M
+from craterline.operators import tiles as TL
+from craterline.streaming import incremental as I
 
 
 def plan_of(df) -> str:
@@ -76,3 +78,44 @@ def test_points_without_a_place_are_spread(spark):
     frame = G.DemFrame(0.0, 2.0, 0.0, 2.0, 1.0, 2, 2)
     asked = spark.createDataFrame([(0, 0.5, 1.5), (1, None, None), (2, 9.0, 9.0)], "id int, lon double, lat double")
     assert {r.id: r.elevation_m for r in G.sample_dem(asked, G.dem_cells(dem, frame), frame).collect()} == {0: 1.0, 1: None, 2: None}
+
+
+def test_blur_takes_one_shuffle_and_holds_tiles(spark):
+    rng = np.random.RandomState(2)
+    rows = [("a", int(x), int(y), float(v)) for x, y, v in zip(rng.randint(-3, 23, 150), rng.randint(-3, 19, 150), rng.randint(0, 9, 150), strict=True)]
+    rows += [*rows[:5], ("a", 4, 4, None), ("a", 40, None, 1.0), ("a", None, 60, 1.0), (None, 1, 1, 1.0), ("b", 3, 50, None), ("c", -5, -5, 1.0), ("d", 0, 0, float("nan")), ("d", 0, 1, 2.0), ("d", 0, 9, 2.0)]
+    pixels = spark.createDataFrame(rows, "product_id string, line long, sample long, dn double")
+    taps = [(k, np.exp(-k * k / (2 * 0.8 * 0.8))) for k in range(-2, 3)]
+
+    def along(own, axis):
+        top, sums = {}, {}
+        for r in own:
+            if r[0] is not None and r[axis] is not None:
+                top[r[0]] = max(top.get(r[0], r[axis]), r[axis])
+        for r in own:
+            for k, w in taps:
+                if r[0] is not None and r[axis] is not None and 0 <= r[axis] + k <= top[r[0]]:
+                    key = (r[0], r[1] + k, r[2]) if axis == 1 else (r[0], r[1], r[2] + k)
+                    part = sums.setdefault(key, [[], 0.0])
+                    part[0] += [] if r[3] is None else [r[3] * w]
+                    part[1] += w
+        return [(*key, sum(v) / w if v else None) for key, (v, w) in sums.items()]
+
+    wanted = {r[:3]: r[3] for r in along(along(rows, 1), 2)}
+    blurred = TL.gaussian_blur(pixels, 0.8, size=8)
+    assert plan_of(blurred).count("Exchange hashpartitioning") == 1
+    found = {(r.product_id, r.line, r.sample): r.dn for r in blurred.collect()}
+    assert found.keys() == wanted.keys() and {p for p, _, _ in found} == {"a", "b", "d"}
+    for key, v in wanted.items():
+        assert (found[key] is None) == (v is None) and (v is None or np.isclose(found[key], v, equal_nan=True))
+
+
+def test_stream_finds_the_latest_rows_of_a_batch_once(spark, tmp_path, monkeypatch):
+    ents = spark.createDataFrame([("E1", "crater", 0.0, 0.0, None, None)], "entity_id string, entity_type string, latitude double, longitude double, elevation_m double, uncertainty_m double")
+    store, plans = I.WorldStore(spark, str(tmp_path / "w"), ents), []
+    for module, name, at in ((I.W, "lifecycle", 0), (I.G, "detect_gaps", 1)):
+        work = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, work=work, at=at: (plans.append(plan_of(a[at])), work(*a))[1])
+    store.apply(spark.createDataFrame([(1, "E1", "OHRC", None, 0.0, 0.0)], I.OBSERVATION), 0)
+    assert len(plans) == 2 and not any("Aggregate" in p or "Join" in p for p in plans)
+    assert store.states().first().state == "SUPPORTED"
