@@ -65,7 +65,11 @@ class WorldStore:
         return reduce(DataFrame.unionByName, parts, self.spark.createDataFrame([], self.schemas[name]))
 
     def _put(self, df: DataFrame, name: str, version: int) -> None:
-        df.withColumns({"seen": F.lit(version).cast("long"), "bucket": bucket()}).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{name}/v={version}")
+        self._write(df.withColumns({"seen": F.lit(version).cast("long"), "bucket": bucket()}), f"{self.folder}/{name}/v={version}")
+
+    def _write(self, df: DataFrame, path: str) -> None:
+        """Write rows by bucket. A bucket's rows meet in one task before, in several if they are many; else each task would write a file for each bucket."""
+        df.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
     def apply(self, batch: DataFrame, version: int) -> None:
         """Log the batch's associations, then re-evaluate the touched entities."""
@@ -75,6 +79,9 @@ class WorldStore:
         log = self._log("associations", version)
         touched = log.filter(F.col("seen") == version).select("entity_id", "bucket").distinct()
         mine = latest(log.join(touched, ["entity_id", "bucket"], "left_semi"), ["entity_id", "observation_id"], ["seen"]).drop("seen", "bucket")
+        # Read by the states and twice by the gaps; the next batch overwrites it.
+        mine.write.mode("overwrite").parquet(f"{self.folder}/working")
+        mine = self.spark.read.schema(mine.schema).parquet(f"{self.folder}/working")
         who = self.entities.join(touched, "entity_id", "left_semi")
         self._put(W.lifecycle(mine, None, who), "states", version)
         self._put(G.detect_gaps(who, mine, None, W.blocking_factors(mine)), "gaps", version)
@@ -88,7 +95,7 @@ class WorldStore:
         newest = latest(self._log("states", version), ["entity_id"], ["seen"])
         for name, df in (("associations", latest(self._log("associations", version), ["entity_id", "observation_id"], ["seen"])), ("states", newest),
                          ("gaps", self._log("gaps", version).join(newest.select("entity_id", "seen"), ["entity_id", "seen"], "left_semi"))):
-            df.select(*self.schemas[name].names).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/{name}")
+            self._write(df.select(*self.schemas[name].names), f"{folder}/{name}")
         done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_DONE")
         done.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(done, True).close()
         for name in self.schemas:

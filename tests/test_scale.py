@@ -119,3 +119,14 @@ def test_stream_finds_the_latest_rows_of_a_batch_once(spark, tmp_path, monkeypat
     store.apply(spark.createDataFrame([(1, "E1", "OHRC", None, 0.0, 0.0)], I.OBSERVATION), 0)
     assert len(plans) == 2 and not any("Aggregate" in p or "Join" in p for p in plans)
     assert store.states().first().state == "SUPPORTED"
+
+
+def test_stream_writes_a_bucket_from_one_task(spark, tmp_path):
+    ents = spark.range(300).select(F.concat(F.lit("E"), F.col("id").cast("string")).alias("entity_id"), F.lit("crater").alias("entity_type"), F.lit(0.0).alias("latitude"),
+                                   F.lit(0.0).alias("longitude"), F.lit(None).cast("double").alias("elevation_m"), F.lit(None).cast("double").alias("uncertainty_m"))
+    store = I.WorldStore(spark, str(tmp_path / "w"), ents)
+    rows = spark.createDataFrame([(i, f"E{i % 300}", "OHRC", None, 0.0, 0.0) for i in range(900)], I.OBSERVATION)
+    store.apply(rows.repartition(8), 0)
+    for name in ("associations", "states", "gaps"):
+        assert 0 < len(list((tmp_path / "w" / name).rglob("*.parquet"))) <= I.BUCKETS
+    assert store.associations().count() == 900 and store.states().count() == 300
