@@ -262,5 +262,7 @@ def representatives(documents: DataFrame, words: int = 5, least: float = 0.8, id
     known = documents.where(F.col(id_col).isNotNull())
     first = grouped(known, words, least, id_col, text_col).groupBy("component").agg(F.min(F.struct("id", "digest")).alias("first"))
     first = first.select(F.col("first.id").alias("__id"), F.col("first.digest").alias("__digest"))
-    named = known.join(first, (F.col(id_col) == F.col("__id")) & (text_digest(text_col) == F.col("__digest")), "left_semi").dropDuplicates([id_col, text_col])
+    # The digest is a column, so that the join and the search for repeats need one shuffle of the texts.
+    known = known.withColumn("__text", text_digest(text_col))
+    named = known.join(first, (F.col(id_col) == F.col("__id")) & (F.col("__text") == F.col("__digest")), "left_semi").dropDuplicates([id_col, "__text"])
     return named.select(documents.columns).union(documents.where(F.col(id_col).isNull()))

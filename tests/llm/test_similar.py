@@ -1,5 +1,6 @@
 """Groups of similar documents against the exact similarity of their sets of shingles."""
 
+import os
 import random
 import zlib
 
@@ -7,6 +8,7 @@ import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
+from craterline.functions.stage import shared_folder
 from craterline.llm import packing, similar, simhash, topk, vectors
 
 SHIFT = 100_000
@@ -101,3 +103,23 @@ def test_copies_of_an_id_spread_over_shards(spark):
     rows = spark.createDataFrame([(7, [1, 2])] * 4000, "id long, v array<long>").withColumn("number", F.monotonically_increasing_id())
     blocks = [len(r.shard_ids) // 8 for r in topk._packed(rows, 8, "shard").collect()]
     assert sum(blocks) == 4000 and len(blocks) == 8 and max(blocks) < 700
+
+
+def test_only_sets_of_proposed_pairs_are_kept(spark):
+    """Texts without a neighbour leave a sketch of fixed size, not their hashes; the sets of wanted texts are whole, one for each."""
+    def bytes_kept():
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(shared_folder(spark).removeprefix("file:")) for f in names)
+
+    strangers = [(i, " ".join(f"w{i}x{j}" for j in range(5000))) for i in range(60)]
+    pair = " ".join(f"p{j}" for j in range(300))
+    documents = spark.createDataFrame([*strangers, (100, pair), (101, pair + " more"), (102, pair)], "doc_id long, text string")
+    before = bytes_kept()
+    found = {r.id: r.component for r in similar.grouped(documents, 5, 0.8, "doc_id", "text").collect()}
+    assert found[100] == found[101] == found[102] and len(set(found.values())) == 61
+    assert bytes_kept() - before < 60 * 5000 * 8 / 4
+
+    rows = similar._sketches(documents, 5, "doc_id", "text")
+    nodes = rows.groupBy("node").agg(F.min("digest").alias("digest"))
+    sets = similar._sets(documents, nodes, rows.where("id >= 100").select("node").distinct(), 5, "text").collect()
+    whole = sorted(sorted(np.unique(simhash.shingle_hashes(t.encode(), 5)).view(np.int64).tolist()) for t in (pair, pair + " more"))
+    assert sorted(sorted(r.hashes) for r in sets) == whole
