@@ -6,8 +6,8 @@ model trained with byte-pair merges the order of merges follows from the scores,
 makes a better piece goes first.
 
 Words (a run of blank markers and what follows it) that a worker has not met are encoded in one batch,
-which the library spreads over its threads, decoded again, encoded with the sentencepiece library too
-and compared. No piece crosses from one word to the next, so a
+decoded again, encoded with the sentencepiece library too and compared. All of it runs in one thread, since
+a task has one core: threads that wait for each other cost CPU. No piece crosses from one word to the next, so a
 text's ids are those of its words. A vocabulary in which pieces do cross is encoded text by text.
 The given model is of the second kind; parity with sentencepiece holds for both.
 
@@ -17,6 +17,7 @@ of one blank). Repeated rows keep their rows, an empty table gives none, and oth
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from itertools import chain, islice, pairwise
@@ -80,7 +81,7 @@ class Codec:
     def normal(self, text: str) -> str:
         """The text with its blanks marked, before the character map."""
         if self.model.remove_extra_whitespaces:
-            text = re.sub(" +", " ", text).strip(" ")
+            text = (re.sub(" +", " ", text) if "  " in text else text).strip(" ")
         if not text:
             return text
         text = " " + text if self.model.add_dummy_prefix else text
@@ -100,7 +101,7 @@ class Codec:
                 lead.append(len(self.lead) if behind else 0)
         if self.model.escape_whitespaces:
             asked = [w.replace(BLANK, " ") for w in asked]
-        found = self.peer.encode(asked, num_threads=2)
+        found = self.peer.encode(asked, num_threads=1)
         return [ids[n:] if text else None for text, n, ids in zip(asked, lead, found, strict=True)]
 
     def encode_words(self, words: list[str]) -> list[tuple[bytes, int, bool, bool | None]]:
@@ -158,7 +159,8 @@ class Codec:
 
 
 def codec(path: str) -> Codec:
-    """One codec for each worker."""
+    """One codec for each worker; its libraries start no threads there unless the environment says so."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _codecs:
         _codecs[path] = Codec(path)
     return _codecs[path]

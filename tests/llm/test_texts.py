@@ -1,7 +1,10 @@
 """Packing, tokenizers, fingerprints, languages, toxicity and language-model scores against brute force."""
 
 import math
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -453,3 +456,11 @@ def test_queries_keep_every_document(spark, name):
     import __spark_entry__ as entry
     df = entry.queries()[name](spark, "/root/testdata/sf0.001")
     assert df.select("doc_id").distinct().count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def test_a_codec_starts_no_threads():
+    """A task has one core; threads of the library would cost CPU beside it."""
+    code = ("import os; from craterline.llm import sentencepiece_codec as s; c = s.codec(s.MODEL); n = len(os.listdir('/proc/self/task'));"
+            "c.encode([' '.join(f'word{i}' for i in range(20000))]); print(len(os.listdir('/proc/self/task')) - n)")
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    assert subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, check=True).stdout.split() == ["0"]
