@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from craterline.functions.stage import stage
 from craterline.llm.common import Memo, slices
 from craterline.llm.components import Forest, components
-from craterline.llm.similar import grouped, text_digest
+from craterline.llm.similar import grouped, marked, text_digest
 
 SEED = 42
 #: The Golay code's generator x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 (fixed value).
@@ -260,9 +260,12 @@ def representatives(documents: DataFrame, words: int = 5, least: float = 0.8, id
     Of repeated rows with that id and text one stays. Rows without id stay, since nothing names them apart.
     """
     known = documents.where(F.col(id_col).isNotNull())
-    first = grouped(known, words, least, id_col, text_col).groupBy("component").agg(F.min(F.struct("id", "digest")).alias("first"))
-    first = first.select(F.col("first.id").alias("__id"), F.col("first.digest").alias("__digest"))
-    # The digest is a column, so that the join and the search for repeats need one shuffle of the texts.
-    known = known.withColumn("__text", text_digest(text_col))
-    named = known.join(first, (F.col(id_col) == F.col("__id")) & (F.col("__text") == F.col("__digest")), "left_semi").dropDuplicates([id_col, "__text"])
+    rows = stage(grouped(known, words, least, id_col, text_col))
+    groups = stage(rows.groupBy("component").agg(F.min(F.struct("id", "digest")).alias("first"), F.count("*").alias("n")))
+    first = groups.select(F.col("first.id").alias("__id"), F.col("first.digest").alias("__digest"))
+    # A text alone in its group stays without a shuffle; the others need one, since the digest that they are joined by tells repeats too.
+    crowded = rows.join(groups.where("n > 1"), "component").select(F.col("digest").alias("__text"))
+    known = marked(known.withColumn("__text", text_digest(text_col)), crowded, "__text", "__crowded")
+    named = (known.where("__crowded").join(first, (F.col(id_col) == F.col("__id")) & (F.col("__text") == F.col("__digest")), "left_semi")
+             .dropDuplicates([id_col, "__text"]).union(known.where("not __crowded")))
     return named.select(documents.columns).union(documents.where(F.col(id_col).isNull()))
