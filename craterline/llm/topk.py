@@ -8,7 +8,8 @@ traversed for the whole shard; the others are probed, widest first, only for can
 still compete. Shards report their k best and the merge keeps the k best of all.
 
 Queries and candidates are packed into blocks of bounded size and every block of queries meets every
-shard in a task of its own, so work and memory of a task do not depend on the number of rows.
+shard in a row of its own, so work and memory of a row do not depend on the number of rows. The copies of blocks are
+shuffled, never broadcast, and hold whole numbers in as few bytes as they need.
 
 Vectors that are null or hold a null or a non-finite component take no part; nor do rows without id.
 A component missing in the shorter of two vectors is zero. Equal scores go to the smaller id. A query
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from craterline.functions.stage import stage
 
 SHARD, QUERIES = 8_192, 16_384
+#: Partitions at most over which the meetings of a shard and a block of queries are dealt.
+MEETINGS = 4_096
 #: Terms that are probed between two looks at who still competes, and candidates that give the first threshold.
 PROBED, SEED = 8, 512
 #: Vectors with a larger value are packed apart from the others, whose products then fit 64 bits.
@@ -60,6 +63,17 @@ def _blocks(rows: DataFrame, size: int) -> tuple[int, int]:
     return max(1, -(-(n - large) // size)), -(-large // size)
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in 16 or 32 bits if they fit, else as doubles; ``_values`` tells them by their size."""
+    most = np.abs(values).max(initial=0)
+    return values.astype(np.int16 if most < 2**15 else np.int32 if most < 2**31 else np.float64)
+
+
+def _values(data: bytes, rows: int, width: int) -> np.ndarray:
+    kind = {2: np.int16, 4: np.int32}.get(len(data) // max(1, rows * width), np.float64)
+    return np.frombuffer(data, dtype=kind).reshape(rows, width).astype(np.float64)
+
+
 def _packed(rows: DataFrame, blocks: tuple[int, int] | int, name: str) -> DataFrame:
     """Rows (id, v, number) as blocks (``name``, ids, values, width); the number spreads the copies of an id.
 
@@ -74,7 +88,7 @@ def _packed(rows: DataFrame, blocks: tuple[int, int] | int, name: str) -> DataFr
         for row, v in enumerate(vectors):
             values[row, :len(v)] = v
         return pa.table({name: pa.array([key[0].as_py()], pa.int32()), f"{name}_ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()),
-                         f"{name}_values": pa.array([values.tobytes()], pa.binary()), f"{name}_width": pa.array([width], pa.int32())})
+                         f"{name}_values": pa.array([_narrow(values).tobytes()], pa.binary()), f"{name}_width": pa.array([width], pa.int32())})
 
     own = F.xxhash64("id", "number")
     block = F.when(_large(), blocks[0] + F.pmod(own, F.lit(max(1, blocks[1])))).otherwise(F.pmod(own, F.lit(blocks[0])))
@@ -141,19 +155,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
     candidates = stage(usable(vectors).withColumn("number", F.monotonically_increasing_id()))
     asked = stage(usable(queries).groupBy("id").agg(F.min("v").alias("v")).withColumn("number", F.lit(0)))
     shards, parts = _blocks(candidates, SHARD), _blocks(asked, QUERIES)
-    left = _packed(candidates, shards, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(sum(parts) - 1))))
-    right = _packed(asked, parts, "part").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(sum(shards) - 1))))
+    # Few rows of long work: dealt out by number, and merged, since a broadcast would bring every copy of a side's blocks to the driver.
+    met = min(sum(shards) * sum(parts), MEETINGS)
+    left = _packed(candidates, shards, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(sum(parts) - 1)))).repartition(met, "shard", "part")
+    right = _packed(asked, parts, "part").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(sum(shards) - 1)))).repartition(met, "shard", "part")
 
     def search(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 ids, query_ids = (np.frombuffer(row[f"{n}_ids"], dtype=np.int64) for n in ("shard", "part"))
-                shard, block = (np.frombuffer(row[f"{n}_values"], dtype=np.float64).reshape(len(i), row[f"{n}_width"]) for n, i in (("shard", ids), ("part", query_ids)))
+                shard, block = (_values(row[f"{n}_values"], len(i), row[f"{n}_width"]) for n, i in (("shard", ids), ("part", query_ids)))
                 found = [(q, i, *_reported(score)) for q, i, score in search_shard(query_ids, block, ids, shard, k)]
                 columns = [np.repeat(np.array([f[0] for f in found], dtype=np.int64), [len(f[1]) for f in found])]
                 columns += [np.concatenate([f[c] for f in found] or [np.zeros(0)]).astype(t) for c, t in ((1, np.int64), (2, np.int64), (3, np.float64))]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "id", "score", "beyond"])
 
-    found = left.join(right, ["shard", "part"]).mapInArrow(search, "query_id long, id long, score long, beyond double")
+    found = left.join(right.hint("merge"), ["shard", "part"]).mapInArrow(search, "query_id long, id long, score long, beyond double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

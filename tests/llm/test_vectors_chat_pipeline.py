@@ -314,3 +314,19 @@ def test_held_out_rule(spark):
     from craterline.llm.common import is_rest
     rows = spark.range(50).select("id", is_rest("id", 7, 2).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 7 == 2) for r in rows)
+
+
+def test_top_k_brings_no_block_to_the_driver(odd_vectors, monkeypatch):
+    """The copies of a block, one for each shard, would all stand in a broadcast."""
+    monkeypatch.setattr(topk, "SHARD", 40)
+    rows = odd_vectors.where("vec_id < 400")
+    found = topk.top_k(rows, rows.where("vec_id % 5 = 0"))
+    assert found.count() == 5 * rows.where("vec_id % 5 = 0").select("vec_id").distinct().count()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [100, 2**15, 2**31, 2.0**80])
+def test_blocks_keep_their_numbers_in_few_bytes(most):
+    values = np.array([[most, -most], [0, 7]], dtype=np.float64)
+    data = topk._narrow(values).tobytes()
+    assert topk._values(data, 2, 2).tolist() == values.tolist() and len(data) == 4 * (2 if most < 2**15 else 4 if most < 2**31 else 8)
