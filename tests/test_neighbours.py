@@ -85,3 +85,19 @@ def test_hashing_with_a_crowded_key_ties_and_small_images(spark):
     assert N.hashed_matches(few, pairs, 0.8).count() == 0 and N.match_descriptors(few, pairs, 0.8).count() == 0
     assert N.recall(few.filter("false").select(F.lit("x").alias("pair_id"), F.lit(1).alias("src_kp"), F.lit(1).alias("tgt_kp")),
                     few.filter("false").select(F.lit("x").alias("pair_id"), F.lit(1).alias("src_kp"), F.lit(1).alias("tgt_kp"))).first().recall is None
+
+
+@pytest.mark.parametrize("metric", ["l2", "hamming"])
+def test_a_large_image_is_few_blocks_and_strips_change_nothing(spark, monkeypatch, metric):
+    """With blocks of 8 each, whatever the size, block pairs and the descriptors sent to them would grow with the square."""
+    rng = np.random.default_rng(9)
+    a, b = (rng.standard_normal((n, 6)) if metric == "l2" else rng.integers(-2 ** 63, 2 ** 63 - 1, (n, 2)) for n in (2000, 1700))
+    b[200:260] = b[100]
+    d, pairs = frames(spark, a, b, "array<double>" if metric == "l2" else "array<long>")
+    sizes = N.norm_blocks(d, metric, block=8).groupBy("image_id").agg(F.count("*").alias("blocks"), F.sum(F.size("kps")).alias("n")).collect()
+    assert {r.image_id: r.n for r in sizes} == {"A": 2000, "B": 1700} and max(r.blocks for r in sizes) <= 3 * N.BLOCKS
+    assert matched(N.match_descriptors(d, pairs, 0.97, metric, block=8)) == brute(a, b, 0.97, metric)
+    whole = N.two_nearest(a, b, metric)
+    monkeypatch.setattr(N, "CELLS", 40 * len(b))
+    parts = N.two_nearest(a, b, metric)
+    assert (whole[0] == parts[0]).all() and np.allclose(whole[1], parts[1]) and N.two_nearest(a[:3], b[:1], metric)[0].tolist() == [[0]] * 3
