@@ -130,3 +130,30 @@ def test_stream_writes_a_bucket_from_one_task(spark, tmp_path):
     for name in ("associations", "states", "gaps"):
         assert 0 < len(list((tmp_path / "w" / name).rglob("*.parquet"))) <= I.BUCKETS
     assert store.associations().count() == 900 and store.states().count() == 300
+
+
+def test_look_ups_carry_only_what_they_need(spark):
+    """Texts of the points go into one small number before the first look-up; a tally shuffles none of them."""
+    nodes = spark.createDataFrame([("G", p, s, 20 + p / 100, s / 100) for p in range(0, 100, 10) for s in range(0, 100, 10)], "grid_id string, pixel long, scan long, lon double, lat double")
+    cells = G.grid_cells(nodes).persist()
+    frame = G.DemFrame(0.0, 1.0, 20.0, 21.0, 10.0, 10, 10)
+    dem = spark.createDataFrame([(a, b, 5.0) for a in range(10) for b in range(10)], "line long, sample long, elev double")
+    grids = G.GridPair(cells, G.grid_meta(cells), cells, G.grid_meta(cells), G.dem_cells(dem, frame), frame, G.PushBroom(1000.0, 10.0, 50.0))
+    m = spark.createDataFrame([(k % 3, f"note {k}", "G", "G", 7.0 * k, 3.0 * k) for k in range(30)], "pair_id int, note string, grid_id string, target_grid_id string, src_x double, src_y double")
+    gated = G.gate_matches(m, grids)
+    assert set(gated.columns) >= set(m.columns) and G.SPREAD not in gated.columns and gated.count() == 30
+    plan = G.gate_tally(gated)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("note#" in line for line in plan.splitlines()) <= 2  # the table, and the number made of it
+    assert sum(r.candidates for r in G.gate_tally(gated).collect()) == 30
+
+
+def test_every_point_finds_its_cell_at_the_borders_of_buckets(spark):
+    """A cell that ends where a bucket ends is not sent to the next one, whatever the rounding of the border."""
+    for step, far in ((0.1, 70), (1 / 3, 70), (7.3, 70), (100.0, 70)):
+        ps, ss = [k * step for k in range(far)], [k * step * 0.7 + 0.05 for k in range(4)]
+        nodes = spark.createDataFrame([("G", p, s, p, s) for p in ps for s in ss], "grid_id string, pixel double, scan double, lon double, lat double")
+        at = sorted({x for p in ps for x in (np.nextafter(p, -1e9), p, np.nextafter(p, 1e9), p + step / 2) if 0 <= x <= ps[-1]})
+        rows = [("G", float(x), float(s)) for x in at for s in (ss[0], np.nextafter(ss[1], 0), ss[1], ss[3])]
+        cells = G.grid_cells(nodes)
+        found = G.pixel_to_ground(spark.createDataFrame(rows, "grid_id string, pixel double, scan double"), cells, G.grid_meta(cells)).collect()
+        assert len(found) == len(rows) and all(abs(r.lon - r.pixel) < 1e-9 and abs(r.lat - r.scan) < 1e-9 for r in found)
