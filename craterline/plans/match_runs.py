@@ -40,13 +40,17 @@ def run_id(pair: str = "pair_id", matcher: str = "matcher"):
     return F.concat_ws("|", F.col(matcher), F.col(pair).cast("string"))
 
 
-def matched(pairs: DataFrame, matchers: dict[str, Matcher]) -> DataFrame:
-    """Matches of all runs with coordinates: run_id, pair_id, matcher, src_id, tgt_id, src_x … tgt_y, distance."""
+def matched(pairs: DataFrame, matchers: dict[str, Matcher], sizes: DataFrame | None = None) -> DataFrame:
+    """Matches of all runs with coordinates: run_id, pair_id, matcher, src_id, tgt_id, src_x … tgt_y, distance.
+
+    ``sizes``: descriptors (_n) of each image (_im) and matcher (_m), if they are counted already.
+    """
     def one(name: str, m: Matcher) -> DataFrame:
         ids = pairs.select("pair_id", F.col("source_id").cast("string").alias("source_id"), F.col("target_id").cast("string").alias("target_id"))
         k = m.keypoints.withColumn("image_id", F.col("image_id").cast("string"))
         find = N.hashed_matches if m.hashed else N.match_descriptors
-        near = find(k, ids, m.ratio, m.metric).join(ids, "pair_id")
+        own = None if sizes is None else sizes.filter(F.col("_m") == name).select(F.col("_im").alias("image_id"), F.col("_n").alias("n"))
+        near = find(k, ids, m.ratio, m.metric, sizes=own).join(ids, "pair_id")
         at = lambda s: k.select(F.col("image_id").alias(f"{s}_id"), F.col("kp_id").cast("long").alias(f"{s}_kp"), F.col("x").alias(f"{s}_x"), F.col("y").alias(f"{s}_y"))
         both = near.withColumnsRenamed({"source_id": "src_id", "target_id": "tgt_id"}).join(at("src"), ["src_id", "src_kp"]).join(at("tgt"), ["tgt_id", "tgt_kp"])
         return both.withColumn("matcher", F.lit(name)).select(
@@ -97,7 +101,7 @@ def evaluate_runs(pairs: DataFrame, matchers: dict[str, Matcher], width: float,
     runs = stage(runs.withColumns({"error": F.coalesce(told, missing), "keypoints_src": F.coalesce("keypoints_src", F.lit(0)).cast("long"),
                                    "keypoints_tgt": F.coalesce("keypoints_tgt", F.lit(0)).cast("long")}))
     good = pairs.filter(told.isNull()) if "error" in pairs.columns else pairs
-    matches = matched(good, matchers)
+    matches = matched(good, matchers, counts.filter("_im is not null"))
     if pixels is not None:
         matches = with_slopes(stage(matches), pixels, int(height), int(width))
     matches = stage(matches)

@@ -5,9 +5,11 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
+from craterline.functions import stats
 from craterline.operators import geometry as G
 from craterline.operators import matching as M
 from craterline.operators import tiles as TL
+from craterline.operators import verification as V
 from craterline.streaming import incremental as I
 
 
@@ -158,3 +160,48 @@ def test_every_point_finds_its_cell_at_the_borders_of_buckets(spark):
         cells = G.grid_cells(nodes)
         found = G.pixel_to_ground(spark.createDataFrame(rows, "grid_id string, pixel double, scan double"), cells, G.grid_meta(cells)).collect()
         assert len(found) == len(rows) and all(abs(r.lon - r.pixel) < 1e-9 and abs(r.lat - r.scan) < 1e-9 for r in found)
+
+
+def test_transforms_that_cannot_take_a_place_are_not_asked_for():
+    rng = np.random.RandomState(1)
+    xy = rng.rand(256, 2) * 100
+    p, asked = np.hstack([xy, xy + [3.0, -2.0]]), []
+    right = np.array([1, 0, 3.0, 0, 1, -2.0, 0, 0, 1])
+    h = np.where(rng.rand(4, 500, 1) < 0.6, right, right + [0, 0, 50, 0, 0, 0, 0, 0, 0])
+
+    def parts():
+        for k in range(4):
+            asked.append(k)
+            yield h[k]
+
+    assert np.array_equal(M._best_fitting(parts(), p, 3.5, 200), M._fitting(h.reshape(-1, 9), p, 3.5, 200)) and asked == [0]
+    asked.clear()
+    assert len(M._best_fitting(parts(), np.vstack([p, [[0, 0, 999, 999]]]), 3.5, 200)) == 200 and asked == [0, 1, 2, 3]
+
+
+def test_percentiles_of_short_groups_take_one_aggregate(spark):
+    rng = np.random.RandomState(4)
+    rows = [(k, float(v)) for k, n in (("a", 500), ("b", 7), ("c", 1), (None, 3)) for v in rng.rand(n).round(2)] + [("a", None), ("a", float("nan")), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    probs = {"q50": 0.5, "q95": 0.95}
+    own = {k: [v for x, v in rows if x == k and v is not None and v == v] for k in ("a", "b", "c", None)}
+    want = {k: tuple(np.quantile(v, list(probs.values())).round(9)) for k, v in own.items()}
+    short = stats.exact_percentiles(df, ["k"], "v", probs)
+    assert "Join" not in plan_of(short) and "Generate" not in plan_of(short)
+    for accuracy in (10000, 100, 2):  # all groups short, one of them long, most of them long
+        got = stats.exact_percentiles(df, ["k"], "v", probs, accuracy).collect() if accuracy > 2 else short.collect()
+        assert {r.k: (round(r.q50, 9), round(r.q95, 9)) for r in got} == want
+
+
+def test_verification_joins_no_match_for_a_count(spark, monkeypatch):
+    """Whether a pair has few inliers is asked of those pairs alone; texts of the matches are not kept."""
+    rng = np.random.RandomState(2)
+    rows = [(p, f"{p}-{i}", x, y, x + 5 + (0 if p else 40 * rng.rand()), y - 3 + (0 if p else 40 * rng.rand()), 10.0) for p in range(3) for i, (x, y) in enumerate((rng.rand(30, 2) * 500).tolist())]
+    matches = spark.createDataFrame(rows, "pair_id int, match_id string, src_x double, src_y double, tgt_x double, tgt_y double, distance double")
+    pairs = spark.createDataFrame([(p, *[1.0] * 7) for p in range(4)], "pair_id int, " + ", ".join(f"{c} double" for c in V.PAIR_META))
+    plans, real = [], M.hull_ratio
+    monkeypatch.setattr(V.M, "hull_ratio", lambda points, *a: (plans.append((plan_of(points), points.columns)), real(points, *a))[1])
+    found = {r.pair_id: r.inliers for r in V.verify_pairs(matches, pairs).collect()}
+    plan, columns = plans[0]
+    assert found[1] == found[2] == 30 and found[3] is None and "match_id" not in columns
+    assert plan.count("LeftSemi") == 1 and "Inner" not in plan
