@@ -1,5 +1,7 @@
 """The area between a lattice and its convex hull."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -96,3 +98,21 @@ def test_plan_has_no_nested_loop(spark):
     q = spark.range(5).select(F.when(F.col("id") >= 0, "B").alias("grid_id"), (F.col("id") + 20.0).alias("lon"), F.lit(0.3).alias("lat"))
     plan = G.ground_to_pixel(q, cells, G.grid_meta(cells), pockets=P.hull_pockets(cells))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_a_long_edge_is_filled_with_arrays():
+    """A row of objects for each triangle took kilobytes, and a lattice's edge is one task's work."""
+    n = 20_000
+    s = np.arange(n) * 50.0
+    ring = np.c_[np.zeros(n), s, 20.2 + 4e-6 * s * (s[-1] - s) / 50, 0.4 + 3e-4 * s]
+    loop = np.vstack([ring + [1500.0, 0, 0.9, 0], ring[::-1]])
+    both = np.vstack([loop, np.roll(loop, -1, axis=0)])
+    tracemalloc.start()
+    corners, on_hull = P._fill(both)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    columns = P._columns(corners, on_hull)
+    assert len(corners) == 2 * (n - 2) - (n - 2) and peak < 1000 * n
+    size = area(ring[::-1, 2:])
+    assert sum(area(t[:, 2:]) for t in corners) == pytest.approx(abs(size), rel=1e-6)
+    assert on_hull.sum() == 1 and set(columns) == {c.split(" ")[0] for c in P._SCHEMA.split(", ")[1:]}
